@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import encode
+from tagloom.llm import encode, terms
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -17,6 +17,41 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_column(_table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p7_ids": p7_ids}
-
-SQL: dict[str, str] = {}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return terms.marked_tags(_table(spark, d, "writes"))
+
+
+def p6_terms(spark: SparkSession, d: str) -> DataFrame:
+    return terms.all_terms(_table(spark, d, "writes"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p6_found": p6_found,
+    "p6_terms": p6_terms,
+    "p7_ids": p7_ids,
+}
+
+_TAGS_ONCE = """
+once AS (SELECT DISTINCT seq, pos, id, ns, key, value FROM writes),
+n AS (SELECT count(DISTINCT id) AS ids FROM writes),
+tag AS (
+  SELECT coalesce(ns || ':', '') || key || coalesce('=' || value, '') AS term,
+         count(*) AS occurrences, count(DISTINCT id) AS records
+  FROM once GROUP BY ns, key, value),
+marked AS (
+  SELECT term, occurrences, records,
+         CASE WHEN occurrences < 3 THEN 'rare' WHEN records > 0.08 * (SELECT ids FROM n) THEN 'common' END AS mark
+  FROM tag)
+"""
+
+SQL: dict[str, str] = {
+    "p6_found": f"WITH {_TAGS_ONCE} SELECT term, mark FROM marked WHERE mark IS NOT NULL",
+    "p6_terms": f"""WITH {_TAGS_ONCE},
+part AS (
+  SELECT 'ns' AS grain, ns AS term, id FROM once UNION ALL
+  SELECT 'key', key, id FROM once UNION ALL
+  SELECT 'value', value, id FROM once)
+SELECT 'tag' AS grain, term, occurrences, records, mark FROM marked
+UNION ALL
+SELECT grain, term, count(*), count(DISTINCT id), NULL FROM part WHERE term IS NOT NULL GROUP BY grain, term""",
+}
