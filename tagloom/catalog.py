@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.operators import hot_keys
 from tagloom.sources.tables import TagOf, number_text, tag_items
 from tagloom.store import TagStore
 
@@ -31,6 +32,21 @@ def order_items(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flagship": lambda s, d: TagStore.from_nested(order_items(s, d)).query("status=F and not priority=5-LOW"),
+    "p1_found": lambda s, d: hot_keys.hot_keys(table(s, d, "writes")),
+    "p1_profile": lambda s, d: hot_keys.key_profile(table(s, d, "writes")),
 }
 
-SQL: dict[str, str] = {}
+_GRAINS = """
+named AS (
+  SELECT 'ns' AS grain, coalesce(ns, '-') AS name, id, value FROM writes UNION ALL
+  SELECT 'key', key, id, value FROM writes UNION ALL
+  SELECT 'attr', CASE WHEN ns IS NULL THEN key ELSE ns || ':' || key END, id, value FROM writes)
+"""
+
+SQL: dict[str, str] = {
+    "p1_found": f"""WITH {_GRAINS}
+SELECT grain, name FROM named GROUP BY grain, name HAVING count(*) >= 0.06 * (SELECT count(*) FROM writes)""",
+    "p1_profile": f"""WITH {_GRAINS}
+SELECT grain, name, count(*) AS n_rows, count(DISTINCT id) AS n_ids, count(DISTINCT value) AS n_values
+FROM named GROUP BY grain, name""",
+}
