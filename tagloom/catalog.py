@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.operators import hot_keys
+from tagloom.operators import hot_keys, wide
 from tagloom.sources.tables import TagOf, number_text, tag_items
 from tagloom.store import TagStore
 
@@ -34,6 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flagship": lambda s, d: TagStore.from_nested(order_items(s, d)).query("status=F and not priority=5-LOW"),
     "p1_found": lambda s, d: hot_keys.hot_keys(table(s, d, "writes")),
     "p1_profile": lambda s, d: hot_keys.key_profile(table(s, d, "writes")),
+    "p4_found": lambda s, d: wide.failed_cells(*(table(s, d, t) for t in ("tags", "store_items", "attr_catalog"))),
+    "p4_wide": lambda s, d: wide.widen(*(table(s, d, t) for t in ("tags", "store_items", "attr_catalog"))).drop("failed"),
 }
 
 _GRAINS = """
@@ -43,7 +45,46 @@ named AS (
   SELECT 'attr', CASE WHEN ns IS NULL THEN key ELSE ns || ':' || key END, id, value FROM writes)
 """
 
+_STAMP = "([0-9]{4}-[0-9]{2}-[0-9]{2})T((?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9])(Z|[+-](?:[01][0-9]|2[0-3]):[0-5][0-9])"
+_READ = f"""
+cell AS (
+  SELECT t.id, a.col_name, a.many, CASE a.col_type
+    WHEN 'string' THEN t.value
+    WHEN 'bigint' THEN CASE WHEN regexp_full_match(t.value, '[+-]?[0-9]+') THEN CAST(TRY_CAST(t.value AS BIGINT) AS VARCHAR) END
+    WHEN 'double' THEN CASE WHEN regexp_full_match(t.value, '[+-]?[0-9]+([.][0-9]+)?') THEN CAST(TRY_CAST(t.value AS DOUBLE) + 0.0 AS VARCHAR) END
+    WHEN 'boolean' THEN CASE WHEN lower(t.value) IN ('true', 'false') THEN lower(t.value) END
+    WHEN 'date' THEN CASE WHEN regexp_full_match(t.value, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN CAST(TRY_CAST(t.value AS DATE) AS VARCHAR) END
+    WHEN 'timestamp' THEN CASE WHEN regexp_full_match(t.value, '{_STAMP}') THEN CAST(
+      TRY_CAST(replace(t.value[1:19], 'T', ' ') AS TIMESTAMP)
+      - CASE WHEN t.value[20:20] = 'Z' THEN INTERVAL 0 SECOND
+        ELSE (CASE WHEN t.value[20:20] = '-' THEN -1 ELSE 1 END * (CAST(t.value[21:22] AS INT) * 60 + CAST(t.value[24:25] AS INT))) * INTERVAL 1 MINUTE END AS VARCHAR) END
+    END AS text
+  FROM tags t JOIN attr_catalog a ON t.key = a.key AND t.ns IS NOT DISTINCT FROM a.ns
+  WHERE t.id IN (SELECT id FROM store_items))
+"""
+
+# The catalogue's columns and types (fixed values); the SQL needs them spelled out.
+_WIDE = {
+    "rank_no": "bigint", "lat": "double", "lon": "double", "due_on": "date", "owner_name": "varchar", "state": "varchar",
+    "priority_no": "bigint", "budget": "double", "reviewed": "boolean", "seen_at": "timestamp", "version_text": "varchar",
+    "serial": "varchar", "digest": "varchar", "title": "varchar", "path": "varchar", "site": "varchar", "blank_rank": "bigint",
+    "closed_on": "date", "retries": "bigint", "score": "double",
+}
+_WIDE_MANY = ("topics", "langs", "refs", "notes", "hops")
+
+
+def _wide_sql() -> str:
+    one = ", ".join(
+        f"CASE WHEN count(DISTINCT text) FILTER (col_name = '{c}') = 1 THEN CAST(min(text) FILTER (col_name = '{c}') AS {t}) END AS {c}"
+        for c, t in _WIDE.items()
+    )
+    many = ", ".join(f"list_sort(list(DISTINCT text) FILTER (col_name = '{c}' AND text IS NOT NULL)) AS {c}" for c in _WIDE_MANY)
+    return f"WITH {_READ} SELECT i.id, {one}, {many} FROM (SELECT DISTINCT id FROM store_items) i LEFT JOIN cell USING (id) GROUP BY i.id"
+
+
 SQL: dict[str, str] = {
+    "p4_found": f"WITH {_READ} SELECT id, col_name FROM cell WHERE NOT many GROUP BY id, col_name HAVING count(DISTINCT text) <> 1",
+    "p4_wide": _wide_sql(),
     "p1_found": f"""WITH {_GRAINS}
 SELECT grain, name FROM named GROUP BY grain, name HAVING count(*) >= 0.06 * (SELECT count(*) FROM writes)""",
     "p1_profile": f"""WITH {_GRAINS}
