@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import encode, terms
+from tagloom.llm import encode, setjoin, terms
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -17,6 +17,18 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_column(_table(spark, d, "documents"))
 
 
+def _stores(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [_table(spark, d, "items_nested"), _table(spark, d, "inbox_nested")]
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return setjoin.similar_pairs(_stores(spark, d))
+
+
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    return setjoin.similarity_classes(_stores(spark, d))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.marked_tags(_table(spark, d, "writes"))
 
@@ -26,6 +38,8 @@ def p6_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_classes": p2_classes,
     "p6_found": p6_found,
     "p6_terms": p6_terms,
     "p7_ids": p7_ids,
