@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import encode, setjoin, terms
+from tagloom.llm import cooccur, encode, setjoin, terms
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -29,6 +29,18 @@ def p2_classes(spark: SparkSession, d: str) -> DataFrame:
     return setjoin.similarity_classes(_stores(spark, d))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return cooccur.found_pairs(_table(spark, d, "items_nested"))
+
+
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return cooccur.surprising_pairs(_table(spark, d, "items_nested")).select("key_a", "key_b", "n_a", "n_b", "n_ab", "lift")
+
+
+def p3_surprise(spark: SparkSession, d: str) -> DataFrame:
+    return cooccur.surprising_pairs(_table(spark, d, "items_nested"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.marked_tags(_table(spark, d, "writes"))
 
@@ -40,6 +52,9 @@ def p6_terms(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_classes": p2_classes,
+    "p3_found": p3_found,
+    "p3_pairs": p3_pairs,
+    "p3_surprise": p3_surprise,
     "p6_found": p6_found,
     "p6_terms": p6_terms,
     "p7_ids": p7_ids,
@@ -58,7 +73,20 @@ marked AS (
   FROM tag)
 """
 
+_PAIRS = """
+has AS (SELECT DISTINCT id, t.key AS key FROM items_nested, unnest(tags) AS u(t) WHERE t.key IS NOT NULL),
+total AS (SELECT count(*) AS n FROM items_nested),
+per AS (SELECT key, count(*) AS n FROM has GROUP BY key),
+joint AS (SELECT a.key AS key_a, b.key AS key_b, count(*) AS n_ab FROM has a JOIN has b ON a.id = b.id AND a.key < b.key GROUP BY 1, 2),
+pair AS (
+  SELECT key_a, key_b, x.n AS n_a, y.n AS n_b, n_ab, (SELECT n FROM total) AS n
+  FROM joint JOIN per x ON x.key = key_a JOIN per y ON y.key = key_b)
+"""
+
 SQL: dict[str, str] = {
+    "p3_found": f"""WITH {_PAIRS} SELECT key_a, key_b FROM pair
+WHERE n_ab >= 5 AND n_ab * 1000 >= 4 * n AND CAST(n_ab AS HUGEINT) * n >= 3 * CAST(n_a AS HUGEINT) * n_b""",
+    "p3_pairs": f"WITH {_PAIRS} SELECT key_a, key_b, n_a, n_b, n_ab, CAST(n_ab AS DOUBLE) * n / (CAST(n_a AS DOUBLE) * n_b) AS lift FROM pair",
     "p6_found": f"WITH {_TAGS_ONCE} SELECT term, mark FROM marked WHERE mark IS NOT NULL",
     "p6_terms": f"""WITH {_TAGS_ONCE},
 part AS (
