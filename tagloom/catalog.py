@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.operators import hot_keys, wide
+from tagloom.operators import hot_keys, reject, wide
 from tagloom.sources.tables import TagOf, number_text, tag_items
 from tagloom.store import TagStore
 
@@ -35,6 +35,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": lambda s, d: hot_keys.hot_keys(table(s, d, "writes")),
     "p1_profile": lambda s, d: hot_keys.key_profile(table(s, d, "writes")),
     "p4_found": lambda s, d: wide.failed_cells(*(table(s, d, t) for t in ("tags", "store_items", "attr_catalog"))),
+    "p5_found": lambda s, d: reject.rejected(table(s, d, "tag_lines"), table(s, d, "tag_export")),
+    "p5_loaded": lambda s, d: reject.loaded_tags(table(s, d, "tag_lines"), table(s, d, "tag_export")),
     "p4_wide": lambda s, d: wide.widen(*(table(s, d, t) for t in ("tags", "store_items", "attr_catalog"))).drop("failed"),
 }
 
