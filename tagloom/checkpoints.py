@@ -2,26 +2,47 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ready(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in ``spark.checkpoint.dir``; only a local
+def folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; only a local
     session that names none gets a temporary folder of its own."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    folder = sc.getConf().get("spark.checkpoint.dir")
-    if folder is None:
+    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if named is None:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="tagloom-")
-    sc.setCheckpointDir(folder)
+        named = tempfile.mkdtemp(prefix="tagloom-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    return sc.getCheckpointDir() or named
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows from a reliable checkpoint, computed now."""
-    ready(df.sparkSession)
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The same rows from a compressed table in the shared folder, written now: smaller
+    than a checkpoint, and read by column. It is deleted when the driver ends."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+
+    def delete() -> None:
+        try:
+            jvm = spark.sparkContext._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001 - the session may have ended before
+            pass
+
+    atexit.register(delete)
+    return spark.read.schema(df.schema).parquet(path)
