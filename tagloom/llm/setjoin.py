@@ -8,8 +8,9 @@ compared in full; a node that turns out larger than ``limit`` is split again, an
 still large after ``rounds`` is compared block by block, so nothing is capped or dropped.
 Trees are repeated for recall, and every candidate is verified on the whole sets.
 
-Only (node, record, size, sketch) is shuffled, never the sets. Equal sets are folded into
-one representative first, so a group of copies, however large, is one row in the trees.
+Only (node, record, size, sketch) is shuffled, never the sets, and a record is named there
+by a hash of its id: two ids of one hash only make a candidate more. Equal sets are folded
+into one representative first, so a group of copies, however large, is one row in the trees.
 """
 
 from __future__ import annotations
@@ -24,11 +25,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.checkpoints import cut
+from tagloom.checkpoints import cut, saved
 
-_ROWS = "node bigint, rep string, n int, sketch bigint, level int"
-_FOUND = "kind int, a string, b string, node bigint, level int"
+_ROWS = "node bigint, rep bigint, n int, sketch bigint"
+_FOUND = "kind int, a bigint, b bigint, node bigint, level int"
 _DENSE = 0x9E3779B97F4A7C15
+#: A row's n holds the set's size below and the level above.
+_SIZE_BITS = 24
 
 
 @dataclass(frozen=True)
@@ -45,6 +48,8 @@ class Params:
     frequent: int = 20_000
     rounds: int = 6
     block: int = 512
+    #: Most rows of a side that is broadcast; beyond, the join shuffles.
+    broadcast_rows: int = 1_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -130,14 +135,11 @@ def _rows_of(frequent: np.ndarray, p: Params, roots_of):
                 sketch = sketches(tokens, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
                 for level, roots, owner in roots_of(batch):
                     node, who = descend(tokens, lengths, roots, owner, level, frequent, p)
-                    pick = pa.array(who)
+                    packed = (lengths[who] | (level + p.depth) << _SIZE_BITS).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(node.view(np.int64)), batch.column(0).take(pick), pa.array(lengths[who].astype(np.int32)),
-                            pa.array(sketch[who].view(np.int64)), pa.array(np.full(len(who), level + p.depth, np.int32)),
-                        ],
-                        names=["node", "rep", "n", "sketch", "level"],
-                    )
+                        [pa.array(node.view(np.int64)), batch.column(0).take(pa.array(who)), pa.array(packed), pa.array(sketch[who].view(np.int64))],
+                        names=["node", "rep", "n", "sketch"],
+                    )
 
     return run
 
@@ -166,6 +168,9 @@ def _compare(p: Params, limit: int | None):
         def out(kind: int, a: pa.Array, b: pa.Array, node: pa.Array, level: pa.Array) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), a, b, node, level], names=["kind", "a", "b", "node", "level"])
 
+        def level_of(n: pa.Array) -> pa.Array:
+            return pa.array(n.to_numpy() >> _SIZE_BITS)
+
         def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
             if not t.num_rows:
                 return
@@ -178,9 +183,9 @@ def _compare(p: Params, limit: int | None):
             if over.any():
                 rows = pa.array(np.flatnonzero(over))
                 rep = col["rep"].take(rows)
-                yield out(1, rep, rep, col["node"].take(rows), col["level"].take(rows))
+                yield out(1, rep, rep, col["node"].take(rows), level_of(col["n"].take(rows)))
             keep = np.flatnonzero(~over)
-            n, sketch = col["n"].to_numpy()[keep], col["sketch"].to_numpy()[keep].view(np.uint64)
+            n, sketch = col["n"].to_numpy()[keep] & (1 << _SIZE_BITS) - 1, col["sketch"].to_numpy()[keep].view(np.uint64)
             for i, j in pairs_in_runs(node[keep], n, sketch, p):
                 if len(i):
                     a, b = col["rep"].take(pa.array(keep[i])), col["rep"].take(pa.array(keep[j]))
@@ -197,7 +202,7 @@ def _compare(p: Params, limit: int | None):
                 more = int(np.argmin(here == large)) if (here != large).any() else len(here)
                 if more:
                     part = t.slice(0, more).combine_chunks().to_batches()[0]
-                    yield out(1, part.column("rep"), part.column("rep"), part.column("node"), part.column("level"))
+                    yield out(1, part.column("rep"), part.column("rep"), part.column("node"), level_of(part.column("n")))
                 t = t.slice(more)
                 if not t.num_rows:
                     continue
@@ -218,17 +223,18 @@ def _compare(p: Params, limit: int | None):
 
 
 def token_hashes(tags: Column) -> Column:
-    """A sorted array of 64-bit hashes of the distinct tags, absent and empty told apart."""
-    part = lambda c: F.coalesce(F.concat(F.lit("+"), c), F.lit("-"))
-    one = lambda t: F.xxhash64(part(t["ns"]), part(t["key"]), part(t["value"]))
-    return F.array_sort(F.array_distinct(F.transform(F.coalesce(tags, F.array().cast("array<struct<ns:string,key:string,value:string>>")), one)))
+    """A sorted array of 64-bit hashes of the distinct tags. The numbers between the parts
+    keep them apart, as the hash passes over an absent one."""
+    one = lambda t: F.xxhash64(t["ns"], F.lit(1), t["key"], F.lit(2), t["value"])
+    return F.sort_array(F.array_distinct(F.transform(F.coalesce(tags, F.array().cast("array<struct<ns:string,key:string,value:string>>")), one)))
 
 
 def record_sets(tables: list[DataFrame], p: Params) -> DataFrame:
-    """``(id, tokens)`` of records with at least ``least`` distinct tags; an id that comes
-    again, in one table or both, is one record with all its tags."""
+    """``(id, rid, tokens, f1, f2)`` of records with at least ``least`` distinct tags,
+    saved: each table is read once. f1 and f2 together are 128 bits that stand for the set."""
     rows = reduce(DataFrame.unionByName, [t.select("id", token_hashes(F.col("tags")).alias("tokens")) for t in tables])
-    return rows.filter(F.col("id").isNotNull() & (F.size("tokens") >= p.least))
+    kept = rows.filter(F.col("id").isNotNull() & (F.size("tokens") >= p.least))
+    return saved(kept.select("id", F.xxhash64("id").alias("rid"), "tokens", F.xxhash64("tokens").alias("f1"), F.xxhash64(F.lit(7), "tokens").alias("f2")))
 
 
 def frequent_tokens(sets: DataFrame, p: Params) -> np.ndarray:
@@ -247,7 +253,8 @@ def _candidates(reps: DataFrame, frequent: np.ndarray, p: Params) -> DataFrame:
         lined_up = rows.repartition("node").sortWithinPartitions("node", "rep")
         return lined_up.mapInArrow(_compare(p, limit), _FOUND).filter((F.col("kind") == 1) | (F.col("a") != F.col("b"))).distinct()
 
-    rows = reps.select("rep", "tokens").mapInArrow(_rows_of(frequent, p, _from_top(p)), _ROWS)
+    reps = reps.select(F.col("rid").alias("rep"), "tokens")
+    rows = reps.mapInArrow(_rows_of(frequent, p, _from_top(p)), _ROWS)
     found = []
     for _ in range(p.rounds):
         met = cut(compare(rows, p.limit))
@@ -259,10 +266,10 @@ def _candidates(reps: DataFrame, frequent: np.ndarray, p: Params) -> DataFrame:
         rows = again.mapInArrow(_rows_of(np.zeros(0, np.uint64), Params(**{**p.__dict__, "depth": 1}), _from_nodes), _ROWS)
     # Nodes that no split makes small: every block of the node against every other.
     sized = left.join(left.groupBy("node").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks")), "node").join(reps, "rep")
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    mine = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int")
     spread = sized.select("rep", "tokens", "node", "level", mine.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
     square = F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j"))
-    blocks = spread.select("rep", "tokens", square.alias("node"), "level").mapInArrow(_as_rows, _ROWS)
+    blocks = spread.select("rep", "tokens", square.alias("node")).mapInArrow(_as_rows, _ROWS)
     found.append(compare(blocks, None).select("a", "b"))
     return reduce(DataFrame.union, found).distinct()
 
@@ -274,23 +281,37 @@ def _as_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 tokens, lengths = _lists(batch.column(1))
                 sketch = sketches(tokens, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(2), batch.column(0), pa.array(lengths.astype(np.int32)), pa.array(sketch.view(np.int64)), batch.column(3)],
-                    names=["node", "rep", "n", "sketch", "level"],
+                    [batch.column(2), batch.column(0), pa.array(lengths.astype(np.int32)), pa.array(sketch.view(np.int64))],
+                    names=["node", "rep", "n", "sketch"],
                 )
 
 
-def similar_representatives(reps: DataFrame, frequent: np.ndarray, p: Params) -> DataFrame:
-    """Verified ``(a, b, overlap, either)``: sizes of intersection and union."""
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("tokens").alias(f"t{x}"))
-    both = _candidates(reps, frequent, p).join(side("a"), "a").join(side("b"), "b")
+def _few(df: DataFrame, rows: int, p: Params) -> DataFrame:
+    """Broadcast a side of known, checked size; a larger one is shuffled."""
+    return F.broadcast(df) if rows <= p.broadcast_rows else df
+
+
+def similar_representatives(reps: DataFrame, p: Params) -> DataFrame:
+    """Verified ``(a, b, overlap, either)`` of representatives' ids, a < b by bytes, with
+    the sizes of intersection and union."""
+    pairs = cut(_candidates(reps, frequent_tokens(reps, p), p))
+    involved = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
+    sets = cut(reps.join(_few(involved, 2 * pairs.count(), p), "rid").select("rid", "id", "tokens"))
+    side = lambda x: sets.select(F.col("rid").alias(x), F.col("id").alias(f"id_{x}"), F.col("tokens").alias(f"t{x}"))
     overlap = F.size(F.array_intersect("ta", "tb"))
-    sized = both.select("a", "b", overlap.alias("overlap"), (F.size("ta") + F.size("tb") - overlap).alias("either"))
-    return sized.filter(F.col("overlap") * p.den >= F.col("either") * p.num)
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").select(
+        F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), overlap.alias("overlap"), (F.size("ta") + F.size("tb") - overlap).alias("either")
+    )
+    return sized.filter((F.col("a") != F.col("b")) & (F.col("overlap") * p.den >= F.col("either") * p.num)).distinct()
 
 
-def representatives(sets: DataFrame) -> DataFrame:
-    """``(rep, tokens, copies)``: one row per distinct set; rep is its least id."""
-    return sets.groupBy("tokens").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"))
+def fold_copies(sets: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
+    """(representatives, copies): the records less all but the first of each group of equal
+    sets, and ``(rep, id, copies)`` of the groups of two or more, rep being the least id."""
+    groups = sets.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies")).filter("copies > 1")
+    copies = cut(sets.select("f1", "f2", "id").join(groups, ["f1", "f2"]).select("rep", "id", "copies").distinct())
+    others = copies.filter("id != rep").select("id")
+    return sets.join(_few(others, others.count(), p), "id", "left_anti"), copies
 
 
 def similar_pairs(tables: list[DataFrame], p: Params | None = None) -> DataFrame:
@@ -298,17 +319,14 @@ def similar_pairs(tables: list[DataFrame], p: Params | None = None) -> DataFrame
     the tables, whose tag sets have a Jaccard similarity of at least ``num / den``.
 
     Sets are of whole triples, repeats counting once, absent and empty parts differing.
-    Records with fewer than ``least`` tags, null ids, null and empty sets are in no pair.
-    Tags are compared by 64-bit hashes; two tags of one pair collide with a probability
-    below 2**-50. Copies are joined through their representative, and each pair of them
-    is spelled out, as the query asks for records.
+    Records with fewer than ``least`` tags, null ids, null and empty sets are in no pair;
+    a repeated row is no pair with itself. Tags are compared by 64-bit hashes; two tags of
+    one pair collide with a probability below 2**-50. Copies are joined through their
+    representative, and each pair of them is spelled out, as the query asks for records.
     """
     p = p or Params()
-    sets = record_sets(tables, p)
-    reps = representatives(sets)
-    linked = similar_representatives(reps, frequent_tokens(sets, p), p).select("a", "b")
-    groups = reps.filter("copies > 1")
-    copies = sets.join(groups, "tokens").select("rep", "id").distinct()
+    reps, copies = fold_copies(record_sets(tables, p), p)
+    linked = similar_representatives(reps, p).select("a", "b")
     member = lambda x: copies.select(F.col("rep").alias(x), F.col("id").alias(f"id_{x}"))
     spelled = linked.join(member("a"), "a", "left").join(member("b"), "b", "left").select(F.coalesce("id_a", "a").alias("x"), F.coalesce("id_b", "b").alias("y"))
     alike = member("a").join(member("b").withColumnRenamed("b", "a"), "a").filter("id_a < id_b").select(F.col("id_a").alias("x"), F.col("id_b").alias("y"))
@@ -322,8 +340,9 @@ def similarity_classes(tables: list[DataFrame], p: Params | None = None) -> Data
     its set is similar. Copies aren't spelled out."""
     p = p or Params()
     sets = record_sets(tables, p)
-    reps = representatives(sets)
-    linked = similar_representatives(reps, frequent_tokens(sets, p), p)
-    degree = linked.select("a").union(linked.select("b")).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("links"))
-    classes = reps.join(degree, "rep", "left")
-    return sets.join(classes, "tokens").select("id", F.col("rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links")).distinct()
+    reps, copies = fold_copies(sets, p)
+    linked = similar_representatives(reps, p)
+    degree = linked.select("a").union(linked.select("b")).groupBy(F.col("a").alias("class_id")).agg(F.count("*").alias("links"))
+    named = sets.select("id").distinct().join(copies, "id", "left")
+    classes = named.select("id", F.coalesce("rep", "id").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    return classes.join(degree, "class_id", "left").select("id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
