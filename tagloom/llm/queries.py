@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import cooccur, encode, setjoin, terms
+from tagloom.llm import cooccur, encode, leaks, setjoin, terms
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -49,6 +49,15 @@ def p6_terms(spark: SparkSession, d: str) -> DataFrame:
     return terms.all_terms(_table(spark, d, "writes"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leaks.leaks(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
+    return found.select("doc_id", "item_id").distinct()
+
+
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.without_leaks(_table(spark, d, "documents"), _table(spark, d, "benchmark")).select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_classes": p2_classes,
@@ -58,6 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_terms": p6_terms,
     "p7_ids": p7_ids,
+    "p8_found": p8_found,
+    "p8_clean": p8_clean,
 }
 
 _TAGS_ONCE = """
