@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import cooccur, encode, leaks, setjoin, terms
+from tagloom.llm import cooccur, encode, leaks, levels, setjoin, terms
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -58,6 +58,14 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return leaks.without_leaks(_table(spark, d, "documents"), _table(spark, d, "benchmark")).select("doc_id")
 
 
+def p9_levels(spark: SparkSession, d: str) -> DataFrame:
+    return levels.reading_levels(_table(spark, d, "documents"), _table(spark, d, "doc_levels"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_levels(spark, d).filter("level IN (1, 4)").select("doc_id", "level").distinct()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_classes": p2_classes,
@@ -69,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_clean": p8_clean,
+    "p9_found": p9_found,
+    "p9_levels": p9_levels,
 }
 
 _TAGS_ONCE = """
