@@ -43,7 +43,7 @@ class Params:
     max_labels: int = 20_000
     folds: int = 4
     least_docs: int = 2
-    english: float = 0.5
+    english: float = 0.7
     longer_than: int = 40
     ridge: float = 1e-3
 
