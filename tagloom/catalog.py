@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.config import ARITY_NS, HIDE_NS, ROOT_NS, TYPE_NS
+from tagloom.functions.comparators import SEMVER, VERSION
 from tagloom.operators import hot_keys, reject, wide
-from tagloom.sources.tables import TagOf, number_text, tag_items
+from tagloom.operators.collapse import live_tags
+from tagloom.sources import lines as line_source
+from tagloom.sources.layout import to_long, to_nested
+from tagloom.sources.tables import TagOf, number_text, tag_items, tag_table
 from tagloom.store import TagStore
 
 
@@ -30,8 +35,297 @@ def order_items(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def lineitem_tags(spark: SparkSession, d: str) -> DataFrame:
+    return tag_table(
+        table(spark, d, "lineitem"),
+        F.concat(F.lit("o"), F.col("l_orderkey").cast("string")),
+        [
+            TagOf("flag", F.col("l_returnflag")),
+            TagOf("status", F.col("l_linestatus"), "line"),
+            TagOf("qty", number_text("l_quantity"), "line"),
+            TagOf("ship", F.date_format("l_shipdate", "yyyy-MM-dd")),
+        ],
+    )
+
+
+def event_tags(spark: SparkSession, d: str) -> DataFrame:
+    return tag_table(
+        table(spark, d, "events"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string")),
+        [TagOf("event", F.col("event_type")), TagOf("value", number_text("value"), "ev"), TagOf("errored", when=F.col("event_type") == "error")],
+    )
+
+
+def document_items(spark: SparkSession, d: str) -> DataFrame:
+    return tag_items(
+        table(spark, d, "documents"),
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")),
+        [TagOf("lang", F.col("lang")), TagOf("source", F.col("source")), TagOf("chars", F.col("n_chars").cast("string"), "meta")],
+    )
+
+
+def part_items(spark: SparkSession, d: str) -> DataFrame:
+    version = F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 20).cast("string"))
+    return tag_items(
+        table(spark, d, "part"),
+        F.concat(F.lit("p"), F.col("p_partkey").cast("string")),
+        [TagOf("brand", F.col("p_brand")), TagOf("size", F.col("p_size").cast("string")), TagOf("ver", version)],
+    )
+
+
+def customer_items(spark: SparkSession, d: str) -> DataFrame:
+    joined = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return tag_items(
+        joined,
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string")),
+        [TagOf("segment", F.col("c_mktsegment")), TagOf("nation", F.col("n_name"), "geo"), TagOf("bal", number_text("c_acctbal"), "acct")],
+    )
+
+
+def with_settings(store: str, query: str, *settings: tuple[str, str, str], at: float | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    """A query over a store with added setting tags (namespace, target, value)."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        extra = spark.createDataFrame([("settings", *x) for x in settings], "id string, ns string, key string, value string")
+        made = TagStore.from_tags(store_of(store)(spark, d).tags.unionByName(extra))
+        made.register_type("version", VERSION)
+        return made.query(query)
+
+    return run
+
+
+def event_writes(spark: SparkSession, d: str, scalar: str | None, since: int) -> DataFrame:
+    """Events as a write log by event_id, with a key declared scalar at a given time."""
+    rows = table(spark, d, "events").select(
+        (F.col("event_id") * 2).alias("seq"), F.lit(0).alias("pos"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("id"),
+        F.lit(None).cast("string").alias("ns"), F.lit("event").alias("key"), F.col("event_type").alias("value"),
+    )
+    if scalar is None:
+        return rows
+    setting = spark.createDataFrame([(since, 0, "settings", ARITY_NS, scalar, "scalar")], "seq bigint, pos int, id string, ns string, key string, value string")
+    return rows.unionByName(setting)
+
+
+def arity(query: str, scalar: str | None, since: int = -1) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda s, d: TagStore.from_writes(event_writes(s, d, scalar, since)).query(query)
+
+
+def line_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Orders spelled as lines, read back, and asked."""
+    text = line_source.to_lines(order_items(spark, d)).withColumn("seq", F.monotonically_increasing_id())
+    return TagStore.from_writes(line_source.to_writes(line_source.parse_lines(text))).query('priority="4-NOT SPECIFIED" and not status=F')
+
+
+def ingest(spark: SparkSession, d: str) -> DataFrame:
+    """The valid raw lines, by built-in expressions."""
+    parsed = line_source.parse_lines(table(spark, d, "tag_lines"), "dropmalformed")
+    return line_source.to_writes(parsed).distinct()
+
+
+def store_of(name: str) -> Callable[[SparkSession, str], TagStore]:
+    nested = {"orders": order_items, "documents": document_items, "parts": part_items, "customers": customer_items}
+    long = {"lines": lineitem_tags, "events": event_tags}
+
+    def make(spark: SparkSession, d: str) -> TagStore:
+        if name in nested:
+            return TagStore.from_nested(nested[name](spark, d))
+        if name in long:
+            return TagStore.from_tags(long[name](spark, d))
+        if name == "shop":  # orders and their lines as one store
+            orders = order_items(spark, d).select("id", F.inline("tags"))
+            return TagStore.from_tags(orders.unionByName(lineitem_tags(spark, d)))
+        if name == "nested":
+            store = TagStore.from_nested(table(spark, d, "items_nested"))
+        elif name == "writes":
+            store = TagStore.from_writes(table(spark, d, "writes"), table(spark, d, "store_items"))
+        else:
+            store = TagStore.from_tags(table(spark, d, "tags"), table(spark, d, "store_items"))
+        store.register_type("semver", SEMVER)
+        return store
+
+    return make
+
+
+def ask(store: str, query: str, strategy: str = "auto", postfix: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        s = store_of(store)(spark, d)
+        return (s.query_postfix if postfix else s.query)(query, strategy)
+
+    return run
+
+
+# The views of the stores in SQL, as (id, ns, key, value).
+_VIEW = {
+    "orders": """
+      SELECT 'o' || o_orderkey AS id, NULL AS ns, 'status' AS key, o_orderstatus AS value FROM orders UNION ALL
+      SELECT 'o' || o_orderkey, NULL, 'priority', o_orderpriority FROM orders UNION ALL
+      SELECT 'o' || o_orderkey, 'order', 'total', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) FROM orders UNION ALL
+      SELECT 'o' || o_orderkey, NULL, 'due', strftime(o_orderdate, '%Y-%m-%d') FROM orders UNION ALL
+      SELECT 'o' || o_orderkey, NULL, 'urgent', NULL FROM orders WHERE o_orderpriority = '1-URGENT'""",
+    "lines": """
+      SELECT 'o' || l_orderkey AS id, NULL AS ns, 'flag' AS key, l_returnflag AS value FROM lineitem UNION ALL
+      SELECT 'o' || l_orderkey, 'line', 'status', l_linestatus FROM lineitem UNION ALL
+      SELECT 'o' || l_orderkey, 'line', 'qty', CAST(CAST(l_quantity AS DECIMAL(18,2)) AS VARCHAR) FROM lineitem UNION ALL
+      SELECT 'o' || l_orderkey, NULL, 'ship', strftime(l_shipdate, '%Y-%m-%d') FROM lineitem""",
+    "events": """
+      SELECT 'u' || user_id AS id, NULL AS ns, 'event' AS key, event_type AS value FROM events UNION ALL
+      SELECT 'u' || user_id, 'ev', 'value', CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) FROM events UNION ALL
+      SELECT 'u' || user_id, NULL, 'errored', NULL FROM events WHERE event_type = 'error'""",
+    "documents": """
+      SELECT 'd' || doc_id AS id, NULL AS ns, 'lang' AS key, lang AS value FROM documents WHERE lang IS NOT NULL UNION ALL
+      SELECT 'd' || doc_id, NULL, 'source', source FROM documents WHERE source IS NOT NULL UNION ALL
+      SELECT 'd' || doc_id, 'meta', 'chars', CAST(n_chars AS VARCHAR) FROM documents WHERE n_chars IS NOT NULL""",
+    "parts": """
+      SELECT 'p' || p_partkey AS id, NULL AS ns, 'brand' AS key, p_brand AS value FROM part UNION ALL
+      SELECT 'p' || p_partkey, NULL, 'size', CAST(p_size AS VARCHAR) FROM part UNION ALL
+      SELECT 'p' || p_partkey, NULL, 'ver', p_size || '.' || p_partkey % 20 FROM part""",
+    "customers": """
+      SELECT 'c' || c_custkey AS id, NULL AS ns, 'segment' AS key, c_mktsegment AS value FROM customer UNION ALL
+      SELECT 'c' || c_custkey, 'geo', 'nation', n_name FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL
+      SELECT 'c' || c_custkey, 'acct', 'bal', CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) FROM customer""",
+    "tags": "SELECT id, ns, key, value FROM tags",
+}
+_VIEW["shop"] = _VIEW["orders"] + " UNION ALL " + _VIEW["lines"]
+_NUM = "CASE WHEN regexp_full_match(value, '[-+]?[0-9]+([.][0-9]+)?') THEN TRY_CAST(value AS DOUBLE) END"
+# What the settings in `tags` hide, besides the root namespace.
+_ROOT = f"(coalesce(ns = '{ROOT_NS}', false) OR coalesce(starts_with(ns, '{ROOT_NS}.'), false))"
+_X9 = "(coalesce(ns = 'x9', false) OR coalesce(starts_with(ns, 'x9.'), false))"
+_DIGEST = "(coalesce(ns = 'src', false) AND key = 'digest')"
+_SEEN = f"NOT {_ROOT} AND NOT {_X9} AND NOT {_DIGEST}"
+_CORE = "list_transform(string_split(string_split(string_split(value, '+')[1], '-')[1], '.'), lambda x: TRY_CAST(x AS UBIGINT))"
+_PRE = "contains(string_split(value, '+')[1], '-')"
+
+
+def _any(condition: str) -> str:
+    return f"coalesce(bool_or({condition}), false)"
+
+
+def _ids(view: str, having: str) -> str:
+    return f"WITH v AS ({_VIEW[view]}) SELECT id FROM v GROUP BY id HAVING {having}"
+
+
+def _has(key: str, value: str | None = None, ns: str | None = None) -> str:
+    place = "ns IS NULL" if ns is None else f"ns = '{ns}'"
+    return _any(f"{place} AND key = '{key}'" + ("" if value is None else f" AND value = '{value}'"))
+
+
+_URGENT, _STATUS_F = _has("urgent"), _has("status", "F")
+_DEBT = _any(f"ns = 'acct' AND key = 'bal' AND {_NUM} < 0")
+_DUE_1997 = "ns IS NULL AND key = 'due' AND value LIKE '1997-__-__'"
+
+# name: (store, query, the condition on an item's tags in SQL[, strategy or "postfix"])
+_ASKED: dict[str, tuple[str, ...]] = {
+    # One atom: namespace, key and value positions.
+    "bare_key": ("orders", "urgent", _any("ns IS NULL AND key = 'urgent'")),
+    "ns_exact": ("orders", "order:total", _any("ns = 'order' AND key = 'total'")),
+    "ns_any": ("shop", "*:status", _any("key = 'status'")),
+    "ns_named": ("shop", "+:status", _any("ns IS NOT NULL AND key = 'status'")),
+    "key_wild": ("shop", "line:*", _any("ns = 'line'")),
+    "key_wild_plus": ("shop", "line:+", _any("ns = 'line'")),
+    "bare_star": ("customers", "*", _any("ns IS NULL")),
+    "universe": ("tags", "*:*", _any(_SEEN)),
+    "val_any": ("orders", "urgent=*", _any("ns IS NULL AND key = 'urgent'")),
+    "val_present": ("tags", "+:+=+", _any(f"ns IS NOT NULL AND value IS NOT NULL AND {_SEEN}")),
+    "val_present_none": ("orders", "urgent=+", _any("ns IS NULL AND key = 'urgent' AND value IS NOT NULL")),
+    "val_any_gt": ("orders", "urgent>*", _any("ns IS NULL AND key = 'urgent'")),
+    "val_empty": ("tags", '*:*=""', _any(f"value = '' AND {_SEEN}")),
+    "eq": ("lines", "flag=R", _any("ns IS NULL AND key = 'flag' AND value = 'R'")),
+    "ne_existential": ("lines", "flag!=R", _any("ns IS NULL AND key = 'flag' AND value <> 'R'")),
+    "num_gt": ("orders", "*:total>100000", _any(f"key = 'total' AND {_NUM} > 100000")),
+    "num_ge": ("parts", "size>=25", _any(f"key = 'size' AND {_NUM} >= 25")),
+    "num_lt": ("parts", "size<5", _any(f"key = 'size' AND {_NUM} < 5")),
+    "num_le": ("lines", "line:qty<=3", _any(f"ns = 'line' AND key = 'qty' AND {_NUM} <= 3")),
+    "num_negative": ("customers", "acct:bal<0", _any(f"ns = 'acct' AND key = 'bal' AND {_NUM} < 0")),
+    "num_dirty": ("tags", "rank>100", _any(f"ns IS NULL AND key = 'rank' AND {_NUM} > 100")),
+    "num_quoted": ("tags", '"":rank>"100"', _any(f"ns = '' AND key = 'rank' AND {_NUM} > 100")),
+    "num_uninterpretable": ("orders", "priority>1", "false"),
+    "anchored": ("orders", "due~1997-..-..", _any(_DUE_1997)),
+    "anchored_len": ("orders", "due~1997", _any("ns IS NULL AND key = 'due' AND value LIKE '1997'")),
+    "anchored_literal": ("tags", '*:*~"...%..."', _any(f"value LIKE '___~%___' ESCAPE '~' AND {_SEEN}")),
+    "quoted_value": ("orders", 'priority="4-NOT SPECIFIED"', _any("ns IS NULL AND key = 'priority' AND value = '4-NOT SPECIFIED'")),
+    "quoted_hash": ("parts", 'brand="Brand#13"', _any("ns IS NULL AND key = 'brand' AND value = 'Brand#13'")),
+    # Boolean algebra.
+    "and": ("orders", "urgent and status=F", f"{_URGENT} AND {_STATUS_F}"),
+    "or": ("customers", "segment=BUILDING or acct:bal<0", f"{_has('segment', 'BUILDING')} OR {_DEBT}"),
+    "not": ("orders", "not urgent", f"NOT {_URGENT}"),
+    "and_not": ("orders", "status=F and not urgent", f"{_STATUS_F} AND NOT {_URGENT}"),
+    "not_not": ("orders", "not not urgent", _URGENT),
+    "demorgan": ("orders", "not (status=F or not urgent)", f"NOT ({_STATUS_F} OR NOT {_URGENT})"),
+    "demorgan_and": ("lines", "not (flag=R and not line:status=F)", f"NOT ({_has('flag', 'R')} AND NOT {_has('status', 'F', 'line')})"),
+    "or_not": ("lines", "flag=R or not flag=N", f"{_has('flag', 'R')} OR NOT {_has('flag', 'N')}"),
+    "no_value_v": ("lines", "flag and not flag=R", f"{_has('flag')} AND NOT {_has('flag', 'R')}"),
+    "precedence": ("orders", "urgent or status=F and not priority=5-LOW", f"{_URGENT} OR {_STATUS_F} AND NOT {_has('priority', '5-LOW')}"),
+    "parentheses": ("orders", "(urgent or status=F) and due~1997-..-..", f"({_URGENT} OR {_STATUS_F}) AND {_any(_DUE_1997)}"),
+    "juxtapose": ("orders", "urgent status=F", f"{_URGENT} AND {_STATUS_F}"),
+    "case_ops": ("orders", "urgent AND Not status=F", f"{_URGENT} AND NOT {_STATUS_F}"),
+    "postfix_query": ("orders", "urgent/status=F/not/and", f"{_URGENT} AND NOT {_STATUS_F}", "postfix"),
+    "postfix_fold": ("orders", "urgent/status=F", f"{_URGENT} AND {_STATUS_F}", "postfix"),
+    "double_wild_eq": ("shop", "*:*=F", _any("value = 'F'")),
+    "double_wild_ne": ("shop", "+:*!=F", _any("ns IS NOT NULL AND value <> 'F'")),
+    "double_wild_gt": ("shop", "*:*>49", _any(f"{_NUM} > 49")),
+    "double_wild_match": ("shop", "*:*~F", _any("value LIKE 'F'")),
+    "multi_valued": ("events", "event=click and event=purchase and not errored", f"{_has('event', 'click')} AND {_has('event', 'purchase')} AND NOT {_has('errored')}"),
+    "documents_tags": ("documents", "lang=en and meta:chars>3000 and not source=ocr", f"{_has('lang', 'en')} AND {_any(f'''ns = 'meta' AND key = 'chars' AND {_NUM} > 3000''')} AND NOT {_has('source', 'ocr')}"),
+    "gate_8atom": (
+        "shop", "(status=F or status=P) and not urgent and *:total>50000 and due~199.-..-.. and (line:qty>=45 or flag=R) and not line:status=X",
+        f"({_STATUS_F} OR {_has('status', 'P')}) AND NOT {_URGENT} AND {_any(f'''key = 'total' AND {_NUM} > 50000''')} AND {_any('''ns IS NULL AND key = 'due' AND value LIKE '199_-__-__' ''')}"
+        f" AND ({_any(f'''ns = 'line' AND key = 'qty' AND {_NUM} >= 45''')} OR {_has('flag', 'R')}) AND NOT {_has('status', 'X', 'line')}",
+    ),
+    # The same questions by the other plans.
+    "posting_and_not": ("shop", "flag=R and not urgent", f"{_has('flag', 'R')} AND NOT {_URGENT}", "posting"),
+    "posting_demorgan": ("shop", "not (flag=R or urgent)", f"NOT ({_has('flag', 'R')} OR {_URGENT})", "posting"),
+    "posting_or_not": ("shop", "status=P or not flag=N", f"{_has('status', 'P')} OR NOT {_has('flag', 'N')}", "posting"),
+    "fused_complement": ("orders", "not (urgent and status=F)", f"NOT ({_URGENT} AND {_STATUS_F})", "fused"),
+    "nested_tags": ("nested", "lang=en and not sys:state=idle", f"{_has('lang', 'en')} AND NOT {_has('state', 'idle', 'sys')} AND {_any(_SEEN)}", "nested"),
+    # Visibility. The store's own settings hide x9 with all keys, and src:digest.
+    "hide_default_off": ("tags", f"{ROOT_NS}.hide:*", _any(f"ns = '{ROOT_NS}.hide'")),
+    "hide_ns_wild_finds_none": ("tags", "*:* and not (+:* or *)", "false"),
+    "hide_ns_named": ("tags", "x9:*", _any("ns = 'x9'")),
+    "hide_key_named": ("tags", "src:digest", _any("ns = 'src' AND key = 'digest'")),
+    "hide_key_wild": ("tags", "*:digest", _any(f"key = 'digest' AND {_SEEN}")),
+    "hide_key_under_ns": ("tags", "src:*", _any("ns = 'src'")),
+    "hide_other_key": ("tags", "src:path and *:digest", f"{_has('path', ns='src')} AND {_any(f'''key = 'digest' AND {_SEEN}''')}"),
+    "hide_complement": ("tags", "not topic", f"NOT {_has('topic')} AND {_any(_SEEN)}"),
+    "hide_complement_revealed": ("tags", "not x9:none", f"NOT {_has('none', ns='x9')} AND {_any(f'''NOT {_ROOT} AND NOT {_DIGEST}''')}"),
+    "hide_ignored_value": ("tags", "link:ref and not topic", f"{_has('ref', ns='link')} AND NOT {_has('topic')}"),
+    # Typed comparison: the store declares rel:version as a semantic version.
+    "type_semver_gt": ("tags", "rel:version>2.5.0", _any(f"ns = 'rel' AND key = 'version' AND {_CORE} > [2, 5, 0]")),
+    "type_semver_ge": ("tags", "rel:version>=2.5.0", _any(f"ns = 'rel' AND key = 'version' AND ({_CORE} > [2, 5, 0] OR {_CORE} = [2, 5, 0] AND NOT {_PRE})")),
+    "type_semver_lt": ("tags", "rel:version<1.0.0+b", _any(f"ns = 'rel' AND key = 'version' AND ({_CORE} < [1, 0, 0] OR {_CORE} = [1, 0, 0] AND {_PRE})")),
+    "type_semver_wild": ("tags", "*:version>=4.0.0", _any(f"ns = 'rel' AND key = 'version' AND ({_CORE} > [4, 0, 0] OR {_CORE} = [4, 0, 0] AND NOT {_PRE})")),
+}
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "flagship": lambda s, d: TagStore.from_nested(order_items(s, d)).query("status=F and not priority=5-LOW"),
+    "flagship": ask("orders", "status=F and not priority=5-LOW"),
+    **{n: ask(a[0], a[1], "auto" if a[3:] in ((), ("postfix",)) else a[3], a[3:] == ("postfix",)) for n, a in _ASKED.items()},
+    "matching_ids": lambda s, d: store_of("parts")(s, d).matching_ids("size>=40"),
+    "all_ids": lambda s, d: store_of("tags")(s, d).all_ids(),
+    "participating": lambda s, d: store_of("tags")(s, d).participating(),
+    "hide_display": lambda s, d: store_of("tags")(s, d).displayed(),
+    "hide_ns": with_settings("shop", "*:* and not urgent", (HIDE_NS, "line:*", "true")),
+    "hide_key": with_settings("customers", "*:bal<0", (HIDE_NS, "acct:bal", "true")),
+    "hide_key_revealed": with_settings("customers", "acct:bal<0", (HIDE_NS, "acct:bal", "true")),
+    "hide_cross_ns": with_settings("shop", "*:status=F", (HIDE_NS, "*:status", "true")),
+    "hide_cross_ns_revealed": with_settings("shop", "line:status=F", (HIDE_NS, "*:status", "true")),
+    "hide_null_ns": with_settings("orders", "urgent or *:urgent", (HIDE_NS, "urgent", "true")),
+    "hide_both": with_settings("customers", "acct:none or *:nation=CANADA", (HIDE_NS, "acct:*", "true"), (HIDE_NS, "acct:bal", "true")),
+    "hide_off": with_settings("customers", "*:*", (HIDE_NS, f"{ROOT_NS}:*", "false")),
+    "type_version": with_settings("parts", "ver>24.9", (TYPE_NS, "ver", "version")),
+    "type_version_le": with_settings("parts", "ver<=3.10", (TYPE_NS, "ver", "version")),
+    "type_conflict": with_settings("parts", "ver>24.9", (TYPE_NS, "ver", "version"), (TYPE_NS, "ver", "date")),
+    "type_unregistered": with_settings("parts", "ver>24.9", (TYPE_NS, "ver", "unheard")),
+    "type_undeclared": with_settings("parts", "size>40", (TYPE_NS, "ver", "version")),
+    "arity_set": arity("event=click", None),
+    "arity_scalar": arity("event=click", "event"),
+    "arity_late": arity("event=click and event=view", "event", 9_001),
+    "arity_sibling": arity("event=click", "other"),
+    "collapse": lambda s, d: live_tags(table(s, d, "writes")),
+    "writes_query": ask("writes", "sys:state=idle and not owner"),
+    "to_nested": lambda s, d: to_nested(table(s, d, "tags"), table(s, d, "store_items")).select("id", F.size("tags").alias("n_tags")),
+    "to_long": lambda s, d: to_long(table(s, d, "items_nested")),
+    "line_round_trip": line_round_trip,
+    "line_ingest": ingest,
     "p1_found": lambda s, d: hot_keys.hot_keys(table(s, d, "writes")),
     "p1_profile": lambda s, d: hot_keys.key_profile(table(s, d, "writes")),
     "p4_found": lambda s, d: wide.failed_cells(*(table(s, d, t) for t in ("tags", "store_items", "attr_catalog"))),
@@ -84,7 +378,53 @@ def _wide_sql() -> str:
     return f"WITH {_READ} SELECT i.id, {one}, {many} FROM (SELECT DISTINCT id FROM store_items) i LEFT JOIN cell USING (id) GROUP BY i.id"
 
 
+_ONLY = "SELECT id FROM v GROUP BY id HAVING"
+_EVENT_LAST = """WITH ranked AS (
+  SELECT 'u' || user_id AS id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events)"""
+_LIVE = f"""WITH t AS (
+  SELECT CASE WHEN contains(key, ':') THEN split_part(key, ':', 1) END AS ns,
+         CASE WHEN contains(key, ':') THEN substr(key, instr(key, ':') + 1) ELSE key END AS key, min(seq) AS since
+  FROM writes WHERE ns = '{ARITY_NS}' AND value = 'scalar' GROUP BY 1, 2),
+w AS (
+  SELECT w.*, coalesce(w.seq > t.since, false) AS governed
+  FROM writes w LEFT JOIN t ON w.key = t.key AND w.ns IS NOT DISTINCT FROM t.ns),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY id, ns, key, governed ORDER BY seq DESC, pos DESC) AS k,
+         bool_or(governed) OVER (PARTITION BY id, ns, key) AS ruled FROM w),
+v AS (SELECT DISTINCT id, ns, key, value FROM r WHERE CASE WHEN ruled THEN governed AND k = 1 ELSE true END)
+"""
+_VERSION = "list_transform(string_split(value, '.'), lambda x: TRY_CAST(x AS BIGINT))"
+
 SQL: dict[str, str] = {
+    "flagship": _ids("orders", f"{_STATUS_F} AND NOT {_has('priority', '5-LOW')}"),
+    **{n: _ids("tags" if a[0] == "nested" else a[0], a[2]) for n, a in _ASKED.items()},
+    "matching_ids": _ids("parts", _any(f"key = 'size' AND {_NUM} >= 40")),
+    "all_ids": "SELECT id FROM tags UNION SELECT id FROM store_items",
+    "participating": _ids("tags", _any(_SEEN)),
+    "hide_display": f"SELECT DISTINCT id, ns, key, value FROM tags WHERE {_SEEN}",
+    "hide_ns": _ids("shop", f"{_any("ns IS DISTINCT FROM 'line'")} AND NOT {_URGENT}"),
+    "hide_key": _ids("customers", "false"),
+    "hide_key_revealed": _ids("customers", _DEBT),
+    "hide_cross_ns": _ids("shop", "false"),
+    "hide_cross_ns_revealed": _ids("shop", _has("status", "F", "line")),
+    "hide_null_ns": _ids("orders", _URGENT),
+    "hide_both": _ids("customers", _any("key = 'nation' AND value = 'CANADA'")),
+    "hide_off": f"WITH v AS ({_VIEW['customers']}) SELECT id FROM v UNION SELECT 'settings'",
+    "type_version": _ids("parts", _any(f"key = 'ver' AND {_VERSION} > [24, 9]")),
+    "type_version_le": _ids("parts", _any(f"key = 'ver' AND {_VERSION} <= [3, 10]")),
+    "type_conflict": _ids("parts", _any(f"key = 'ver' AND {_NUM} > 24.9")),
+    "type_unregistered": _ids("parts", _any(f"key = 'ver' AND {_NUM} > 24.9")),
+    "type_undeclared": _ids("parts", _any(f"key = 'size' AND {_NUM} > 40")),
+    "arity_set": "SELECT DISTINCT 'u' || user_id AS id FROM events WHERE event_type = 'click'",
+    "arity_scalar": f"{_EVENT_LAST} SELECT id FROM ranked WHERE k = 1 AND event_type = 'click'",
+    "arity_late": """SELECT 'u' || user_id AS id FROM events GROUP BY user_id
+HAVING max(event_id * 2) <= 9001 AND bool_or(event_type = 'click') AND bool_or(event_type = 'view')""",
+    "arity_sibling": "SELECT DISTINCT 'u' || user_id AS id FROM events WHERE event_type = 'click'",
+    "collapse": f"{_LIVE} SELECT id, ns, key, value FROM v",
+    "writes_query": f"{_LIVE} {_ONLY} {_has('state', 'idle', 'sys')} AND NOT {_has('owner')}",
+    "to_nested": "SELECT i.id, count(DISTINCT (t.ns, t.key, t.value)) FILTER (t.id IS NOT NULL) AS n_tags FROM (SELECT DISTINCT id FROM store_items) i LEFT JOIN tags t USING (id) GROUP BY i.id",
+    "to_long": "SELECT DISTINCT id, t.ns AS ns, t.key AS key, t.value AS value FROM items_nested, unnest(tags) AS u(t)",
+    "line_round_trip": _ids("orders", f"{_has('priority', '4-NOT SPECIFIED')} AND NOT {_STATUS_F}"),
     "p4_found": f"WITH {_READ} SELECT id, col_name FROM cell WHERE NOT many GROUP BY id, col_name HAVING count(DISTINCT text) <> 1",
     "p4_wide": _wide_sql(),
     "p1_found": f"""WITH {_GRAINS}
