@@ -331,6 +331,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": lambda s, d: wide.failed_cells(*(table(s, d, t) for t in ("tags", "store_items", "attr_catalog"))),
     "p5_found": lambda s, d: reject.rejected(table(s, d, "tag_lines"), table(s, d, "tag_export")),
     "p5_loaded": lambda s, d: reject.loaded_tags(table(s, d, "tag_lines"), table(s, d, "tag_export")),
+    "p4_failed": lambda s, d: wide.widen(*(table(s, d, t) for t in ("tags", "store_items", "attr_catalog"))).select(
+        "id", F.explode("failed").alias("col_name", "why")).select("id", "col_name", "why.reason", "why.n_rows", "why.n_unread"),
     "p4_wide": lambda s, d: wide.widen(*(table(s, d, t) for t in ("tags", "store_items", "attr_catalog"))).drop("failed"),
 }
 
@@ -426,6 +428,11 @@ HAVING max(event_id * 2) <= 9001 AND bool_or(event_type = 'click') AND bool_or(e
     "to_long": "SELECT DISTINCT id, t.ns AS ns, t.key AS key, t.value AS value FROM items_nested, unnest(tags) AS u(t)",
     "line_round_trip": _ids("orders", f"{_has('priority', '4-NOT SPECIFIED')} AND NOT {_STATUS_F}"),
     "p4_found": f"WITH {_READ} SELECT id, col_name FROM cell WHERE NOT many GROUP BY id, col_name HAVING count(DISTINCT text) <> 1",
+    "p4_failed": f"""WITH {_READ},
+state AS (SELECT id, col_name, many, count(*) AS n_rows, count(text) AS n_read, count(DISTINCT text) AS n FROM cell GROUP BY ALL)
+SELECT id, col_name, CASE WHEN n_read = 0 THEN 'unreadable' WHEN NOT many AND n > 1 THEN 'conflict' ELSE 'partly' END AS reason,
+       n_rows, n_rows - n_read AS n_unread
+FROM state WHERE n_read < n_rows OR NOT many AND n > 1""",
     "p4_wide": _wide_sql(),
     "p1_found": f"""WITH {_GRAINS}
 SELECT grain, name FROM named GROUP BY grain, name HAVING count(*) >= 0.06 * (SELECT count(*) FROM writes)""",

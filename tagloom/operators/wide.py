@@ -111,31 +111,37 @@ def widen(tags: DataFrame, items: DataFrame, catalog: DataFrame) -> DataFrame:
     the catalogue says many, and ``failed``: column to (reason, n_rows, n_unread).
 
     A column is NULL where the item has no row for it, where no value is readable
-    (``unreadable``) or where readable values differ (``conflict``); an array column then
-    is NULL too if nothing was readable. An absent value is never readable. ``''`` is a
+    (``unreadable``) or where readable values differ (``conflict``); an array column is
+    NULL if nothing was readable. ``partly`` marks a cell that has its value, or values,
+    but also rows that couldn't be read. An absent value is never readable. ``''`` is a
     string. NULL ids are dropped; ids only in ``tags`` give no row; repeated ids give one.
     """
     attributes = read_catalog(catalog)
-    state = F.struct("low", "high", "n_rows", "n_read", "several")
-    maps = (
-        resolved_pairs(tags, attributes).groupBy("id")
-        .agg(F.map_from_entries(F.collect_list(F.struct(F.col("attr"), state.alias("state")))).alias("of"))
-    )
+    # Most pairs are one value and nothing else; the rest of the state travels only with
+    # those that hold several, or rows that couldn't be read.
+    plain = (F.size("several") == 0) & (F.col("n_read") == F.col("n_rows")) & (F.col("low") == F.col("high"))
+    more = F.when(~F.coalesce(plain, F.lit(False)), F.struct("high", "n_rows", "n_read", "several"))
+    pairs = resolved_pairs(tags, attributes).select("id", "attr", F.struct("low", more.alias("more")).alias("state"))
+    maps = pairs.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("attr", "state"))).alias("of"))
     rows = items.select("id").filter(F.col("id").isNotNull()).distinct().join(maps, "id", "left")
 
     def cell(i: int) -> Column:
         return F.col("of")[F.lit(i)]
 
     def column(i: int, a: Attribute) -> Column:
+        c = cell(i)
         if a.many:
-            values = F.array_sort(F.transform(cell(i)["several"], lambda t: typed(a.kind, t)))
+            values = F.array_sort(F.transform(c["more"]["several"], lambda t: typed(a.kind, t)))
             return F.when(F.size(values) > 0, values).alias(a.column)
-        return F.when(cell(i)["low"] == cell(i)["high"], typed(a.kind, cell(i)["low"])).alias(a.column)
+        one = c["more"].isNull() | (c["more"]["high"] == c["low"])
+        return F.when(one, typed(a.kind, c["low"])).alias(a.column)
 
     def failure(i: int, a: Attribute) -> Column:
-        c = cell(i)
-        differ = F.lit(False) if a.many else F.coalesce(c["low"] != c["high"], F.lit(False))
-        reason = F.when(c["n_read"] == 0, "unreadable").when(differ, "conflict")
+        c = cell(i)["more"]
+        reason = F.when(c["n_read"] == 0, "unreadable")
+        if not a.many:
+            reason = reason.when(c["high"] != cell(i)["low"], "conflict")
+        reason = reason.when(c["n_read"] < c["n_rows"], "partly")
         entry = F.struct(
             F.lit(a.column).alias("key"),
             F.struct(reason.alias("reason"), c["n_rows"].alias("n_rows"), (c["n_rows"] - c["n_read"]).alias("n_unread")).alias("value"),
@@ -150,5 +156,5 @@ def widen(tags: DataFrame, items: DataFrame, catalog: DataFrame) -> DataFrame:
 def failed_cells(tags: DataFrame, items: DataFrame, catalog: DataFrame) -> DataFrame:
     """``(id, col_name)`` of the single-valued cells that have rows but no one value."""
     single = [a.column for a in read_catalog(catalog) if not a.many]
-    keys = widen(tags, items, catalog).select("id", F.explode(F.map_keys(FAILED)).alias("col_name"))
-    return keys.filter(F.col("col_name").isin(single))
+    cells = widen(tags, items, catalog).select("id", F.explode(FAILED).alias("col_name", "why"))
+    return cells.filter(F.col("col_name").isin(single) & (F.col("why.reason") != "partly")).select("id", "col_name")
