@@ -36,7 +36,7 @@ class Params:
     seed: int = 4
     share: float = 0.5
     errors: float = 0.25
-    gap: int = 8
+    gap: int = 12
     max_items: int = 100_000
 
 
@@ -153,11 +153,35 @@ def _matches(text: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np
     return p, item, q, size
 
 
-def _best_chain(p: list[int], q: list[int], size: list[int], params: Params) -> tuple[int, int, int]:
+def _aligned(a: list[int], b: list[int]) -> list[list[tuple[int, int]]]:
+    """table[i][j]: (matched less errors, matched) of the best alignment of a[:i] with
+    b[:j]; a changed, added or left out word is one error."""
+    table = [[(-j, 0) for j in range(len(b) + 1)]]
+    for i, x in enumerate(a, 1):
+        above, row = table[-1], [(-i, 0)]
+        for j, y in enumerate(b, 1):
+            d, m = above[j - 1]
+            step = (d + 1, m + 1) if x == y and x else (d - 1, m)
+            up, side = above[j], row[j - 1]
+            row.append(max(step, (up[0] - 1, up[1]), (side[0] - 1, side[1])))
+        table.append(row)
+    return table
+
+
+def _extension(a: list[int], b: list[int]) -> tuple[int, int, int, int]:
+    """(words of a, words of b, matched, errors) of the best common beginning."""
+    table = _aligned(a, b)
+    (score, matched), _, i, j = max((table[i][j], -i - j, i, j) for i in range(len(a) + 1) for j in range(len(b) + 1))
+    return i, j, matched, matched - score
+
+
+def _best_chain(p: list[int], q: list[int], size: list[int], text: list[int], item: list[int], params: Params) -> tuple[int, int, int]:
     """(matched, span, place) of the stretch that repeats most words in the item's order.
+    text is read by the places p, item by the places q.
 
-    A stretch is a chain of matches; between two of them at most ``gap`` words are changed,
-    added or lost, and in all not more than the allowed part of its words."""
+    A stretch is a chain of matches. The words between two of them, at most ``gap``, and
+    those before and after are aligned word by word; the words changed, added or lost may
+    be no more than the allowed part of the stretch."""
     order = sorted(range(len(p)), key=lambda k: (q[k], p[k]))
     best = (0, 0, 0)
     chains: list[tuple[int, int, int, int, int, int]] = []  # end p, end q, matched, errors, first q, first p
@@ -168,16 +192,24 @@ def _best_chain(p: list[int], q: list[int], size: list[int], params: Params) ->
             over = max(end_p - p[k], end_q - q[k], 0)  # matches may overlap by a word or so
             if over >= size[k] or p[k] + size[k] <= end_p or q[k] + size[k] <= end_q:
                 continue
-            gap = max(p[k] + over - end_p, q[k] + over - end_q)
-            if gap > params.gap:
+            on_p, on_q = p[k] + over, q[k] + over
+            if max(on_p - end_p, on_q - end_q) > params.gap or matched - errors + size[k] - over + params.gap <= score:
                 continue
-            total, wrong = matched + size[k] - over, errors + gap
+            between, hits = _aligned(text[end_p:on_p], item[end_q:on_q])[-1][-1]
+            total, wrong = matched + hits + size[k] - over, errors + hits - between
             if total - wrong > score:
                 score, mine = total - wrong, (p[k] + size[k], q[k] + size[k], total, wrong, first_q, first_p)
         chains.append(mine)
-        span = mine[1] - mine[4]
-        if mine[3] <= params.errors * (mine[2] + mine[3]) and (mine[2], span) > best[:2]:
-            best = (mine[2], span, mine[5])
+    # Ends are aligned for the chains that may win only.
+    for end_p, end_q, matched, errors, first_q, first_p in sorted(chains, key=lambda c: c[2], reverse=True):
+        if matched + 2 * params.gap < best[0]:
+            break
+        _, after, m1, e1 = _extension(text[end_p : end_p + params.gap], item[end_q : end_q + params.gap])
+        back_p, before, m2, e2 = _extension(text[max(first_p - params.gap, 0) : first_p][::-1], item[max(first_q - params.gap, 0) : first_q][::-1])
+        matched, errors = matched + m1 + m2, errors + e1 + e2
+        span = end_q + after - first_q + before
+        if errors <= params.errors * (matched + errors) and (matched, span) > best[:2]:
+            best = (matched, span, first_p - back_p)
     return best
 
 
@@ -206,10 +238,12 @@ def scan(texts: list[str | None], items: Items, params: Params) -> list[tuple[in
     out = []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         k = keep[a:b]
-        matched, span, place = _best_chain(p[k].tolist(), q[k].tolist(), size[k].tolist(), params)
         d, i = int(doc[k[0]]), int(item[k[0]])
+        low, high = int(start[d]), int(start[d + 1]) if d + 1 < len(start) else len(text)
+        wording = items.flat[items.starts[i] : items.starts[i] + items.lengths[i]].tolist()
+        matched, span, place = _best_chain((p[k] - low).tolist(), q[k].tolist(), size[k].tolist(), text[low:high].tolist(), wording, params)
         if span >= 0.5 * params.share * items.lengths[i]:
-            out.append((d, i, matched, span, int(items.lengths[i]), place - starts[d]))
+            out.append((d, i, matched, span, int(items.lengths[i]), place))
     return out
 
 
