@@ -7,8 +7,8 @@ longest verbatim match. The matches of a document and an item are then chained i
 item's order, allowing a few changed, added or lost words between them; the chain's length
 against the item's decides.
 
-The items are a small, fixed set and go to every executor; their size is checked. The
-corpus isn't shuffled. A word that is in no item can't be part of a match, so only runs of
+The items are a small, fixed set and go to every executor, in groups of bounded size; should
+they need several groups, the corpus is read once for each. The corpus isn't shuffled. A word that is in no item can't be part of a match, so only runs of
 items' words are sorted, which leaves the result as it is.
 """
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,14 @@ _OUT = "item_id bigint, matched int, span int, item_words int, at int"
 class Params:
     """seed: words of the shortest verbatim match looked up. share: part of an item's words
     that one stretch must repeat. errors: changed, added and lost words a stretch may hold,
-    as a part of its words. gap: most such words on end. max_items: bound of the test set."""
+    as a part of its words. gap: most such words on end. max_chars: characters of the items that are
+    sent to the executors together (a single longer item goes alone)."""
 
     seed: int = 4
     share: float = 0.5
     errors: float = 0.25
     gap: int = 12
-    max_items: int = 100_000
+    max_chars: int = 20_000_000
 
 
 class Items:
@@ -247,8 +249,17 @@ def scan(texts: list[str | None], items: Items, params: Params) -> list[tuple[in
     return out
 
 
-def repeats_enough(matched: int, span: int, item_words: int, params: Params) -> bool:
-    return span >= params.share * item_words
+def _groups(benchmark: DataFrame, params: Params) -> Iterator[Items]:
+    """The items, a bounded number of characters at a time."""
+    held: list[tuple[int, str]] = []
+    size = 0
+    for r in benchmark.select("item_id", "text").filter("text IS NOT NULL").toLocalIterator():
+        if held and size + len(r["text"]) > params.max_chars:
+            yield Items(held, params.seed)
+            held, size = [], 0
+        held.append((r["item_id"], r["text"]))
+        size += len(r["text"])
+    yield Items(held, params.seed)
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, params: Params | None = None) -> DataFrame:
@@ -258,25 +269,26 @@ def leaks(documents: DataFrame, benchmark: DataFrame, params: Params | None = No
 
     Case, punctuation, spacing, line breaks and character forms don't matter. Null and
     empty texts, and items of fewer than ``seed`` words, leak nothing; each pair comes once
-    per row of ``documents``. More than ``max_items`` items are refused.
+    per row of ``documents``.
     """
     params = params or Params()
-    rows = benchmark.select("item_id", "text").limit(params.max_items + 1).collect()
-    if len(rows) > params.max_items:
-        raise ValueError(f"more than {params.max_items} test items")
-    items = Items([(r["item_id"], r["text"]) for r in rows], params.seed)
-    shared = documents.sparkSession.sparkContext.broadcast(items)
     narrow = documents.select("doc_id", "text")
+    schema = f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, {_OUT}"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        its = shared.value
-        for batch in batches:
-            found = [f for f in scan(batch.column(1).to_pylist(), its, params) if repeats_enough(*f[2:5], params)]
-            take = pa.array([f[0] for f in found], pa.int64())
-            columns = [pa.array([its.ids[f[1]] for f in found], pa.int64()), *[pa.array([f[k] for f in found], pa.int32()) for k in range(2, 6)]]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), *columns], ["doc_id", "item_id", "matched", "span", "item_words", "at"])
+    def searched(items: Items) -> DataFrame:
+        shared = documents.sparkSession.sparkContext.broadcast(items)
 
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, {_OUT}")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            its = shared.value
+            for batch in batches:
+                found = [f for f in scan(batch.column(1).to_pylist(), its, params) if f[3] >= params.share * f[4]]
+                take = pa.array([f[0] for f in found], pa.int64())
+                columns = [pa.array([its.ids[f[1]] for f in found], pa.int64()), *[pa.array([f[k] for f in found], pa.int32()) for k in range(2, 6)]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), *columns], ["doc_id", "item_id", "matched", "span", "item_words", "at"])
+
+        return narrow.mapInArrow(run, schema)
+
+    return reduce(DataFrame.union, map(searched, _groups(benchmark, params)))
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, params: Params | None = None) -> DataFrame:

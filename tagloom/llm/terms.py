@@ -62,18 +62,18 @@ def tag_text(ns: Column, key: Column, value: Column) -> Column:
     return F.concat(F.coalesce(F.concat(ns, F.lit(":")), F.lit("")), key, F.coalesce(F.concat(F.lit("="), value), F.lit("")))
 
 
-def mark_of(n_ids: Column, rare_below: int = 3, common_above: float = 0.08) -> Column:
+def mark_of(n_ids: Column, rare_below: int = 3, common_percent: int = 8) -> Column:
     """rare, common or NULL; rare wins in a collection so small that both hold."""
-    return F.when(F.col("occurrences") < rare_below, "rare").when(F.col("records") > common_above * n_ids, "common")
+    return F.when(F.col("occurrences") < rare_below, "rare").when(F.col("records") * 100 > n_ids * common_percent, "common")
 
 
 def distinct_ids(writes: DataFrame) -> Column:
     return writes.agg(F.count_distinct("id").alias("n")).scalar()
 
 
-def marked_tags(writes: DataFrame, rare_below: int = 3, common_above: float = 0.08) -> DataFrame:
+def marked_tags(writes: DataFrame, rare_below: int = 3, common_percent: int = 8) -> DataFrame:
     """``(term, mark)`` of the tags too rare or too common to be useful."""
-    marked = tag_counts(writes).withColumn("mark", mark_of(distinct_ids(writes), rare_below, common_above))
+    marked = tag_counts(writes).withColumn("mark", mark_of(distinct_ids(writes), rare_below, common_percent))
     return marked.filter(F.col("mark").isNotNull()).select(tag_text(*map(F.col, TAG)).alias("term"), "mark")
 
 
