@@ -89,6 +89,12 @@ def place_matches(atom: Atom, ns: Column, key: Column) -> Column:
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
+def atom_matches(atom: Atom, tags: Column) -> Column:
+    """Whether one of an array of tags matches the atom: numbers only, no settings."""
+    one = lambda t: place_matches(atom, t["ns"], t["key"]) & value_matches(atom, t["ns"], t["key"], t["value"], {})
+    return sure(F.exists(tags, one))
+
+
 def pattern_covers(p: HidePattern, ns: Column, key: Column) -> Column:
     if p.ns is None:
         ns_ok = ns.isNull()

@@ -149,7 +149,7 @@ def key_profile(writes: DataFrame, chunk: int = CHUNK) -> DataFrame:
     )
 
 
-def hot_keys(writes: DataFrame, share: float = 0.06) -> DataFrame:
-    """``(grain, name)`` of the names with at least this share of all rows."""
+def hot_keys(writes: DataFrame, percent: int = 6) -> DataFrame:
+    """``(grain, name)`` of the names with at least this part of all rows, in whole numbers."""
     total = writes.agg(F.count("*").alias("n"))
-    return key_profile(writes).filter(F.col("n_rows") >= F.lit(share) * total.scalar()).select("grain", "name")
+    return key_profile(writes).filter(F.col("n_rows") * 100 >= total.scalar() * percent).select("grain", "name")

@@ -200,6 +200,24 @@ def test_long_layout_prunes(spark, tmp_path):
     assert ids(store.query('"":k1=""')) == ["e"]
 
 
+def test_atoms_on_their_own(spark):
+    from pyspark.sql import functions as F
+
+    from tagloom import parse_atom
+    from tagloom.functions.predicates import atom_matches
+    from tagloom.model import NESTED
+
+    rng = random.Random(11)
+    values = [None, "", "1", "+1", "-0", "0", "1.5", "1e5", "5\n", "x", "a_b", "50%", "9" * 400]
+    rows = [(f"i{k}", None if k == 0 else [(rng.choice([None, "", "n"]), rng.choice("kj"), rng.choice(values)) for _ in range(k % 4)]) for k in range(80)]
+    df = spark.createDataFrame(rows, NESTED).cache()
+    for text in ["k", "*:k", "+:*", '"":k', "n:j=+", "k=*", "k>*", "k=1", "k!=1", "k>=1", "k<1", "k<=0", 'k~"..."', "k~a_b", 'k~"5."', 'k="5\n"', "k>-1", "*:*<2"]:
+        atom = parse_atom(text)
+        got = {r.id for r in df.filter(atom_matches(atom, F.col("tags"))).collect()}
+        assert got == {i for i, tags in rows if atom.matches(Tag(*t) for t in tags or [])}, text
+        assert got == {i for i, tags in rows if any(tag_answers(atom, Tag(*t)) for t in tags or [])}, text
+
+
 def test_parse_tag_matches_facade():
     from tagloom.index import compile, parse_tag as facade
 
