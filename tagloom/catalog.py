@@ -13,7 +13,7 @@ from tagloom.operators import hot_keys, reject, wide
 from tagloom.operators.collapse import live_tags
 from tagloom.sources import lines as line_source
 from tagloom.sources.layout import to_long, to_nested
-from tagloom.sources.tables import TagOf, number_text, tag_items, tag_table
+from tagloom.sources.tables import TagColumns, TagOf, number_text
 from tagloom.store import TagStore
 
 
@@ -21,8 +21,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def order_items(spark: SparkSession, d: str) -> DataFrame:
-    return tag_items(
+def order_items(spark: SparkSession, d: str) -> TagColumns:
+    return TagColumns(
         table(spark, d, "orders"),
         F.concat(F.lit("o"), F.col("o_orderkey").cast("string")),
         [
@@ -32,11 +32,12 @@ def order_items(spark: SparkSession, d: str) -> DataFrame:
             TagOf("due", F.date_format("o_orderdate", "yyyy-MM-dd")),
             TagOf("urgent", when=F.col("o_orderpriority") == "1-URGENT"),
         ],
+        one_row=True,
     )
 
 
-def lineitem_tags(spark: SparkSession, d: str) -> DataFrame:
-    return tag_table(
+def lineitem_tags(spark: SparkSession, d: str) -> TagColumns:
+    return TagColumns(
         table(spark, d, "lineitem"),
         F.concat(F.lit("o"), F.col("l_orderkey").cast("string")),
         [
@@ -48,37 +49,40 @@ def lineitem_tags(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def event_tags(spark: SparkSession, d: str) -> DataFrame:
-    return tag_table(
+def event_tags(spark: SparkSession, d: str) -> TagColumns:
+    return TagColumns(
         table(spark, d, "events"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")),
         [TagOf("event", F.col("event_type")), TagOf("value", number_text("value"), "ev"), TagOf("errored", when=F.col("event_type") == "error")],
     )
 
 
-def document_items(spark: SparkSession, d: str) -> DataFrame:
-    return tag_items(
+def document_items(spark: SparkSession, d: str) -> TagColumns:
+    return TagColumns(
         table(spark, d, "documents"),
         F.concat(F.lit("d"), F.col("doc_id").cast("string")),
         [TagOf("lang", F.col("lang")), TagOf("source", F.col("source")), TagOf("chars", F.col("n_chars").cast("string"), "meta")],
+        one_row=True,
     )
 
 
-def part_items(spark: SparkSession, d: str) -> DataFrame:
+def part_items(spark: SparkSession, d: str) -> TagColumns:
     version = F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 20).cast("string"))
-    return tag_items(
+    return TagColumns(
         table(spark, d, "part"),
         F.concat(F.lit("p"), F.col("p_partkey").cast("string")),
         [TagOf("brand", F.col("p_brand")), TagOf("size", F.col("p_size").cast("string")), TagOf("ver", version)],
+        one_row=True,
     )
 
 
-def customer_items(spark: SparkSession, d: str) -> DataFrame:
+def customer_items(spark: SparkSession, d: str) -> TagColumns:
     joined = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return tag_items(
+    return TagColumns(
         joined,
         F.concat(F.lit("c"), F.col("c_custkey").cast("string")),
         [TagOf("segment", F.col("c_mktsegment")), TagOf("nation", F.col("n_name"), "geo"), TagOf("bal", number_text("c_acctbal"), "acct")],
+        one_row=True,
     )
 
 
@@ -112,7 +116,7 @@ def arity(query: str, scalar: str | None, since: int = -1) -> Callable[[SparkSes
 
 def line_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Orders spelled as lines, read back, and asked."""
-    text = line_source.to_lines(order_items(spark, d)).withColumn("seq", F.monotonically_increasing_id())
+    text = line_source.to_lines(order_items(spark, d).nested()).withColumn("seq", F.monotonically_increasing_id())
     return TagStore.from_writes(line_source.to_writes(line_source.parse_lines(text))).query('priority="4-NOT SPECIFIED" and not status=F')
 
 
@@ -123,17 +127,14 @@ def ingest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def store_of(name: str) -> Callable[[SparkSession, str], TagStore]:
-    nested = {"orders": order_items, "documents": document_items, "parts": part_items, "customers": customer_items}
-    long = {"lines": lineitem_tags, "events": event_tags}
+    tables = {
+        "orders": [order_items], "documents": [document_items], "parts": [part_items], "customers": [customer_items],
+        "lines": [lineitem_tags], "events": [event_tags], "shop": [order_items, lineitem_tags],
+    }
 
     def make(spark: SparkSession, d: str) -> TagStore:
-        if name in nested:
-            return TagStore.from_nested(nested[name](spark, d))
-        if name in long:
-            return TagStore.from_tags(long[name](spark, d))
-        if name == "shop":  # orders and their lines as one store
-            orders = order_items(spark, d).select("id", F.inline("tags"))
-            return TagStore.from_tags(orders.unionByName(lineitem_tags(spark, d)))
+        if name in tables:
+            return TagStore.from_columns(*[t(spark, d) for t in tables[name]])
         if name == "nested":
             store = TagStore.from_nested(table(spark, d, "items_nested"))
         elif name == "writes":

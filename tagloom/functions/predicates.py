@@ -1,6 +1,8 @@
 """Atoms and hide patterns as Catalyst expressions over a tag's three columns.
 
-Every expression is true or false, never NULL: a NULL leaf would make ``not`` lose rows.
+Two kinds are kept apart. What an atom asks of a tag may be NULL where it can't be told,
+which a filter takes for false; written so, it reaches the scan. Wherever an answer is
+negated or kept as a flag it goes through :func:`sure` first, as ``not NULL`` loses rows.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ def numeral(value: Column) -> Column:
 
 def ordered(sign: Column, op: str) -> Column:
     """Turn a three-way comparison (NULL: not comparable) into op's answer."""
-    return sure({">": sign > 0, ">=": sign >= 0, "<": sign < 0, "<=": sign <= 0}[op])
+    return {">": sign > 0, ">=": sign >= 0, "<": sign < 0, "<=": sign <= 0}[op]
 
 
 def _numeric_sign(value: Column, literal: str) -> Column:
@@ -55,11 +57,11 @@ def value_matches(atom: Atom, ns: Column, key: Column, value: Column, typed: Map
     if atom.value is Wild.SOME:
         return value.isNotNull()
     if atom.op == "=":
-        return sure(value == F.lit(atom.value))
+        return value == F.lit(atom.value)
     if atom.op == "!=":
-        return sure(value != F.lit(atom.value))
+        return value != F.lit(atom.value)
     if atom.op == "~":
-        return sure(value.like(like_pattern(atom.value)))
+        return value.like(like_pattern(atom.value))
     sign = _numeric_sign(value, atom.value)
     # The tag's own target picks the comparator, so an atom over all namespaces may mix.
     for (t_ns, t_key), comparator in typed.items():
@@ -83,15 +85,15 @@ def place_matches(atom: Atom, ns: Column, key: Column) -> Column:
     elif atom.ns is Wild.SOME:
         parts.append(ns.isNotNull())
     elif atom.ns is not Wild.ANY:
-        parts.append(sure(ns == F.lit(atom.ns)))
+        parts.append(ns == F.lit(atom.ns))
     if not isinstance(atom.key, Wild):
-        parts.append(sure(key == F.lit(atom.key)))
-    return reduce(lambda a, b: a & b, parts, F.lit(True))
+        parts.append(key == F.lit(atom.key))
+    return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
 
 
 def atom_matches(atom: Atom, tags: Column) -> Column:
     """Whether one of an array of tags matches the atom: numbers only, no settings."""
-    one = lambda t: place_matches(atom, t["ns"], t["key"]) & value_matches(atom, t["ns"], t["key"], t["value"], {})
+    one = lambda t: sure(place_matches(atom, t["ns"], t["key"]) & value_matches(atom, t["ns"], t["key"], t["value"], {}))
     return sure(F.exists(tags, one))
 
 

@@ -1,11 +1,13 @@
 """From a compiled query to a DataFrame of item ids.
 
 An item answers a query iff it participates and the boolean expression over "has a tag
-that matches atom i" holds. That gives three plans for the same answer:
+that matches atom i" holds. That gives four plans for the same answer:
 
 ``fused``    one scan of the long table, one aggregate with a flag per distinct atom;
 ``nested``   higher-order filters over ``items(id, tags[])``, without any shuffle;
-``posting``  one narrow scan per atom and semi/anti joins, for few selective atoms.
+``posting``  one narrow scan per atom and semi/anti joins, for few selective atoms;
+``columns``  atoms become predicates on the columns of ordinary tables, so filters and the
+             choice of columns reach their scans and no tag is ever built.
 
 Which settings hide a tag is decided on the driver, as what a query reveals is a
 property of the pattern and not of the tag.
@@ -13,20 +15,22 @@ property of the pattern and not of the tag.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.config import HideConfig, Target, reference_of
+from tagloom.config import HideConfig, HidePattern, Target, reference_of
 from tagloom.functions.comparators import Comparator
-from tagloom.functions.predicates import any_of, hidden, place_matches, value_matches
+from tagloom.functions.predicates import any_of, hidden, names_target, place_matches, sure, value_matches
 from tagloom.model import AND, NOT, Atom, Wild
 from tagloom.parse import Query
 from tagloom.sources.layout import BUCKET, bucket_of
+from tagloom.sources.tables import TagColumns
 
-STRATEGIES = ("fused", "nested", "posting")
+STRATEGIES = ("fused", "nested", "posting", "columns")
 
 
 @dataclass(frozen=True)
@@ -62,37 +66,88 @@ class Plan:
                 stack.append(a & b if step == AND else a | b)
         return stack[0]
 
+    def necessary(self, leaf) -> Column | None:
+        """What a row must meet to answer, without any negation, so that it may reach the
+        scan as it stands; None if nothing can be said. Each step holds what must be met
+        for it to be true and for it to be false."""
+        join = lambda a, b: b if a is None else a if b is None else a & b
+        either = lambda a, b: None if a is None or b is None else a | b
+        stack: list[tuple[Column | None, Column | None]] = []
+        for step in self.query.program:
+            if isinstance(step, Atom):
+                stack.append((leaf(step), None))
+            elif step == NOT:
+                stack.append(stack.pop()[::-1])
+            else:
+                (b_true, b_false), (a_true, a_false) = stack.pop(), stack.pop()
+                stack.append((join(a_true, b_true), either(a_false, b_false)) if step == AND else (either(a_true, b_true), join(a_false, b_false)))
+        return stack[0][0]
+
     def visible(self, ns: Column, key: Column) -> Column:
         """Whether a tag makes its item participate: the references of all atoms count."""
         return ~hidden(self.hide.unrevealed(map(reference_of, self.query.atoms)), ns, key)
 
+    def hidden_from(self, atom: Atom) -> tuple[HidePattern, ...]:
+        """The patterns the atom itself doesn't reveal."""
+        return self.hide.unrevealed([reference_of(atom)])
+
     def matches(self, atom: Atom, ns: Column, key: Column, value: Column) -> Column:
-        """Whether a tag answers the atom: only the atom's own reference counts."""
-        left = self.hide.unrevealed([reference_of(atom)])
-        if isinstance(atom.ns, str | None) and not isinstance(atom.key, Wild):
-            left = tuple(p for p in left if p.covers(atom.ns, atom.key))  # decided already
-            if left:
+        """Whether a tag answers the atom (NULL: no): only the atom's own reference counts."""
+        left = self.hidden_from(atom)
+        if isinstance(atom.ns, str | None) and isinstance(atom.key, str):
+            if any(p.covers(atom.ns, atom.key) for p in left):
                 return F.lit(False)
-        return place_matches(atom, ns, key) & value_matches(atom, ns, key, value, self.typed) & ~hidden(left, ns, key)
+            left = ()
+        asked = place_matches(atom, ns, key) & value_matches(atom, ns, key, value, self.typed)
+        return asked & ~hidden(left, ns, key) if left else asked
+
+    def _by_id(self, hits: DataFrame) -> DataFrame:
+        """Rows of an id and flags to the ids that answer."""
+        by_id = hits.groupBy("id").agg(*[F.max(c).alias(c) for c in hits.columns if c != "id"])
+        answer = self.boolean(lambda a: F.col(self._flags[a]))
+        return by_id.filter(answer if self.positive else answer & F.col("seen")).select("id")
+
+    @property
+    def _flags(self) -> dict[Atom, str]:
+        return {a: f"m{i}" for i, a in enumerate(self.query.atoms)}
+
+    def _hits(self, rows: DataFrame, id: Column, conditions: dict[Atom, Column], seen: Column) -> DataFrame:
+        """Only rows that can matter, with one flag per atom."""
+        kept = rows.filter(any_of([*conditions.values(), *([] if self.positive else [seen])]))
+        flags = [sure(c).alias(self._flags[a]) for a, c in conditions.items()]
+        return kept.select(id.alias("id"), *flags, *([] if self.positive else [sure(seen).alias("seen")]))
 
     def fused(self, tags: DataFrame) -> DataFrame:
         ns, key, value = F.col("ns"), F.col("key"), F.col("value")
-        atoms = self.query.atoms
-        flags = {a: f"m{i}" for i, a in enumerate(atoms)}
-        conditions = [self.matches(a, ns, key, value) for a in atoms]
-        seen = self.visible(ns, key)
-        rows = tags.filter(any_of(conditions) if self.positive else any_of([*conditions, seen]))
+        conditions = {a: self.matches(a, ns, key, value) for a in self.query.atoms}
         if self.positive and len(self.query.program) == 1:
-            return rows.select("id").distinct()
-        hits = rows.select("id", *[c.alias(flags[a]) for a, c in zip(atoms, conditions, strict=True)], *([] if self.positive else [seen.alias("seen")]))
-        by_id = hits.groupBy("id").agg(*[F.max(c).alias(c) for c in hits.columns if c != "id"])
-        answer = self.boolean(lambda a: F.col(flags[a]))
-        return by_id.filter(answer if self.positive else answer & F.col("seen")).select("id")
+            return tags.filter(any_of([*conditions.values()])).select("id").distinct()
+        return self._by_id(self._hits(tags, F.col("id"), conditions, self.visible(ns, key)))
+
+    def columns(self, tables: Sequence[TagColumns]) -> DataFrame:
+        def asks(table: TagColumns, atom: Atom) -> Column:
+            left = self.hidden_from(atom)
+            able = [s for s in table.specs if names_target(atom, s.ns, s.key) and not any(p.covers(s.ns, s.key) for p in left)]
+            ns = lambda s: F.lit(s.ns).cast("string")
+            return any_of([s.present(value_matches(atom, ns(s), F.lit(s.key), s.text, self.typed)) for s in able])
+
+        open_ = self.hide.unrevealed(map(reference_of, self.query.atoms))
+        hits = []
+        for t in tables:
+            conditions = {a: asks(t, a) for a in self.query.atoms}
+            seen = any_of([s.present() for s in t.specs if not any(p.covers(s.ns, s.key) for p in open_)])
+            if len(tables) == 1 and t.one_row:
+                must = self.necessary(conditions.get)
+                rows = t.rows if must is None else t.rows.filter(must)
+                answer = self.boolean(lambda a: sure(conditions[a]))  # noqa: B023
+                return rows.filter(answer if self.positive else answer & sure(seen)).select(t.id.alias("id"))
+            hits.append(self._hits(t.rows, t.id, conditions, seen))
+        return self._by_id(reduce(DataFrame.unionByName, hits))
 
     def nested(self, items: DataFrame) -> DataFrame:
         tags = F.coalesce(F.col("tags"), F.array().cast(items.schema["tags"].dataType))
         has = lambda test: F.exists(tags, lambda t: test(t["ns"], t["key"], t["value"]))
-        answer = self.boolean(lambda a: has(lambda n, k, v: self.matches(a, n, k, v)))
+        answer = self.boolean(lambda a: has(lambda n, k, v: sure(self.matches(a, n, k, v))))
         if not self.positive:
             answer = answer & has(lambda n, k, _: self.visible(n, k))
         return items.filter(answer).select("id")

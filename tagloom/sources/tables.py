@@ -1,13 +1,15 @@
 """Ordinary tables seen as tagged items.
 
-``tag_table`` turns each row into the tags of one item; nothing is materialised, so the
-predicates of a query reach the table's own scan through the generated rows' columns.
+:class:`TagColumns` says which columns are which tags. A query over it becomes a predicate
+on those columns, so it reaches the table's own scan and reads no other column.
+``tag_table`` and ``tag_items`` spell the tags out, for whatever needs them as rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,15 @@ class TagOf:
     ns: str | None = None
     when: Column | None = None
 
+    @property
+    def text(self) -> Column:
+        return (F.lit(None) if self.value is None else self.value).cast("string")
+
+    def present(self, asked: Column | None = None) -> Column:
+        """Whether a row has this tag, and it is as asked."""
+        conditions = [c for c in (self.when, None if self.value is None else self.value.isNotNull(), asked) if c is not None]
+        return reduce(lambda a, b: a & b, conditions) if conditions else F.lit(True)
+
 
 def number_text(column: str, scale: int = 2) -> Column:
     """A number as plain digits: doubles would print an exponent from 1e7 on."""
@@ -33,15 +44,28 @@ def number_text(column: str, scale: int = 2) -> Column:
 
 def _tags(specs: Sequence[TagOf]) -> Column:
     def one(s: TagOf) -> Column:
-        tag = F.struct(
-            F.lit(s.ns).cast("string").alias("ns"), F.lit(s.key).alias("key"), (F.lit(None) if s.value is None else s.value).cast("string").alias("value")
-        ).cast(TAG_STRUCT)
-        conditions = [c for c in (s.when, None if s.value is None else s.value.isNotNull()) if c is not None]
-        return F.when(conditions[0] if len(conditions) == 1 else conditions[0] & conditions[1], tag) if conditions else tag
+        tag = F.struct(F.lit(s.ns).cast("string").alias("ns"), F.lit(s.key).alias("key"), s.text.alias("value")).cast(TAG_STRUCT)
+        return tag if s.when is None and s.value is None else F.when(s.present(), tag)
 
     return F.filter(F.array(*map(one, specs)), lambda t: t.isNotNull())
 
 
+@dataclass(frozen=True)
+class TagColumns:
+    """A table whose rows are tags of items. one_row: no two rows are of one item."""
+
+    rows: DataFrame
+    id: Column
+    specs: Sequence[TagOf]
+    one_row: bool = False
+
+    def long(self) -> DataFrame:
+        return tag_table(self.rows, self.id, self.specs)
+
+    def nested(self) -> DataFrame:
+        return tag_items(self.rows, self.id, self.specs)
+
+
 def tag_table(rows: DataFrame, id: Column, specs: Sequence[TagOf]) -> DataFrame:
     """Long form ``(id, ns, key, value)``: several rows may speak of one item."""
     return rows.select(id.cast("string").alias("id"), F.inline(_tags(specs)))

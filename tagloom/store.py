@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from tagloom.operators.collapse import live_tags
 from tagloom.parse import Query, compile_postfix, compile_query, parse_atom, parse_line
 from tagloom.plans.planner import STRATEGIES, Plan
 from tagloom.sources.layout import to_nested
+from tagloom.sources.tables import TagColumns
 
 #: Most settings a store may hold; more is refused, as they shape the plan on the driver.
 MAX_SETTINGS = 100_000
@@ -27,9 +29,10 @@ class TagStore:
     >>> store.query("topic=nimel and not sys:state=idle")        # DataFrame(id)
     """
 
-    def __init__(self, spark: SparkSession, *, writes: DataFrame | None = None, tags: DataFrame | None = None, nested: DataFrame | None = None, items: DataFrame | None = None) -> None:
+    def __init__(self, spark: SparkSession, *, writes: DataFrame | None = None, tags: DataFrame | None = None, nested: DataFrame | None = None, tables: Sequence[TagColumns] = (), items: DataFrame | None = None) -> None:
         self.spark = spark
         self._writes, self._tags, self._nested, self._items = writes, tags, nested, items
+        self._tables = tuple(tables)
         self._pending: list[tuple] = []
         self._bare_ids: list[str] = []
         self._next_seq: int | None = None
@@ -54,6 +57,11 @@ class TagStore:
     def from_nested(cls, nested: DataFrame) -> TagStore:
         return cls(nested.sparkSession, nested=nested)
 
+    @classmethod
+    def from_columns(cls, *tables: TagColumns) -> TagStore:
+        """Ordinary tables, one or more, whose columns are tags of items."""
+        return cls(tables[0].rows.sparkSession, tables=tables)
+
     # Writing: small appends from the driver; bulk loads go through tagloom.sources.
 
     def add_item(self, id: str, tags: Iterable[Tag]) -> None:
@@ -92,6 +100,8 @@ class TagStore:
             return live_tags(self.writes)
         if self._tags is not None:
             return self._tags
+        if self._tables:
+            return reduce(DataFrame.unionByName, [t.long() for t in self._tables])
         return self._nested.select("id", F.inline("tags")).select(*TAGS.fieldNames())
 
     @property
@@ -113,6 +123,8 @@ class TagStore:
     @property
     def config(self) -> StoreConfig:
         """Settings ever written, also those a later write collapsed."""
+        if self._config is None and not any(s.ns in (HIDE_NS, TYPE_NS) for t in self._tables for s in t.specs) and self._tables:
+            self._config = StoreConfig()  # columns are known, none is a setting
         if self._config is None:
             source = self.writes if self._writes is not None else self.tags
             rows = (
@@ -135,15 +147,23 @@ class TagStore:
         """Ids that answer, in ascending order of bytes."""
         plan = self.plan(query)
         if strategy == "auto":
-            strategy = "nested" if self._nested is not None else "fused"
+            strategy = "columns" if self._tables else "nested" if self._nested is not None else "fused"
         if strategy not in STRATEGIES:
             raise ValueError(f"strategy {strategy!r} is none of {STRATEGIES}")
         if strategy == "nested" and any(c.sort_key is None for c in plan.typed.values()):
             strategy = "fused"  # Spark takes no Python function inside a lambda
-        ids = plan.nested(self.nested) if strategy == "nested" else getattr(plan, strategy)(self.tags)
+        if strategy == "columns":
+            if not self._tables:
+                raise ValueError("this store isn't made of tables")
+            ids = plan.columns(self._tables)
+        else:
+            ids = plan.nested(self.nested) if strategy == "nested" else getattr(plan, strategy)(self.tags)
         ids = ids.filter(F.col("id").isNotNull())
-        # One row per item is the nested layout's promise, but not checked anywhere.
-        return (ids.distinct() if strategy == "nested" else ids).orderBy("id")
+        if strategy == "nested" or strategy == "columns" and self._tables[0].one_row:
+            # That an item is one row isn't checked anywhere. Repeats are dropped in the
+            # exchange that sorts, without one of their own.
+            ids = ids.repartitionByRange("id").distinct()
+        return ids.orderBy("id")
 
     def query(self, text: str, strategy: str = "auto") -> DataFrame:
         return self.run(compile_query(text), strategy)
