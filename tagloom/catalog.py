@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.checkpoints import saved
 from tagloom.config import ARITY_NS, HIDE_NS, ROOT_NS, TYPE_NS
 from tagloom.functions.comparators import SEMVER, VERSION
 from tagloom.operators import hot_keys, reject, wide
@@ -117,7 +118,8 @@ def arity(query: str, scalar: str | None, since: int = -1) -> Callable[[SparkSes
 def line_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Orders spelled as lines, read back, and asked."""
     text = line_source.to_lines(order_items(spark, d).nested()).withColumn("seq", F.monotonically_increasing_id())
-    return TagStore.from_writes(line_source.to_writes(line_source.parse_lines(text))).query('priority="4-NOT SPECIFIED" and not status=F')
+    log = saved(line_source.to_writes(line_source.parse_lines(text)))  # settings and tags are read from it
+    return TagStore.from_writes(log).query('priority="4-NOT SPECIFIED" and not status=F')
 
 
 def ingest(spark: SparkSession, d: str) -> DataFrame:

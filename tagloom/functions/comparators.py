@@ -8,13 +8,14 @@ function once per distinct value of a batch.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import BooleanType
 
 #: Widest number of a version part (fixed value: unsigned 64 bits).
 MAX_PART = 2**64 - 1
@@ -73,20 +74,23 @@ SEMVER = Comparator(sort_key=semver_key)
 VERSION = Comparator(sort_key=version_key)
 
 
-def compare_with(comparator: Comparator, value: Column, literal: str) -> Column:
-    """Sign of value against literal as INT, NULL if not comparable."""
+_ORDERS = {">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le}
+
+
+def compare_with(comparator: Comparator, value: Column, op: str, literal: str) -> Column:
+    """Whether value stands in the order op to literal, NULL if they aren't comparable."""
+    order = _ORDERS[op]
     if comparator.sort_key is not None:
-        left, right = comparator.sort_key(value), comparator.sort_key(F.lit(literal))
-        return F.when(left > right, 1).when(left < right, -1).when(left == right, 0)
+        return order(comparator.sort_key(value), comparator.sort_key(F.lit(literal)))
     function = comparator.function
 
-    @F.pandas_udf(IntegerType())
-    def sign(values: pd.Series) -> pd.Series:
-        def one(v: str) -> int | None:
+    @F.pandas_udf(BooleanType())
+    def holds(values: pd.Series) -> pd.Series:
+        def one(v: str) -> bool | None:
             r = function(v, literal)
-            return None if r is None else (r > 0) - (r < 0)
+            return None if r is None else order(r, 0)
 
         seen = {v: one(v) for v in values.dropna().unique()}
-        return values.map(seen).astype("Int32")
+        return values.map(seen).astype("boolean")
 
-    return sign(value)
+    return holds(value)

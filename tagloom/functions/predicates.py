@@ -7,6 +7,7 @@ negated or kept as a flag it goes through :func:`sure` first, as ``not NULL`` lo
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from functools import reduce
 from operator import or_
@@ -36,14 +37,15 @@ def numeral(value: Column) -> Column:
     return F.when(value.rlike(NUMERAL), value.try_cast("double"))
 
 
-def ordered(sign: Column, op: str) -> Column:
-    """Turn a three-way comparison (NULL: not comparable) into op's answer."""
-    return {">": sign > 0, ">=": sign >= 0, "<": sign < 0, "<=": sign <= 0}[op]
+def compare(left: Column, op: str, right: Column) -> Column:
+    """NULL where a side can't be interpreted."""
+    return {">": left > right, ">=": left >= right, "<": left < right, "<=": left <= right}[op]
 
 
-def _numeric_sign(value: Column, literal: str) -> Column:
-    left, right = numeral(value), numeral(F.lit(literal))
-    return F.when(left > right, 1).when(left < right, -1).when(left == right, 0)
+def _numeric(value: Column, op: str, literal: str) -> Column:
+    if not re.fullmatch(NUMERAL.replace("\\z", "\\Z"), literal):
+        return F.lit(False)
+    return compare(numeral(value), op, F.lit(float(literal)))
 
 
 def like_pattern(pattern: str) -> str:
@@ -62,13 +64,16 @@ def value_matches(atom: Atom, ns: Column, key: Column, value: Column, typed: Map
         return value != F.lit(atom.value)
     if atom.op == "~":
         return value.like(like_pattern(atom.value))
-    sign = _numeric_sign(value, atom.value)
+    asked = _numeric(value, atom.op, atom.value)
     # The tag's own target picks the comparator, so an atom over all namespaces may mix.
     for (t_ns, t_key), comparator in typed.items():
         if names_target(atom, t_ns, t_key):
-            mine = (ns.isNull() if t_ns is None else sure(ns == F.lit(t_ns))) & (key == F.lit(t_key))
-            sign = F.when(mine, compare_with(comparator, value, atom.value)).otherwise(sign)
-    return ordered(sign, atom.op)
+            order = compare_with(comparator, value, atom.op, atom.value)
+            if not isinstance(atom.ns, Wild) and isinstance(atom.key, str):
+                return order  # the atom names this one target
+            mine = (ns.isNull() if t_ns is None else sure(ns == F.lit(t_ns))) & sure(key == F.lit(t_key))
+            asked = F.when(mine, order).otherwise(asked)
+    return asked
 
 
 def names_target(atom: Atom, ns: str | None, key: str) -> bool:

@@ -25,16 +25,17 @@ def split_column(text: Column) -> Column:
     return F.when(quotes % 2 == 0, F.regexp_extract_all(text, F.lit(lex.FIELD_PATTERN), F.lit(0)))
 
 
-def tag_column(text: Column) -> Column:
-    """The tag a text stands for as a struct, NULL if it is none."""
+def tag_columns(fields: Column) -> Column:
+    """The tags an array of texts stands for; one that is no tag gives NULL parts. Each
+    pattern runs once per text: what it found is bound before it is decoded."""
+    found = F.transform(fields, lambda t: F.array(*[F.regexp_extract(t, _TAG, k) for k in (1, 2, 3)]))
 
-    def part(k: int) -> Column:
-        raw = F.regexp_extract(text, _TAG, k)
+    def decoded(raw: Column) -> Column:
         plain = F.replace(F.substring(raw, F.lit(2), F.length(raw) - 2), F.lit('""'), F.lit('"'))
         # An absent group is '', a present empty token is '""'.
         return F.when(raw == "", F.lit(None)).when(raw.startswith('"'), plain).otherwise(raw)
 
-    return F.when(text.rlike(_TAG), F.struct(part(1).alias("ns"), part(2).alias("key"), part(3).alias("value")).cast(TAG_STRUCT))
+    return F.transform(found, lambda g: F.struct(*[decoded(F.get(g, F.lit(k))).alias(n) for k, n in enumerate(TAG_STRUCT.fieldNames())])).cast(NESTED["tags"].dataType)
 
 
 def parse_lines(lines: DataFrame, mode: str = "failfast", text: str = "value", seq: str = "seq") -> DataFrame:
@@ -45,10 +46,14 @@ def parse_lines(lines: DataFrame, mode: str = "failfast", text: str = "value", s
     if mode not in MODES:
         raise ValueError(f"mode {mode!r} is none of {MODES}")
     raw = lines.select(F.col(seq).alias("seq"), F.col(text).alias("line")).filter(F.col("line").rlike(f"[^{lex.WHITE_SPACE}]"))
-    fields = raw.withColumn("f", split_column(F.col("line")))
-    tags = F.transform(F.slice("f", 2, F.greatest(F.size("f"), F.lit(1))), tag_column)
-    parsed = fields.select("seq", "line", F.get("f", F.lit(0)).alias("id"), tags.alias("tags"))
-    good = F.coalesce(F.col("id").isNotNull() & ~F.exists("tags", lambda t: t.isNull()), F.lit(False))
+    def read(f: Column) -> Column:
+        found = tag_columns(F.slice(f, 2, F.greatest(F.size(f), F.lit(1))))
+        whole = lambda tags: F.struct(F.get(f, F.lit(0)).alias("id"), tags.alias("tags"), F.coalesce(F.forall(tags, lambda t: t["key"].isNotNull()), F.lit(False)).alias("good"))
+        return F.get(F.transform(F.array(found), whole), F.lit(0))
+
+    # The generator keeps filters on its result above it, so a line is read once.
+    parsed = raw.select("seq", "line", F.explode(F.transform(F.array(split_column(F.col("line"))), read)).alias("p")).select("seq", "line", "p.*")
+    good = F.col("good")
     if mode == "failfast":
         checked = F.when(good, F.col("id")).otherwise(F.raise_error(F.concat(F.lit("bad line: "), F.col("line"))).cast("string"))
         return parsed.select("seq", checked.alias("id"), "tags", F.lit(None).cast("string").alias("_corrupt"))
@@ -126,7 +131,8 @@ def to_lines(nested: DataFrame) -> DataFrame:
     and quotes; others are refused, as they couldn't be read back."""
     id = F.when(F.col("id").rlike(f'\\A[^"{lex.WHITE_SPACE}]+\\z'), F.col("id")).otherwise(F.raise_error(F.concat(F.lit("no id for a line: "), F.coalesce("id", F.lit("NULL")))).cast("string"))
     tags = F.transform(F.coalesce("tags", F.array().cast(NESTED["tags"].dataType)), lambda t: spell(t["ns"], t["key"], t["value"]))
-    return nested.select(F.concat_ws(" ", id, F.array_join(tags, " ")).alias("value")).select(F.rtrim("value").alias("value"))
+    spelled = F.transform(F.array(tags), lambda t: F.when(F.size(t) > 0, F.concat(id, F.lit(" "), F.array_join(t, " "))).otherwise(id))
+    return nested.select(F.explode(spelled).alias("value"))  # a generator, so that it is spelled once
 
 
 def write_ids(ids: DataFrame, path: str, mode: str = "error") -> None:

@@ -67,8 +67,15 @@ class TagColumns:
 
 
 def tag_table(rows: DataFrame, id: Column, specs: Sequence[TagOf]) -> DataFrame:
-    """Long form ``(id, ns, key, value)``: several rows may speak of one item."""
-    return rows.select(id.cast("string").alias("id"), F.inline(_tags(specs)))
+    """Long form ``(id, ns, key, value)``: several rows may speak of one item. One branch
+    per tag with its namespace and key as constants, so a query that names them keeps that
+    branch alone, and its filter reaches the scan."""
+
+    def branch(s: TagOf) -> DataFrame:
+        kept = rows if s.when is None and s.value is None else rows.filter(s.present())
+        return kept.select(id.cast("string").alias("id"), F.lit(s.ns).cast("string").alias("ns"), F.lit(s.key).alias("key"), s.text.alias("value"))
+
+    return reduce(DataFrame.union, map(branch, specs))
 
 
 def tag_items(rows: DataFrame, id: Column, specs: Sequence[TagOf]) -> DataFrame:
