@@ -14,7 +14,7 @@ from tagloom.operators import hot_keys, reject, wide
 from tagloom.operators.collapse import live_tags
 from tagloom.sources import lines as line_source
 from tagloom.sources.layout import to_long, to_nested
-from tagloom.sources.tables import TagColumns, TagOf, number_text
+from tagloom.sources.tables import TagColumns, TagOf, number_tag
 from tagloom.store import TagStore
 
 
@@ -29,7 +29,7 @@ def order_items(spark: SparkSession, d: str) -> TagColumns:
         [
             TagOf("status", F.col("o_orderstatus")),
             TagOf("priority", F.col("o_orderpriority")),
-            TagOf("total", number_text("o_totalprice"), "order"),
+            number_tag("total", "o_totalprice", "order"),
             TagOf("due", F.date_format("o_orderdate", "yyyy-MM-dd")),
             TagOf("urgent", when=F.col("o_orderpriority") == "1-URGENT"),
         ],
@@ -44,7 +44,7 @@ def lineitem_tags(spark: SparkSession, d: str) -> TagColumns:
         [
             TagOf("flag", F.col("l_returnflag")),
             TagOf("status", F.col("l_linestatus"), "line"),
-            TagOf("qty", number_text("l_quantity"), "line"),
+            number_tag("qty", "l_quantity", "line"),
             TagOf("ship", F.date_format("l_shipdate", "yyyy-MM-dd")),
         ],
     )
@@ -54,7 +54,7 @@ def event_tags(spark: SparkSession, d: str) -> TagColumns:
     return TagColumns(
         table(spark, d, "events"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")),
-        [TagOf("event", F.col("event_type")), TagOf("value", number_text("value"), "ev"), TagOf("errored", when=F.col("event_type") == "error")],
+        [TagOf("event", F.col("event_type")), number_tag("value", "value", "ev"), TagOf("errored", when=F.col("event_type") == "error")],
     )
 
 
@@ -82,7 +82,7 @@ def customer_items(spark: SparkSession, d: str) -> TagColumns:
     return TagColumns(
         joined,
         F.concat(F.lit("c"), F.col("c_custkey").cast("string")),
-        [TagOf("segment", F.col("c_mktsegment")), TagOf("nation", F.col("n_name"), "geo"), TagOf("bal", number_text("c_acctbal"), "acct")],
+        [TagOf("segment", F.col("c_mktsegment")), TagOf("nation", F.col("n_name"), "geo"), number_tag("bal", "c_acctbal", "acct")],
         one_row=True,
     )
 

@@ -42,10 +42,10 @@ def compare(left: Column, op: str, right: Column) -> Column:
     return {">": left > right, ">=": left >= right, "<": left < right, "<=": left <= right}[op]
 
 
-def _numeric(value: Column, op: str, literal: str) -> Column:
+def _numeric(value: Column, op: str, literal: str, number: Column | None) -> Column:
     if not re.fullmatch(NUMERAL.replace("\\z", "\\Z"), literal):
         return F.lit(False)
-    return compare(numeral(value), op, F.lit(float(literal)))
+    return compare(numeral(value) if number is None else number, op, F.lit(float(literal)))
 
 
 def like_pattern(pattern: str) -> str:
@@ -53,7 +53,8 @@ def like_pattern(pattern: str) -> str:
     return "".join("_" if c == "." else "\\" + c if c in "%_\\" else c for c in pattern)
 
 
-def value_matches(atom: Atom, ns: Column, key: Column, value: Column, typed: Mapping[Target, Comparator]) -> Column:
+def value_matches(atom: Atom, ns: Column, key: Column, value: Column, typed: Mapping[Target, Comparator], number: Column | None = None) -> Column:
+    """number: the value as a double, where it is known to be a numeral."""
     if atom.op is None or atom.value is Wild.ANY:
         return F.lit(True)
     if atom.value is Wild.SOME:
@@ -64,7 +65,7 @@ def value_matches(atom: Atom, ns: Column, key: Column, value: Column, typed: Map
         return value != F.lit(atom.value)
     if atom.op == "~":
         return value.like(like_pattern(atom.value))
-    asked = _numeric(value, atom.op, atom.value)
+    asked = _numeric(value, atom.op, atom.value, number)
     # The tag's own target picks the comparator, so an atom over all namespaces may mix.
     for (t_ns, t_key), comparator in typed.items():
         if names_target(atom, t_ns, t_key):

@@ -129,7 +129,7 @@ class Plan:
             left = self.hidden_from(atom)
             able = [s for s in table.specs if names_target(atom, s.ns, s.key) and not any(p.covers(s.ns, s.key) for p in left)]
             ns = lambda s: F.lit(s.ns).cast("string")
-            return any_of([s.present(value_matches(atom, ns(s), F.lit(s.key), s.text, self.typed)) for s in able])
+            return any_of([s.present(value_matches(atom, ns(s), F.lit(s.key), s.text, self.typed, s.number)) for s in able])
 
         open_ = self.hide.unrevealed(map(reference_of, self.query.atoms))
         hits = []

@@ -20,12 +20,14 @@ from tagloom.model import NESTED, TAG_STRUCT
 @dataclass(frozen=True)
 class TagOf:
     """One tag per row: a fixed ns and key, and a value column (None: valueless).
-    The tag is left out where ``when`` isn't true, or where a given value is NULL."""
+    The tag is left out where ``when`` isn't true, or where a given value is NULL.
+    ``number`` is the value as a double, if it always is a numeral."""
 
     key: str
     value: Column | None = None
     ns: str | None = None
     when: Column | None = None
+    number: Column | None = None
 
     @property
     def text(self) -> Column:
@@ -37,9 +39,10 @@ class TagOf:
         return reduce(lambda a, b: a & b, conditions) if conditions else F.lit(True)
 
 
-def number_text(column: str, scale: int = 2) -> Column:
+def number_tag(key: str, column: str, ns: str | None = None, scale: int = 2) -> TagOf:
     """A number as plain digits: doubles would print an exponent from 1e7 on."""
-    return F.col(column).cast(f"decimal(18,{scale})").cast("string")
+    exact = F.col(column).cast(f"decimal(18,{scale})")
+    return TagOf(key, exact.cast("string"), ns, number=exact.cast("double"))
 
 
 def _tags(specs: Sequence[TagOf]) -> Column:

@@ -206,13 +206,13 @@ def test_long_layout_prunes(spark, tmp_path):
 def test_tables_as_stores(spark, tmp_path):
     from pyspark.sql import functions as F
 
-    from tagloom.sources.tables import TagColumns, TagOf, number_text
+    from tagloom.sources.tables import TagColumns, TagOf, number_tag
 
     rng = random.Random(3)
     rows = [(k, rng.choice(["x", "y", None]), rng.choice([None, -1.5, 0.0, 12345678.9]), rng.choice([True, False, None])) for k in range(60)]
     spark.createDataFrame(rows, "k int, a string, n double, f boolean").write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))
-    specs = [TagOf("a", F.col("a")), TagOf("n", number_text("n"), "num"), TagOf("flag", when=F.col("f")), TagOf("a", F.col("a"), "copy", when=F.col("f"))]
+    specs = [TagOf("a", F.col("a")), number_tag("n", "n", "num"), TagOf("flag", when=F.col("f")), TagOf("a", F.col("a"), "copy", when=F.col("f"))]
     one, many = (TagColumns(df, F.concat(F.lit("r"), m), specs, o) for m, o in ((F.col("k").cast("string"), True), ((F.col("k") % 7).cast("string"), False)))
     for tables in ([one], [many], [one, many]):
         store, long = TagStore.from_columns(*tables), TagStore.from_tags(reduce_union(tables))
