@@ -5,6 +5,11 @@ counter is enough: a row is a new occurrence if its write differs from the row b
 and a new record if its record does. No set of records is kept. Each term is split over
 ``salts`` by its record, so a term that holds a third of all rows meets in no single task,
 and a record lies in one salt only, so the partial counts add up.
+
+A record that itself holds a large part of the rows, and rows without a record, are split by
+their write instead. Their occurrences still add up; their distinct terms are counted apart,
+after a map-side combine. Which records are large is found by a sketch of bounded size and
+decides on the split only, never on a result.
 """
 
 from __future__ import annotations
@@ -13,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 24
+#: A record with at least one row in so many is split.
+LARGE = 100
 TAG = ["ns", "key", "value"]
 
 
@@ -21,39 +28,58 @@ def _differs(column: str, window) -> Column:
     return ~F.lag(column).over(window).eqNullSafe(F.col(column))
 
 
-def _seen(writes: DataFrame, salts: int) -> DataFrame:
-    """Rows of ``writes`` in the order of term and record, marked with what is new."""
-    rows = writes.filter(F.col("key").isNotNull()).select(
-        *TAG, "id", "seq", "pos", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt")
-    )
+def large_records(writes: DataFrame) -> list[str]:
+    """At most ``LARGE`` ids."""
+    row = writes.agg(F.expr(f"approx_top_k(id, {LARGE}, {100 * LARGE})").alias("top"), F.count("*").alias("n")).first()
+    return [r["item"] for r in row["top"] or [] if r["item"] is not None and r["count"] * LARGE >= row["n"]]
+
+
+def _is_large(large: list[str]) -> Column:
+    return F.col("id").isNull() | F.col("id").isin(large) if large else F.col("id").isNull()
+
+
+def _seen(writes: DataFrame, salts: int, large: list[str]) -> DataFrame:
+    """Rows of ``writes`` in the order of term and record, marked with what is new. Records
+    that are split are new nowhere."""
+    by = F.when(_is_large(large), F.pmod(F.xxhash64("seq", "pos"), F.lit(salts)) + salts).otherwise(F.pmod(F.xxhash64("id"), F.lit(salts)))
+    rows = writes.filter(F.col("key").isNotNull()).select(*TAG, "id", "seq", "pos", by.cast("int").alias("salt"))
     line = Window.partitionBy(*TAG, "salt").orderBy("id", "seq", "pos")
     new_id = (F.row_number().over(line) == 1) | _differs("id", line)
     known = F.col("seq").isNotNull() & F.col("pos").isNotNull()
     new_write = new_id | _differs("seq", line) | _differs("pos", line) | ~known
-    return rows.select(*TAG, "salt", "id", (new_id & F.col("id").isNotNull()).cast("int").alias("new_id"), new_write.cast("int").alias("new_write"))
+    return rows.select(*TAG, "salt", "id", (new_id & (F.col("salt") < salts)).cast("int").alias("new_id"), new_write.cast("int").alias("new_write"))
+
+
+def _of_large(writes: DataFrame, large: list[str]) -> DataFrame:
+    """Distinct tags of each split record."""
+    return writes.filter(F.col("key").isNotNull() & F.col("id").isin(large)).select(*TAG, "id").distinct()
 
 
-def tag_counts(writes: DataFrame, salts: int = SALTS) -> DataFrame:
+def tag_counts(writes: DataFrame, salts: int = SALTS, large: list[str] | None = None) -> DataFrame:
     """``(ns, key, value, occurrences, records)`` of every distinct tag.
 
     A row delivered twice (same seq and pos) counts once; rows without seq or pos can't be
     told apart and count each. A NULL id is an occurrence on no record; rows without key
     are no tags.
     """
-    partial = _seen(writes, salts).groupBy(*TAG, "salt").agg(F.sum("new_write").alias("o"), F.sum("new_id").alias("r"))
+    large = large_records(writes) if large is None else large
+    partial = _seen(writes, salts, large).groupBy(*TAG, "salt").agg(F.sum("new_write").alias("o"), F.sum("new_id").alias("r")).drop("salt")
+    if large:
+        partial = partial.unionByName(_of_large(writes, large).select(*TAG, F.lit(0).alias("o"), F.lit(1).alias("r")))
     return partial.groupBy(*TAG).agg(F.sum("o").alias("occurrences"), F.sum("r").alias("records"))
 
 
-def part_counts(writes: DataFrame, salts: int = SALTS) -> DataFrame:
+def part_counts(writes: DataFrame, salts: int = SALTS, large: list[str] | None = None) -> DataFrame:
     """``(grain, term, occurrences, records)`` of every namespace, key and value present."""
-    per_id = (
-        _seen(writes, salts).groupBy(*TAG, "salt", "id").agg(F.sum("new_write").alias("n"))
-        .select("salt", "id", "n", F.inline(F.array(*[F.struct(F.lit(c).alias("grain"), F.col(c).alias("term")) for c in TAG])))
-        .filter(F.col("term").isNotNull())
-    )
+    large = large_records(writes) if large is None else large
+    parts = F.inline(F.array(*[F.struct(F.lit(c).alias("grain"), F.col(c).alias("term")) for c in TAG]))
+    per_id = _seen(writes, salts, large).groupBy(*TAG, "salt", "id").agg(F.sum("new_write").alias("n")).select("salt", "id", "n", parts).filter(F.col("term").isNotNull())
     line = Window.partitionBy("grain", "term", "salt").orderBy("id")
-    new_id = ((F.row_number().over(line) == 1) | _differs("id", line)) & F.col("id").isNotNull()
-    partial = per_id.select("grain", "term", "salt", "n", new_id.cast("int").alias("new")).groupBy("grain", "term", "salt").agg(F.sum("n").alias("o"), F.sum("new").alias("r"))
+    new_id = ((F.row_number().over(line) == 1) | _differs("id", line)) & (F.col("salt") < salts)
+    partial = per_id.select("grain", "term", "salt", "n", new_id.cast("int").alias("new")).groupBy("grain", "term", "salt").agg(F.sum("n").alias("o"), F.sum("new").alias("r")).drop("salt")
+    if large:
+        apart = _of_large(writes, large).select("id", parts).filter(F.col("term").isNotNull()).distinct()
+        partial = partial.unionByName(apart.select("grain", "term", F.lit(0).alias("o"), F.lit(1).alias("r")))
     return partial.groupBy("grain", "term").agg(F.sum("o").alias("occurrences"), F.sum("r").alias("records"))
 
 
@@ -80,8 +106,9 @@ def marked_tags(writes: DataFrame, rare_below: int = 3, common_percent: int = 8)
 def all_terms(writes: DataFrame) -> DataFrame:
     """``(grain, term, occurrences, records, mark)`` of tags and of their parts. Parts have
     no mark. An empty table gives no rows."""
-    tags = tag_counts(writes)
+    large = large_records(writes)
+    tags = tag_counts(writes, large=large)
     whole = tags.select(
         F.lit("tag").alias("grain"), tag_text(*map(F.col, TAG)).alias("term"), "occurrences", "records", mark_of(distinct_ids(writes)).alias("mark")
     )
-    return whole.unionByName(part_counts(writes).withColumn("mark", F.lit(None).cast("string")))
+    return whole.unionByName(part_counts(writes, large=large).withColumn("mark", F.lit(None).cast("string")))

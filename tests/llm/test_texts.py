@@ -40,13 +40,22 @@ def writes(seed=1):
     return rows
 
 
-@pytest.mark.parametrize("salts", [1, 5])
-def test_counts(spark, salts):
+@pytest.mark.parametrize("salts,large", [(1, None), (5, []), (3, ["i1", "", "i7"])])
+def test_counts(spark, salts, large):
     rows = writes()
     df = spark.createDataFrame(rows, WRITES).repartition(4)
     tags, parts = brute_counts(rows)
-    assert {tuple(r) for r in terms.tag_counts(df, salts).collect()} == tags
-    assert {tuple(r) for r in terms.part_counts(df, salts).collect()} == parts
+    assert {tuple(r) for r in terms.tag_counts(df, salts, large).collect()} == tags
+    assert {tuple(r) for r in terms.part_counts(df, salts, large).collect()} == parts
+
+
+def test_a_large_record_is_split(spark):
+    rows = [(k, 0, "big" if k % 3 else f"i{k}", None, "k", "v") for k in range(900)]
+    df = spark.createDataFrame(rows, WRITES)
+    assert terms.large_records(df) == ["big"]
+    per = terms._seen(df, 4, ["big"]).filter("id = 'big'").groupBy("salt").count().collect()
+    assert len(per) == 4 and max(r["count"] for r in per) < 250
+    assert [tuple(r) for r in terms.tag_counts(df, 4).collect()] == [(None, "k", "v", 900, 301)]
 
 
 def test_marks(spark):
