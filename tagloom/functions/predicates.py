@@ -8,7 +8,7 @@ negated or kept as a flag it goes through :func:`sure` first, as ``not NULL`` lo
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import or_
 
@@ -23,8 +23,16 @@ from tagloom.model import Atom, Wild
 NUMERAL = r"\A[-+]?[0-9]+([.][0-9]+)?\z"
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(or_, conditions) if conditions else F.lit(False)
+def balanced(combine: Callable[[Column, Column], Column], parts: Sequence[Column]) -> Column:
+    """All parts combined as a flat tree: a chain of thousands is too deep for Catalyst."""
+    if len(parts) == 1:
+        return parts[0]
+    half = len(parts) // 2
+    return combine(balanced(combine, parts[:half]), balanced(combine, parts[half:]))
+
+
+def any_of(conditions: Sequence[Column]) -> Column:
+    return balanced(or_, conditions) if conditions else F.lit(False)
 
 
 def sure(condition: Column) -> Column:

@@ -15,6 +15,7 @@ property of the pattern and not of the tag.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from tagloom.config import HideConfig, HidePattern, Target, reference_of
 from tagloom.functions.comparators import Comparator
-from tagloom.functions.predicates import any_of, hidden, names_target, place_matches, sure, value_matches
-from tagloom.model import AND, NOT, Atom, Wild
+from tagloom.functions.predicates import any_of, balanced, hidden, names_target, place_matches, sure, value_matches
+from tagloom.model import AND, NOT, OR, Atom, Wild
 from tagloom.parse import Query
 from tagloom.sources.layout import BUCKET, bucket_of
 from tagloom.sources.tables import TagColumns
@@ -55,16 +56,23 @@ class Plan:
         return signs[0]
 
     def boolean(self, leaf) -> Column:
-        stack: list[Column] = []
+        """The expression over what leaf gives for each atom. Runs of one operator are
+        gathered and combined flat."""
+        merge = {AND: operator.and_, OR: operator.or_}
+        stack: list[tuple[str, list[Column]]] = []
+
+        def one(part: tuple[str, list[Column]]) -> Column:
+            return balanced(merge[part[0]], part[1])
+
         for step in self.query.program:
             if isinstance(step, Atom):
-                stack.append(leaf(step))
+                stack.append((AND, [leaf(step)]))
             elif step == NOT:
-                stack.append(~stack.pop())
+                stack.append((AND, [~one(stack.pop())]))
             else:
                 b, a = stack.pop(), stack.pop()
-                stack.append(a & b if step == AND else a | b)
-        return stack[0]
+                stack.append((step, [c for part in (a, b) for c in (part[1] if part[0] == step or len(part[1]) == 1 else [one(part)])]))
+        return one(stack[0])
 
     def necessary(self, leaf) -> Column | None:
         """What a row must meet to answer, without any negation, so that it may reach the

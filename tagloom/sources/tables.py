@@ -40,8 +40,9 @@ class TagOf:
 
 
 def number_tag(key: str, column: str, ns: str | None = None, scale: int = 2) -> TagOf:
-    """A number as plain digits: doubles would print an exponent from 1e7 on."""
-    exact = F.col(column).cast(f"decimal(18,{scale})")
+    """A number as plain digits: doubles would print an exponent from 1e7 on. One that
+    doesn't fit 18 digits, or is none, gives no tag."""
+    exact = F.col(column).try_cast(f"decimal(18,{scale})")
     return TagOf(key, exact.cast("string"), ns, number=exact.cast("double"))
 
 

@@ -143,6 +143,14 @@ def test_live_tags_match_a_replay(spark):
         assert got == {(*k, v) for k, vs in live.items() for v in vs}
 
 
+def test_many_atoms(spark):
+    store = TagStore.from_tags(spark.createDataFrame([(f"i{k}", None, "k", str(k)) for k in range(400)], TAGS))
+    query = " or ".join(f"k={k}" for k in range(0, 400, 2))
+    want = sorted(f"i{k}" for k in range(0, 400, 2))
+    assert ids(store.query(query)) == want and ids(store.query(query, "nested")) == want
+    assert ids(store.query(" ".join(f"not k={k}" for k in range(0, 400, 2)), "nested")) == sorted(f"i{k}" for k in range(1, 400, 2))
+
+
 def test_edges(spark):
     empty = TagStore.empty(spark)
     assert ids(empty.query("not a")) == [] and ids(empty.all_ids()) == []
