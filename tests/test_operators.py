@@ -333,3 +333,25 @@ def test_tokenizer_of_nothing():
     assert reject.parse_lines([], []).num_rows == 0 and reject.parse_records([], []).num_rows == 0
     before, ends = tokenizer.LINE.run(np.zeros(0, np.uint8), np.array([0, 0]))
     assert len(before) == 0 and ends.tolist() == [0, 0]
+
+
+# Checkpoints
+
+
+def test_checkpoints_need_a_shared_folder(spark):
+    from types import SimpleNamespace as N
+
+    from tagloom import checkpoints
+
+    def session(master, conf):
+        said = {}
+        sc = N(master=master, getCheckpointDir=lambda: said.get("dir"), setCheckpointDir=lambda d: said.update(dir=d), getConf=lambda: N(get=conf.get))
+        return N(sparkContext=sc)
+
+    with pytest.raises(ValueError):
+        checkpoints.folder(session("spark://host:7077", {}))
+    assert checkpoints.folder(session("spark://host:7077", {"spark.checkpoint.dir": "file:///shared"})) == "file:///shared"
+    assert "tagloom-" in checkpoints.folder(session("local[2]", {}))
+    df = spark.createDataFrame([(1, ["x"]), (2, None)], "a int, b array<string>")
+    assert rows_of(checkpoints.saved(df)) == rows_of(df) == rows_of(checkpoints.cut(df))
+    assert checkpoints.saved(df.limit(0)).count() == 0
