@@ -28,7 +28,7 @@ from tagloom.functions.comparators import Comparator
 from tagloom.functions.predicates import any_of, balanced, hidden, names_target, place_matches, sure, value_matches
 from tagloom.model import AND, NOT, OR, Atom, Wild
 from tagloom.parse import Query
-from tagloom.sources.layout import BUCKET, bucket_of
+from tagloom.sources.layout import BUCKET, bucket_of, clustered
 from tagloom.sources.tables import TagColumns
 
 STRATEGIES = ("fused", "nested", "posting", "columns")
@@ -167,7 +167,7 @@ class Plan:
 
         def scan(atom: Atom) -> DataFrame:
             rows = tags
-            if BUCKET in tags.columns and isinstance(atom.ns, str | None) and isinstance(atom.key, str):
+            if clustered(tags) and isinstance(atom.ns, str | None) and isinstance(atom.key, str):
                 rows = rows.filter(F.col(BUCKET) == bucket_of(tags, atom.ns, atom.key))
             return rows.filter(self.matches(atom, ns, key, value)).select("id").distinct()
 

@@ -25,17 +25,25 @@ def _bucket(ns: Column, key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(ns, key), F.lit(buckets)).cast("int")
 
 
+def clustered(tags: DataFrame) -> bool:
+    """Whether the rows come from the bucketed layout."""
+    return BUCKET in tags.columns and _COUNT in tags.schema["key"].metadata
+
+
 def bucket_of(tags: DataFrame, ns: str | None, key: str) -> Column:
     """The one bucket that can hold this namespace and key."""
-    buckets = tags.schema[BUCKET].metadata[_COUNT]
-    return _bucket(F.lit(ns).cast("string"), F.lit(key), buckets)
+    return _bucket(F.lit(ns).cast("string"), F.lit(key), tags.schema["key"].metadata[_COUNT])
 
 
 def write_long(tags: DataFrame, path: str, buckets: int = 64, files_per_bucket: int = 8, mode: str = "error") -> None:
+    """Choose the counts by the data: a file should come to some hundred MB, so 100 TB ask
+    for some 500,000 files, such as 4,096 buckets of 128 files. The bucket count is kept in
+    the files' own schema."""
     (
         tags.select(*TAGS.fieldNames())
         .withColumn(BUCKET, _bucket(F.col("ns"), F.col("key"), buckets))
-        .repartition(buckets, BUCKET, F.pmod(F.xxhash64("id"), F.lit(files_per_bucket)))
+        .withMetadata("key", {_COUNT: buckets})
+        .repartition(buckets * files_per_bucket, BUCKET, F.pmod(F.xxhash64("id"), F.lit(files_per_bucket)))
         .sortWithinPartitions(BUCKET, "ns", "key", "value")
         .write.mode(mode)
         .partitionBy(BUCKET)
@@ -44,10 +52,9 @@ def write_long(tags: DataFrame, path: str, buckets: int = 64, files_per_bucket:
     )
 
 
-def read_long(spark: SparkSession, path: str, buckets: int = 64) -> DataFrame:
-    """buckets must be what the layout was written with."""
-    df = spark.read.schema(f"id string, ns string, key string, value string, {BUCKET} int").parquet(path)
-    return df.withMetadata(BUCKET, {_COUNT: buckets})
+def read_long(spark: SparkSession, path: str) -> DataFrame:
+    """The long layout; queries with the posting plan prune it by bucket."""
+    return spark.read.parquet(path)
 
 
 def to_nested(tags: DataFrame, items: DataFrame | None = None) -> DataFrame:

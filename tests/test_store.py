@@ -201,7 +201,7 @@ def test_long_layout_prunes(spark, tmp_path):
     rows = [(f"i{k}", None if k % 3 else "n", f"k{k % 7}", str(k)) for k in range(200)] + [("e", "", "k1", "")]
     tags = spark.createDataFrame(rows, TAGS)
     write_long(tags, str(tmp_path / "t"), buckets=8, files_per_bucket=2)
-    back = read_long(spark, str(tmp_path / "t"), 8)
+    back = read_long(spark, str(tmp_path / "t"))
     assert sorted(map(str, to_long(to_nested(back)).collect())) == sorted(map(str, tags.collect()))
     store = TagStore.from_tags(back)
     df = store.query("n:k3>50", "posting")
