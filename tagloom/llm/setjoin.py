@@ -27,11 +27,14 @@ from pyspark.sql import functions as F
 
 from tagloom.checkpoints import cut, saved
 
-_ROWS = "node bigint, rep bigint, n int, sketch bigint"
+_ROWS = "place bigint, rep bigint, sketch bigint"
 _FOUND = "kind int, a bigint, b bigint, node bigint, level int"
 _DENSE = 0x9E3779B97F4A7C15
-#: A row's n holds the set's size below and the level above.
-_SIZE_BITS = 24
+#: A row's place holds 48 bits of the node's hash, 4 of its level and 12 of the set's size.
+#: Nodes of one hash are compared together, which costs a comparison and loses nothing;
+#: sizes from 4,095 on count as that, which keeps every pair whose true sizes allow it.
+_NODE, _SIZE = 16, 12
+_MOST = (1 << _SIZE) - 1
 
 
 @dataclass(frozen=True)
@@ -41,7 +44,7 @@ class Params:
     num: int = 3
     den: int = 4
     least: int = 5
-    trees: int = 8
+    trees: int = 12
     branch: float = 1.33
     depth: int = 6
     limit: int = 64
@@ -123,6 +126,11 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), lengths
 
 
+def _place(node: np.ndarray, level: int, sizes: np.ndarray) -> pa.Array:
+    low = np.uint64(level << _SIZE) | np.minimum(sizes, _MOST).astype(np.uint64)
+    return pa.array((node >> np.uint64(_NODE) << np.uint64(_NODE) | low).view(np.int64))
+
+
 def _rows_of(frequent: np.ndarray, p: Params, roots_of):
     """Node rows of record batches (rep, tokens[, node, level])."""
 
@@ -135,11 +143,8 @@ def _rows_of(frequent: np.ndarray, p: Params, roots_of):
                 sketch = sketches(tokens, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
                 for level, roots, owner in roots_of(batch):
                     node, who = descend(tokens, lengths, roots, owner, level, frequent, p)
-                    packed = (lengths[who] | (level + p.depth) << _SIZE_BITS).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(node.view(np.int64)), batch.column(0).take(pa.array(who)), pa.array(packed), pa.array(sketch[who].view(np.int64))],
-                        names=["node", "rep", "n", "sketch"],
-                    )
+                    place = _place(node, min(level + p.depth, 15), lengths[who])
+                    yield pa.RecordBatch.from_arrays([place, batch.column(0).take(pa.array(who)), pa.array(sketch[who].view(np.int64))], names=["place", "rep", "sketch"])
 
     return run
 
@@ -168,53 +173,49 @@ def _compare(p: Params, limit: int | None):
         def out(kind: int, a: pa.Array, b: pa.Array, node: pa.Array, level: pa.Array) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), a, b, node, level], names=["kind", "a", "b", "node", "level"])
 
-        def level_of(n: pa.Array) -> pa.Array:
-            return pa.array(n.to_numpy() >> _SIZE_BITS)
+        def passed_on(t: pa.Table) -> pa.RecordBatch:
+            place = t.column("place").to_numpy()
+            rep = t.column("rep").combine_chunks()
+            return out(1, rep, rep, pa.array(place >> _NODE << _NODE), pa.array((place >> _SIZE & 15).astype(np.int32)))
 
         def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
             if not t.num_rows:
                 return
-            t = t.combine_chunks()
-            col = {c: t.column(c).combine_chunks() if isinstance(t.column(c), pa.ChunkedArray) else t.column(c) for c in t.column_names}
-            node = col["node"].to_numpy()
+            place = t.column("place").to_numpy()
+            node = place >> _NODE
             starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
             sizes = np.diff(np.append(starts, len(node)))
             over = np.repeat(sizes > limit, sizes) if limit else np.zeros(len(node), bool)
             if over.any():
-                rows = pa.array(np.flatnonzero(over))
-                rep = col["rep"].take(rows)
-                yield out(1, rep, rep, col["node"].take(rows), level_of(col["n"].take(rows)))
+                yield passed_on(t.filter(pa.array(over)))
             keep = np.flatnonzero(~over)
-            n, sketch = col["n"].to_numpy()[keep] & (1 << _SIZE_BITS) - 1, col["sketch"].to_numpy()[keep].view(np.uint64)
-            for i, j in pairs_in_runs(node[keep], n, sketch, p):
+            rep, sketch = t.column("rep").to_numpy()[keep], t.column("sketch").to_numpy()[keep].view(np.uint64)
+            for i, j in pairs_in_runs(node[keep], place[keep] & _MOST, sketch, p):
                 if len(i):
-                    a, b = col["rep"].take(pa.array(keep[i])), col["rep"].take(pa.array(keep[j]))
-                    swap = pc.greater(a, b)
-                    zero = pa.array(np.zeros(len(i), np.int64))
-                    yield out(0, pc.if_else(swap, b, a), pc.if_else(swap, a, b), zero, zero.cast(pa.int32()))
+                    zero = np.zeros(len(i), np.int64)
+                    yield out(0, pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j])), pa.array(zero), pa.array(zero.astype(np.int32)))
 
         held: pa.Table | None = None
         large: int | None = None  # a node of which rows have been passed on already
         for batch in batches:
             t = pa.Table.from_batches([batch])
             if large is not None:
-                here = t.column("node").to_numpy()
+                here = t.column("place").to_numpy() >> _NODE
                 more = int(np.argmin(here == large)) if (here != large).any() else len(here)
                 if more:
-                    part = t.slice(0, more).combine_chunks().to_batches()[0]
-                    yield out(1, part.column("rep"), part.column("rep"), part.column("node"), level_of(part.column("n")))
+                    yield passed_on(t.slice(0, more))
                 t = t.slice(more)
                 if not t.num_rows:
                     continue
                 large = None
             t = t if held is None else pa.concat_tables([held, t])
-            node = t.column("node").to_numpy()
-            tail = int(np.searchsorted(node, node[-1], "left"))  # sorted by node
+            node = t.column("place").to_numpy() >> _NODE
+            tail = int(np.searchsorted(node, node[-1], "left"))  # sorted by place
             yield from work(t.slice(0, tail))
             held = t.slice(tail)
             if limit and held.num_rows > limit:
                 large = int(node[-1])
-                yield from work(held)
+                yield passed_on(held)
                 held = None
         if held is not None:
             yield from work(held)
@@ -250,7 +251,7 @@ def _candidates(reps: DataFrame, frequent: np.ndarray, p: Params) -> DataFrame:
     """Distinct ``(a, b)``, a < b, of representatives that met in a small node."""
 
     def compare(rows: DataFrame, limit: int | None) -> DataFrame:
-        lined_up = rows.repartition("node").sortWithinPartitions("node", "rep")
+        lined_up = rows.repartition(F.shiftright("place", _NODE)).sortWithinPartitions("place")
         return lined_up.mapInArrow(_compare(p, limit), _FOUND).filter((F.col("kind") == 1) | (F.col("a") != F.col("b"))).distinct()
 
     reps = reps.select(F.col("rid").alias("rep"), "tokens")
@@ -262,7 +263,7 @@ def _candidates(reps: DataFrame, frequent: np.ndarray, p: Params) -> DataFrame:
         left = met.filter("kind = 1").select(F.col("a").alias("rep"), "node", "level")
         if left.isEmpty():
             return reduce(DataFrame.union, found).distinct()
-        again = left.join(reps, "rep").select("rep", "tokens", "node", "level")
+        again = reps.join(_few(left, left.count(), p), "rep").select("rep", "tokens", "node", "level")
         rows = again.mapInArrow(_rows_of(np.zeros(0, np.uint64), Params(**{**p.__dict__, "depth": 1}), _from_nodes), _ROWS)
     # Nodes that no split makes small: every block of the node against every other.
     sized = left.join(left.groupBy("node").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks")), "node").join(reps, "rep")
@@ -280,10 +281,8 @@ def _as_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if batch.num_rows:
                 tokens, lengths = _lists(batch.column(1))
                 sketch = sketches(tokens, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(2), batch.column(0), pa.array(lengths.astype(np.int32)), pa.array(sketch.view(np.int64))],
-                    names=["node", "rep", "n", "sketch"],
-                )
+                node = batch.column(2).to_numpy().view(np.uint64)
+                yield pa.RecordBatch.from_arrays([_place(node, 0, lengths), batch.column(0), pa.array(sketch.view(np.int64))], names=["place", "rep", "sketch"])
 
 
 def _few(df: DataFrame, rows: int, p: Params) -> DataFrame:
@@ -308,8 +307,9 @@ def similar_representatives(reps: DataFrame, p: Params) -> DataFrame:
 def fold_copies(sets: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
     """(representatives, copies): the records less all but the first of each group of equal
     sets, and ``(rep, id, copies)`` of the groups of two or more, rep being the least id."""
-    groups = sets.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies")).filter("copies > 1")
-    copies = cut(sets.select("f1", "f2", "id").join(groups, ["f1", "f2"]).select("rep", "id", "copies").distinct())
+    groups = cut(sets.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep != last").drop("last"))
+    members = sets.select("f1", "f2", "id").join(_few(groups, groups.count(), p), ["f1", "f2"]).select("rep", "id").distinct()
+    copies = cut(members.join(members.groupBy("rep").agg(F.count("*").alias("copies")), "rep"))
     others = copies.filter("id != rep").select("id")
     return sets.join(_few(others, others.count(), p), "id", "left_anti"), copies
 
