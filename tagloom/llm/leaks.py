@@ -37,7 +37,7 @@ class Params:
 
     seed: int = 4
     share: float = 0.5
-    errors: float = 0.25
+    errors: float = 0.15
     gap: int = 12
     max_chars: int = 20_000_000
 
