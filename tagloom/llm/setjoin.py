@@ -29,7 +29,8 @@ from tagloom.checkpoints import cut, saved
 
 _ROWS = "place bigint, rep bigint, sketch bigint"
 _FOUND = "kind int, a bigint, b bigint, node bigint, level int"
-_DENSE = 0x9E3779B97F4A7C15
+#: An odd number with its bits well mixed, to tell seeds and levels apart.
+_DENSE = 0xD6E8FEB86659FD93
 #: A row's place holds 48 bits of the node's hash, 4 of its level and 12 of the set's size.
 #: Nodes of one hash are compared together, which costs a comparison and loses nothing;
 #: sizes from 4,095 on count as that, which keeps every pair whose true sizes allow it.
@@ -56,12 +57,12 @@ class Params:
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    """splitmix64's finaliser: a bijection that spreads all bits."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """The 64-bit finaliser of MurmurHash3: a bijection that spreads all bits."""
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xFF51AFD7ED558CCD)
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
 
 
 def sketches(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
