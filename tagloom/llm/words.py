@@ -6,8 +6,8 @@ import re
 import unicodedata
 
 #: Characters that show nothing: soft hyphen, zero-width ones, byte order mark (fixed values).
-_INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
-_DASHES = str.maketrans({c: "-" for c in "‐‑‒–—−"})
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]+")
+_DASHES = re.compile("[\u2010-\u2014\u2212]")
 #: Numbers in brackets: reference signs and paragraph numbers.
 _BRACKETED = re.compile(r"[(\[]\s*[0-9]+\s*[)\]]")
 _BROKEN = re.compile(r"(?<=[^\W\d_])-\s*[\r\n\f]+\s*(?=[^\W\d_])")
@@ -21,8 +21,8 @@ def plain(text: str | None) -> str:
     if not text:
         return ""
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text.translate(_INVISIBLE))
-        text = _ACCENTS.sub("", text).translate(_DASHES)
+        text = unicodedata.normalize("NFKD", _INVISIBLE.sub("", text))
+        text = _DASHES.sub("-", _ACCENTS.sub("", text))
     text = text.casefold()
     if "-" in text:
         text = _BROKEN.sub("", text)
