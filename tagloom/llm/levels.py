@@ -4,8 +4,10 @@ Every word gets an acquisition grade from the graded texts it occurs in: the mea
 its documents, each level weighed alike. A document is described by quantiles of the grades
 of its known words, and a calibration fitted on graded documents turns these quantiles into
 a level. Grades used for calibration come from the other folds, so a document never grades
-its own words. A text is taken for English if most of its letters are in words known from the graded
-English texts; the column ``lang`` isn't used.
+its own words. Whether a text is English is told by its script and function words, so a small
+or skewed sample of graded texts drops none; where these tell nothing, a text is English if most
+of its letters are in words known from the graded texts. A graded document always is. The column
+``lang`` isn't used.
 
 Fitting uses at most ``max_labels`` graded documents, the first by a hash of their id. That
 bounds the vocabulary, the matrices on the driver, and what goes to every executor. All
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.checkpoints import saved
+from tagloom.llm.english import is_english
 
 LEVELS = (1, 2, 3, 4)
 #: Quantiles that describe a document.
@@ -36,8 +39,8 @@ _PLACE = [f"q{int(100 * q):02d}" for q in QUANTILES]
 @dataclass(frozen=True)
 class Params:
     """max_labels: most graded documents used to fit. folds: for cross-fitting. least_docs:
-    documents a word needs. english: share of letters in
-    known words from which a text is English.
+    documents a word needs. english: share of letters in known words from which a text is
+    English that has too few function words to tell.
     longer_than: characters a text must exceed. ridge: penalty of the calibration."""
 
     max_labels: int = 20_000
@@ -128,15 +131,23 @@ class Model:
     calibration: Calibration | None
     params: Params
 
-    def predict(self, texts: list[str | None]) -> list[tuple[int | None, float]]:
-        """(level, share of letters in known words) of each text; no level if it isn't English, not
-        longer than the least, or nothing was graded."""
-        found = [self.grades.describe(tokens(t)) if t and len(t) > self.params.longer_than else (None, 0.0) for t in texts]
-        english = [k for k, (_, share) in enumerate(found) if share >= self.params.english]
-        out: list[tuple[int | None, float]] = [(None, share) for _, share in found]
-        if english and self.calibration is not None:
-            for k, level in zip(english, self.calibration.level(np.array([found[k][0] for k in english])), strict=True):
-                out[k] = (int(level), out[k][1])
+    def predict(self, texts: list[str | None]) -> list[tuple[int | None, float, int | None]]:
+        """(level, share of letters in known words, level if it is English) of each text; no
+        level if it isn't English, and none at all if it isn't longer than the least, or
+        nothing was graded. A text without a known word is described by the average."""
+        found = [tokens(t) if t and len(t) > self.params.longer_than else [] for t in texts]
+        described = [self.grades.describe(f) for f in found]
+        out: list[tuple[int | None, float, int | None]] = [(None, share, None) for _, share in described]
+        if self.calibration is None:
+            return out
+        long = [k for k, f in enumerate(found) if f]
+        if not long:
+            return out
+        x = np.array([described[k][0] if described[k][1] else self.calibration.centre for k in long])
+        for k, level in zip(long, self.calibration.level(x).tolist(), strict=True):
+            told = is_english(texts[k], found[k])
+            english = described[k][1] >= self.params.english if told is None else told
+            out[k] = (level if english else None, described[k][1], level)
         return out
 
 
@@ -209,13 +220,18 @@ def reading_levels(documents: DataFrame, graded: DataFrame, params: Params | Non
     """``(doc_id, level, known)`` of every row of ``documents``: level 1 to 4, or NULL for
     texts that are null, too short or not English; known is the share of letters
     in known words. Graded
-    documents are predicted like all others. Without graded documents all levels are NULL."""
+    documents are predicted like all others, but are English whatever their text looks like.
+    Without graded documents all levels are NULL."""
     model = documents.sparkSession.sparkContext.broadcast(fit(documents, graded, params))
     narrow = documents.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = model.value.predict(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.float64())], ["doc_id", "level", "known"])
+            columns = [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "level", "known", "if_english"])
 
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, level bigint, known double")
+    found = narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, level bigint, known double, if_english bigint")
+    marked = graded.filter(F.col("level").isin(*LEVELS)).select("doc_id", F.lit(True).alias("marked")).distinct()
+    level = F.when(F.col("level").isNull() & F.col("marked"), F.col("if_english")).otherwise(F.col("level"))
+    return found.join(marked, "doc_id", "left").select("doc_id", level.alias("level"), "known")

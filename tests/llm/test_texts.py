@@ -7,7 +7,7 @@ import pytest
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
-from tagloom.llm import encode, leaks, levels, terms
+from tagloom.llm import encode, english, leaks, levels, terms
 from tagloom.llm.words import words
 from tagloom.model import WRITES
 
@@ -251,3 +251,26 @@ def test_grades_rise_with_level():
     g = levels.grade(np.array([[9, 1, 0, 0], [0, 0, 1, 9], [5, 5, 5, 5]]), documents)
     assert g[0] < 1.4 and g[1] > 3.6 and g[2] == pytest.approx(2.5)
     assert Counter(levels.tokens("A b1 c_d é!")) == Counter("a b c d é".split())
+
+
+def test_a_small_sample_drops_no_english_text(spark):
+    easy = "Grandmother always finishes the strawberry pudding before dinnertime, and then we all wash the dishes with her."
+    hard = "The method according to claim one is characterised in that the polymer comprises a crosslinked copolymer of high modulus."
+    french = "Le procédé selon la revendication est caractérisé en ce que le polymère est un copolymère, ainsi il se détache sans outil."
+    mixed = "所述转轴可由金属制成，皮带由塑料制成。所述壳体通过转轴与容器相连。当支架停止时，转轴控制容器关闭。" * 2 + hard
+    rows = [(1, hard), (2, hard + " It is so."), (3, easy), (4, french), (5, mixed), (6, "Umbrella toothbrush wheelbarrow sandwich bathtub butterfly"), (7, french + " Graded.")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marks = spark.createDataFrame([(1, 4), (2, 4), (7, 3)], "doc_id bigint, level bigint")
+    got = {r.doc_id: r.level for r in levels.reading_levels(df, marks, levels.Params(least_docs=2)).collect()}
+    assert all(got[k] is not None for k in (1, 2, 3, 7)) and all(got[k] is None for k in (4, 5, 6))
+    # A text none of whose words is known has a level too.
+    none = levels.Model(levels.Grades({}), levels.calibrate(np.eye(20), np.array([1, 2] * 10), 1e-3), levels.Params())
+    assert none.predict([easy])[0][0] is not None
+
+
+def test_english_by_function_words():
+    tell = lambda t: english.is_english(t, levels.tokens(t))
+    assert tell("We made the soup and nobody noticed it, because they were all outside.")
+    for other in ("Das Gehäuse ist mit einem Deckel verbunden, der sich öffnet.", "El sensor se mueve hacia la válvula según la señal.", "O motor do carro não está na garagem.", "Клапан соединен с корпусом"):
+        assert tell(other) is False
+    assert tell("glueb aworda awordb gluec") is None and tell("") is None
