@@ -1,12 +1,19 @@
-"""All pairs of records whose sets overlap enough, by recursive chosen-path splitting.
-
-Every tree sends a record down from its root: at each node the record follows those of its
-tokens that a hash of (path, token) picks, each with probability ``branch / set size``, so
-two records that overlap much are likely to go on together, and other pairs part. A path
-ends once it holds a token that isn't frequent, as such a node is small. Small nodes are
-compared in full; a node that turns out larger than ``limit`` is split again, and what is
-still large after ``rounds`` is compared block by block, so nothing is capped or dropped.
-Trees are repeated for recall, and every candidate is verified on the whole sets.
+"""All pairs of records whose sets overlap enough: those that share a token which isn't
+frequent by a prefix filter, the others by recursive chosen-path splitting.
+
+A pair similar enough shares one of the first few tokens of both sets, in any fixed order. In
+the order taken, tokens that aren't frequent come first, so a pair that shares one meets for
+certain at such a token. What remains are pairs that share frequent tokens only. They exist
+only among records with few other tokens, and only the frequent tokens of these go on: pairs
+with few shared tokens meet for certain at the subset they share, all others in trees. A tree
+sends a record down from its root: at each node the record follows those of its unused tokens
+that a hash of (path, token) picks, each with probability ``branch / unused tokens``, so two
+records that overlap much are likely to go on together, and other pairs part. Trees
+are repeated for recall.
+
+Small nodes are compared in full, larger ones block by block; a tree's node that is larger
+than ``whole`` is split again, and what is still so large after ``rounds`` is compared block by block too, so nothing is capped or dropped. Every
+candidate is verified on the whole sets.
 
 Only (node, record, size, sketch) is shuffled, never the sets, and a record is named there
 by a hash of its id: two ids of one hash only make a candidate more. Equal sets are folded
@@ -17,7 +24,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
+from itertools import combinations
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +61,10 @@ class Params:
     frequent: int = 20_000
     rounds: int = 6
     block: int = 512
+    #: Most records of a tree's node that is compared without splitting it again.
+    whole: int = 4_096
+    #: Most subsets of one size that a record is put under.
+    subsets: int = 64
     #: Most rows of a side that is broadcast; beyond, the join shuffles.
     broadcast_rows: int = 1_000_000
 
@@ -79,33 +92,75 @@ def sketches(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
 SKETCH_BITS = 21
 
 
-def descend(tokens: np.ndarray, lengths: np.ndarray, roots: np.ndarray, owner: np.ndarray, level: int, frequent: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """(node, owner) of every path's end. tokens: of all records, laid end to end;
-    roots and owner: where each descent starts and of which record."""
-    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    often = np.isin(tokens, frequent) if len(frequent) else np.zeros(len(tokens), bool)
-    ends_node, ends_owner = [], []
+def longest(overlap: int, p: Params) -> int:
+    """The largest set of a similar pair with this overlap."""
+    return overlap * p.den // p.num
+
+
+def prefix(n: np.ndarray, p: Params) -> np.ndarray:
+    """Tokens of a set of n of which a similar pair shares one, in any order of tokens."""
+    return n - -(-n * p.num // p.den) + 1
+
+
+@cache
+def certain(p: Params) -> int:
+    """Pairs that overlap in at most so many tokens meet at the subset they share."""
+    overlap = least_overlap(p) - 1
+    while comb(longest(overlap + 1, p), overlap + 1) <= p.subsets:
+        overlap += 1
+    return overlap
+
+
+def least_overlap(p: Params) -> int:
+    return max(1, ceil(p.least * p.num / p.den))
+
+
+@cache
+def depth_of(p: Params) -> int:
+    """Tokens on a tree's path: never more than the pairs left to the trees share."""
+    return min(p.depth, certain(p) + 1)
+
+
+def trees_of(size: int, p: Params) -> int:
+    """Trees for a set of so many frequent tokens: none if all its pairs meet for certain."""
+    return p.trees if size > certain(p) else 0
+
+
+def _starts(lengths: np.ndarray) -> np.ndarray:
+    return np.cumsum(lengths) - lengths
+
+
+def descend(tokens: np.ndarray, lengths: np.ndarray, roots: np.ndarray, owner: np.ndarray, level: int, depth: int, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """(node, owner) of every path's end, ``depth`` tokens on. tokens: of all records, laid end
+    to end; roots and owner: where each descent starts and of which record."""
+    first = _starts(lengths)
     used = np.zeros((len(roots), 0), np.int64)
     node = roots
-    for depth in range(level, level + p.depth):
-        if not len(node):
-            break
+    for down in range(depth):
         count = lengths[owner]
         parent = np.repeat(np.arange(len(node)), count)
-        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[owner], count)
-        mixed = _mix(node[parent] ^ _mix(tokens[at] + np.uint64((depth + 1) * _DENSE % 2**64)))
-        picked = (mixed >> np.uint64(11)).astype(np.float64) * 2.0**-53 * count[parent] < p.branch
-        for k in range(used.shape[1]):
+        at = np.arange(count.sum()) - np.repeat(_starts(count), count) + np.repeat(first[owner], count)
+        mixed = _mix(node[parent] ^ _mix(tokens[at] + np.uint64((level + down + 1) * _DENSE % 2**64)))
+        picked = (mixed >> np.uint64(11)).astype(np.float64) * 2.0**-53 * (count[parent] - down) < p.branch
+        for k in range(down):
             picked &= used[parent, k] != at
-        parent, at, mixed = parent[picked], at[picked], _mix(mixed[picked] + np.uint64(1))
-        go_on = often[at]
-        if depth == level + p.depth - 1:
-            go_on[:] = False
-        ends_node.append(mixed[~go_on])
-        ends_owner.append(owner[parent[~go_on]])
-        used = np.column_stack([used[parent[go_on]], at[go_on]])
-        node, owner = mixed[go_on], owner[parent[go_on]]
-    return np.concatenate(ends_node or [np.zeros(0, np.uint64)]), np.concatenate(ends_owner or [np.zeros(0, np.int64)])
+        parent, at = parent[picked], at[picked]
+        node, owner = _mix(mixed[picked] + np.uint64(1)), owner[parent]
+        used = np.column_stack([used[parent], at])
+    return node, owner
+
+
+def subset_nodes(tokens: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, p: Params) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(node, owner): the subsets of its tokens that a record of this size can share with a
+    similar one, up to ``certain`` tokens."""
+    first, mixed = _starts(lengths), _mix(tokens + np.uint64(_DENSE))
+    for n, f in set(zip(sizes.tolist(), lengths.tolist(), strict=True)):
+        who = np.flatnonzero((sizes == n) & (lengths == f))
+        for size in range(1, min(f, certain(p)) + 1):
+            if size * p.den >= (n + max(size, p.least) - size) * p.num:
+                picks = np.array(list(combinations(range(f), size)))
+                node = mixed[first[who][:, None, None] + picks[None]].sum(2, dtype=np.uint64)
+                yield _mix(node + np.uint64(size)).ravel(), np.repeat(who, len(picks))
 
 
 def pairs_in_runs(node: np.ndarray, n: np.ndarray, sketch: np.ndarray, p: Params) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -132,38 +187,65 @@ def _place(node: np.ndarray, level: int, sizes: np.ndarray) -> pa.Array:
     return pa.array((node >> np.uint64(_NODE) << np.uint64(_NODE) | low).view(np.int64))
 
 
-def _rows_of(frequent: np.ndarray, p: Params, roots_of):
-    """Node rows of record batches (rep, tokens[, node, level])."""
+def _node_rows(batch: pa.RecordBatch, node: np.ndarray, level: int, sizes: np.ndarray, who: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+    place = _place(node, level, sizes[who])
+    return pa.RecordBatch.from_arrays([place, batch.column(0).take(pa.array(who)), pa.array(sketch[who].view(np.int64))], names=["place", "rep", "sketch"])
+
+
+def _only_frequent(tokens: np.ndarray, lengths: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens are frequent, and how many of each record are."""
+    often = np.isin(tokens, frequent) if len(frequent) else np.zeros(len(tokens), bool)
+    return often, np.bincount(np.repeat(np.arange(len(lengths)), lengths)[often], minlength=len(lengths))
+
+
+def _rows_from_top(frequent: np.ndarray, p: Params):
+    """Node rows of record batches (rep, tokens). Level 0: nodes where pairs meet for certain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seed = lambda t: _mix(np.array([t + 1], np.uint64) * np.uint64(_DENSE))
         with np.errstate(over="ignore"):
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 tokens, lengths = _lists(batch.column(1))
-                sketch = sketches(tokens, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
-                for level, roots, owner in roots_of(batch):
-                    node, who = descend(tokens, lengths, roots, owner, level, frequent, p)
-                    place = _place(node, min(level + p.depth, 15), lengths[who])
-                    yield pa.RecordBatch.from_arrays([place, batch.column(0).take(pa.array(who)), pa.array(sketch[who].view(np.int64))], names=["place", "rep", "sketch"])
+                sketch = sketches(tokens, _starts(lengths))
+                often, many = _only_frequent(tokens, lengths, frequent)
+                record = np.repeat(np.arange(len(lengths)), lengths)
+                rare, of = tokens[~often], record[~often]
+                place = np.arange(len(rare)) - np.repeat(_starts(lengths - many), lengths - many)
+                kept = place < prefix(lengths, p)[of]
+                yield _node_rows(batch, _mix(rare[kept]), 0, lengths, of[kept], sketch)
+                # Records that may share frequent tokens only with a similar one.
+                left = np.flatnonzero(lengths - many < prefix(lengths, p))
+                tokens = tokens[often & np.isin(record, left)]
+                for node, who in subset_nodes(tokens, many[left], lengths[left], p):
+                    yield _node_rows(batch, node, 0, lengths, left[who], sketch)
+                trees = np.array([trees_of(int(f), p) for f in many[left]], np.int64)
+                for t in range(trees.max(initial=0)):
+                    owner = np.flatnonzero(trees > t)
+                    node, who = descend(tokens, many[left], np.repeat(seed(t), len(owner)), owner, 0, depth_of(p), p)
+                    yield _node_rows(batch, node, depth_of(p), lengths, left[who], sketch)
 
     return run
 
 
-def _from_top(p: Params):
-    def roots_of(batch: pa.RecordBatch):
-        seeds = _mix(np.arange(1, p.trees + 1, dtype=np.uint64) * np.uint64(_DENSE))
-        n = batch.num_rows
-        yield 0, np.repeat(seeds, n), np.tile(np.arange(n), p.trees)
-
-    return roots_of
+def _rows_from_nodes(frequent: np.ndarray, p: Params):
+    """Node rows of batches (rep, tokens, node, level): nodes split once more."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                tokens, lengths = _lists(batch.column(1))
+                sketch = sketches(tokens, _starts(lengths)) if batch.num_rows else None
+                often, many = _only_frequent(tokens, lengths, frequent)
+                levels = batch.column(3).to_numpy()
+                for level in np.unique(levels).tolist():
+                    owner = np.flatnonzero(levels == level)
+                    roots = batch.column(2).to_numpy()[owner].view(np.uint64)
+                    node, who = descend(tokens[often], many, roots, owner, level, 1, p)
+                    yield _node_rows(batch, node, min(level + 1, 15), lengths, who, sketch)
 
-def _from_nodes(batch: pa.RecordBatch):
-    levels = batch.column(3).to_numpy()
-    for level in np.unique(levels):
-        owner = np.flatnonzero(levels == level)
-        yield int(level), batch.column(2).to_numpy()[owner].view(np.uint64), owner
+    return run
 
 
 def _compare(p: Params, limit: int | None):
@@ -241,7 +323,7 @@ def record_sets(tables: list[DataFrame], p: Params) -> DataFrame:
 
 def frequent_tokens(sets: DataFrame, p: Params) -> np.ndarray:
     """The most frequent tokens, by a sketch of bounded size. Only a hint where to go on
-    splitting: results don't depend on it, as node sizes are checked."""
+    splitting: a pair that shares a token not named here is found for certain."""
     if p.frequent == 0:
         return np.zeros(0, np.uint64)
     top = sets.select(F.explode("tokens").alias("t")).agg(F.expr(f"approx_top_k(t, {p.frequent // 2}, {2 * p.frequent})").alias("top")).first()["top"]
@@ -256,23 +338,30 @@ def _candidates(reps: DataFrame, frequent: np.ndarray, p: Params) -> DataFrame:
         return lined_up.mapInArrow(_compare(p, limit), _FOUND).filter((F.col("kind") == 1) | (F.col("a") != F.col("b"))).distinct()
 
     reps = reps.select(F.col("rid").alias("rep"), "tokens")
-    rows = reps.mapInArrow(_rows_of(frequent, p, _from_top(p)), _ROWS)
-    found = []
-    for _ in range(p.rounds):
+    rows = reps.mapInArrow(_rows_from_top(frequent, p), _ROWS)
+    found, blocks = [], []
+    for k in range(p.rounds + 1):
         met = cut(compare(rows, p.limit))
         found.append(met.filter("kind = 0").select("a", "b"))
         left = met.filter("kind = 1").select(F.col("a").alias("rep"), "node", "level")
         if left.isEmpty():
-            return reduce(DataFrame.union, found).distinct()
+            break
+        left = cut(left.join(left.groupBy("node").agg(F.count("*").alias("size")), "node"))
+        large = (F.col("size") > p.whole) & (F.col("level") > 0) if k < p.rounds else F.lit(False)
+        blocks.append(left.filter(~large))
+        left = left.filter(large)
+        if left.isEmpty():
+            break
         again = reps.join(_few(left, left.count(), p), "rep").select("rep", "tokens", "node", "level")
-        rows = again.mapInArrow(_rows_of(np.zeros(0, np.uint64), Params(**{**p.__dict__, "depth": 1}), _from_nodes), _ROWS)
-    # Nodes that no split makes small: every block of the node against every other.
-    sized = left.join(left.groupBy("node").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks")), "node").join(reps, "rep")
-    mine = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int")
-    spread = sized.select("rep", "tokens", "node", "level", mine.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    square = F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j"))
-    blocks = spread.select("rep", "tokens", square.alias("node")).mapInArrow(_as_rows, _ROWS)
-    found.append(compare(blocks, None).select("a", "b"))
+        rows = again.mapInArrow(_rows_from_nodes(frequent, p), _ROWS)
+    if blocks:
+        # Larger nodes that aren't split: every block of the node against every other.
+        whole = reduce(DataFrame.union, blocks).withColumn("blocks", F.ceil(F.col("size") / p.block).cast("int"))
+        sized = reps.join(_few(whole, whole.count(), p), "rep")
+        mine = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int")
+        spread = sized.select("rep", "tokens", "node", mine.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+        square = F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j"))
+        found.append(compare(spread.select("rep", "tokens", square.alias("node")).mapInArrow(_as_rows, _ROWS), None).select("a", "b"))
     return reduce(DataFrame.union, found).distinct()
 
 

@@ -56,6 +56,34 @@ def test_similar_pairs(spark, p):
     assert {x for x in want if x[0].startswith("copy")} <= got  # copies, and what they are near
 
 
+def skewed(seed, sizes, tags=60, records=150):
+    """Records of a few tags that all are frequent, in groups of similar ones."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(records):
+        tags_of = rng.choices(range(tags), [1 / (t + 3) for t in range(tags)], k=200)
+        base = list(dict.fromkeys(tags_of))[: rng.choice(sizes)]
+        for m in range(4):
+            own = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 8))):
+                if rng.random() < 0.5 and len(own) > 5:
+                    own.pop(rng.randrange(len(own)))
+                else:
+                    own.append(rng.randrange(tags))
+            rows.append((f"r{k}-{m}", [(None, "t", str(t)) for t in own]))
+    return rows
+
+
+def test_short_sets_of_frequent_tags_meet_for_certain(spark):
+    rows = skewed(7, [5, 6, 7, 8], tags=20)
+    tags = [t for _, own in rows for t in set(own)]
+    assert min(tags.count(t) for t in set(tags)) > setjoin.Params().limit // 2
+    # Up to 8 shared tags: certain, not likely.
+    want = {(a, b) for a, b in brute_pairs(rows) if len(set(dict(rows)[a]) & set(dict(rows)[b])) <= 8}
+    got = {tuple(r) for r in setjoin.similar_pairs([nested(spark, rows)]).collect()}
+    assert len(want) > 500 and want <= got <= brute_pairs(rows)
+
+
 def test_classes(spark):
     rows = store(4, groups=5, copies=30)
     got = {r.id: r for r in setjoin.similarity_classes([nested(spark, rows)]).collect()}
