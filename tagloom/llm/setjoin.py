@@ -8,11 +8,12 @@ only among records with few other tokens, and only the frequent tokens of these
 with few shared tokens meet for certain at the subset they share, all others in trees. A tree
 sends a record down from its root: at each node the record follows those of its unused tokens
 that a hash of (path, token) picks, each with probability ``branch / unused tokens``, so two
-records that overlap much are likely to go on together, and other pairs part. Trees
-are repeated for recall.
+records that overlap much are likely to go on together, and other pairs part. A record goes
+down as many trees as the worst pair of its size needs to meet with probability ``recall``.
 
 Small nodes are compared in full, larger ones block by block; a tree's node that is larger
-than ``whole`` is split again, and what is still so large after ``rounds`` is compared block by block too, so nothing is capped or dropped. Every
+than ``whole`` is split again, as often as ``recall`` asks for, and what is still so large
+after ``rounds`` is compared block by block too, so nothing is capped or dropped. Every
 candidate is verified on the whole sets.
 
 Only (node, record, size, sketch) is shuffled, never the sets, and a record is named there
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache, reduce
 from itertools import combinations
-from math import ceil, comb
+from math import ceil, comb, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,9 @@ _MOST = (1 << _SIZE) - 1
 
 @dataclass(frozen=True)
 class Params:
-    """threshold is the least Jaccard similarity, as a fraction num/den."""
+    """threshold is the least Jaccard similarity, as a fraction num/den. recall: probability
+    to meet of the worst pair that shares frequent tokens only; all others meet for certain.
+    trees: least number of trees."""
 
     num: int = 3
     den: int = 4
@@ -61,6 +64,7 @@ class Params:
     frequent: int = 20_000
     rounds: int = 6
     block: int = 512
+    recall: float = 0.99
     #: Most records of a tree's node that is compared without splitting it again.
     whole: int = 4_096
     #: Most subsets of one size that a record is put under.
@@ -121,9 +125,29 @@ def depth_of(p: Params) -> int:
     return min(p.depth, certain(p) + 1)
 
 
+def survival(overlap: int, size: int, p: Params) -> float:
+    """Probability that two sets, the larger one of this size, end in one node of a tree."""
+    alive = 1.0
+    for used in reversed(range(depth_of(p))):
+        alive = 1 - (1 - min(1.0, p.branch / (size - used)) * alive) ** (overlap - used)
+    return alive
+
+
+def repeats(alive: float, p: Params) -> int:
+    return 1 if alive >= 1 else ceil(log(1 - p.recall) / log1p(-alive))
+
+
+@cache
 def trees_of(size: int, p: Params) -> int:
-    """Trees for a set of so many frequent tokens: none if all its pairs meet for certain."""
-    return p.trees if size > certain(p) else 0
+    """Trees for a set of so many frequent tokens, by the worst pair it can be in."""
+    overlaps = range(max(certain(p) + 1, -(-size * p.num // p.den)), size + 1)
+    return max((max(p.trees, repeats(survival(o, longest(o, p), p), p)) for o in overlaps), default=0)
+
+
+@cache
+def splits(p: Params) -> int:
+    """Times a large node is split: a pair goes on together with 1 - 1/e**(branch * num / den)."""
+    return repeats(1 - float(np.exp(-p.branch * p.num / p.den)), p)
 
 
 def _starts(lengths: np.ndarray) -> np.ndarray:
@@ -230,7 +254,7 @@ def _rows_from_top(frequent: np.ndarray, p: Params):
 
 
 def _rows_from_nodes(frequent: np.ndarray, p: Params):
-    """Node rows of batches (rep, tokens, node, level): nodes split once more."""
+    """Node rows of batches (rep, tokens, node, level): nodes split once more, repeatedly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -242,8 +266,9 @@ def _rows_from_nodes(frequent: np.ndarray, p: Params):
                 for level in np.unique(levels).tolist():
                     owner = np.flatnonzero(levels == level)
                     roots = batch.column(2).to_numpy()[owner].view(np.uint64)
-                    node, who = descend(tokens[often], many, roots, owner, level, 1, p)
-                    yield _node_rows(batch, node, min(level + 1, 15), lengths, who, sketch)
+                    for again in range(splits(p)):
+                        node, who = descend(tokens[often], many, roots ^ np.uint64(again * _DENSE % 2**64), owner, level, 1, p)
+                        yield _node_rows(batch, node, min(level + 1, 15), lengths, who, sketch)
 
     return run
 

@@ -84,6 +84,37 @@ def test_short_sets_of_frequent_tags_meet_for_certain(spark):
     assert len(want) > 500 and want <= got <= brute_pairs(rows)
 
 
+@pytest.mark.parametrize("overlap,size", [(9, 9), (9, 12), (12, 15), (18, 24)])
+def test_trees_reach_the_recall(overlap, size):
+    p = setjoin.Params()
+    trees, tries = min(setjoin.trees_of(overlap, p), setjoin.trees_of(size, p)), 1_500
+    tokens = np.random.default_rng(5).integers(0, 2**63, (tries, size), dtype=np.uint64)
+    met = np.zeros(tries, bool)
+    with np.errstate(over="ignore"):
+        for t in range(trees):
+            ends = []
+            for n in (overlap, size):
+                lengths, roots = np.full(tries, n), np.full(tries, setjoin._mix(np.uint64(t + 1)))
+                node, owner = setjoin.descend(tokens[:, :n].ravel(), lengths, roots, np.arange(tries), 0, setjoin.depth_of(p), p)
+                ends.append(set(zip(node.tolist(), owner.tolist(), strict=True)))
+            met[[o for _, o in ends[0] & ends[1]]] = True
+    assert met.mean() >= p.recall - 0.006
+
+
+def test_more_recall_takes_more_trees():
+    few, many = setjoin.Params(recall=0.9, trees=1), setjoin.Params(recall=0.999, trees=1)
+    assert setjoin.trees_of(9, few) < setjoin.trees_of(9, many) and setjoin.splits(few) < setjoin.splits(many)
+    assert setjoin.trees_of(12, setjoin.Params(trees=1)) >= setjoin.trees_of(40, setjoin.Params(trees=1))
+
+
+def test_long_sets_of_frequent_tags(spark):
+    rows = skewed(8, [9, 11, 13, 16], tags=45, records=250)
+    want = brute_pairs(rows)
+    for p in (setjoin.Params(), setjoin.Params(limit=8, whole=16, rounds=2)):
+        got = {tuple(r) for r in setjoin.similar_pairs([nested(spark, rows)], p).collect()}
+        assert got <= want and len(got) >= p.recall * len(want)
+
+
 def test_classes(spark):
     rows = store(4, groups=5, copies=30)
     got = {r.id: r for r in setjoin.similarity_classes([nested(spark, rows)]).collect()}
