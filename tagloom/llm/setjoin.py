@@ -13,8 +13,9 @@ down as many trees as the worst pair of its size needs to meet with probability
 
 Small nodes are compared in full, larger ones block by block; a tree's node that is larger
 than ``whole`` is split again, as often as ``recall`` asks for, and what is still so large
-after ``rounds`` is compared block by block too, so nothing is capped or dropped. Every
-candidate is verified on the whole sets.
+after ``rounds`` is compared block by block too, so no node is capped. Candidates
+whose sketches differ in more bits than all but ``missed`` of the similar pairs' are dropped,
+every other one is verified on the whole sets.
 
 Only (node, record, size, sketch) is shuffled, never the sets, and a record is named there
 by a hash of its id: two ids of one hash only make a candidate more. Equal sets are folded
@@ -67,6 +68,8 @@ class Params:
     recall: float = 0.99
     #: Most records of a tree's node that is compared without splitting it again.
     whole: int = 4_096
+    #: Probability that a similar pair is dropped for its sketches, at most.
+    missed: float = 1e-5
     #: Most subsets of one size that a record is put under.
     subsets: int = 64
     #: Most rows of a side that is broadcast; beyond, the join shuffles.
@@ -91,9 +94,18 @@ def sketches(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Bits that may differ between sketches of a similar pair: at similarity 3/4 each differs
-#: with probability 1/8, so more than 21 of 64 happens to fewer than one pair in 10,000.
-SKETCH_BITS = 21
+@cache
+def sketch_bits(p: Params) -> int:
+    """Bits that may differ between sketches of a similar pair: each differs with probability
+    (1 - num / den) / 2, and more of 64 than these with ``missed`` at most."""
+    q = (1 - p.num / p.den) / 2
+    tail, bits = 0.0, 64
+    while bits and (tail := tail + comb(64, bits) * q**bits * (1 - q) ** (64 - bits)) <= p.missed:
+        bits -= 1
+    return bits
+
+
+SKETCH_BITS = sketch_bits(Params())
 
 
 def longest(overlap: int, p: Params) -> int:
@@ -196,7 +208,7 @@ def pairs_in_runs(node: np.ndarray, n: np.ndarray, sketch: np.ndarray, p: Params
         i = i[node[i] == node[i + step]]
         j = i + step
         small, large = np.minimum(n[i], n[j]).astype(np.int64), np.maximum(n[i], n[j]).astype(np.int64)
-        ok = (small * p.den >= large * p.num) & (np.bitwise_count(sketch[i] ^ sketch[j]) <= SKETCH_BITS)
+        ok = (small * p.den >= large * p.num) & (np.bitwise_count(sketch[i] ^ sketch[j]) <= sketch_bits(p))
         yield i[ok], j[ok]
         step += 1
 

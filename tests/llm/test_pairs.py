@@ -145,6 +145,17 @@ def test_sketches_estimate():
     assert np.bitwise_count(s[0] ^ s[1]) <= setjoin.SKETCH_BITS
 
 
+@pytest.mark.parametrize("num,den", [(3, 4), (1, 2), (9, 10)])
+def test_sketches_keep_similar_pairs(num, den):
+    p = setjoin.Params(num=num, den=den)
+    differ = np.random.default_rng(6).binomial(64, (1 - num / den) / 2, 200_000)
+    assert (differ > setjoin.sketch_bits(p)).mean() <= 5 * p.missed
+    here = np.zeros(2, np.uint64)
+    here[1] = 2 ** setjoin.sketch_bits(p) - 1
+    met = [len(i) for i, _ in setjoin.pairs_in_runs(np.zeros(2), np.array([9, 9]), here, p)]
+    assert sum(met) == 1
+
+
 # 3: keys that occur together
 
 
