@@ -5,9 +5,9 @@ folded to one per (namespace, key, member) before anything moves. The folded row
 in the order of (grain, name, kind, member) across partitions, so a large key lies in many
 adjacent partitions. Each partition counts its keys and cuts every key's stretch into
 chunks of at most ``chunk`` rows; a chunk is a small state: rows, distinct members, first
-and last member. Prefix sums of the counts number the rows, and neighbouring states merge:
-a member that ends one chunk and begins the next was counted twice. No task meets a whole
-large key.
+and last member. Chunks end where a partition does, so they aren't of equal size; the number
+of their first row (``offset``) is for inspection only. Neighbouring states merge: a member
+that ends one chunk and begins the next was counted twice. No task meets a whole large key.
 """
 
 from __future__ import annotations
