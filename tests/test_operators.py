@@ -43,8 +43,25 @@ def test_key_profile(spark, chunk):
     rows += rows[:50]
     df = spark.createDataFrame(rows, WRITES).repartition(5)
     assert rows_of(hot_keys.key_profile(df, chunk)) == brute_profile(rows)
-    states = hot_keys.chunk_states(df, chunk).collect()
-    assert max(s.folded for s in states) <= chunk
+    line = hot_keys.lined_up(df).collect()
+    assert sorted(r["at"] for r in line) == list(range(len(line)))
+    ordered = [(r.line, r.name, r.kind, (r.member is not None, r.member or ""), (r.ns is not None, r.ns or "")) for r in sorted(line, key=lambda r: r["at"])]
+    assert ordered == sorted(ordered)
+    # Chunks are cut at equal offsets, and at names.
+    states = [s["at"] for s in hot_keys.chunk_states(df, chunk).filter("grain != 'attr'").collect()]
+    assert set(range(0, len(line), chunk)) <= set(states) and len(states) == len(set(states))
+
+
+def test_names_that_look_alike(spark):
+    rows = [(k, 0, f"i{k % 7}", *rng, "v") for k, rng in enumerate([(None, "a:b:c"), ("a", "b:c"), ("a:b", "c"), ("-", "c"), (None, "c")] * 20)]
+    assert rows_of(hot_keys.key_profile(spark.createDataFrame(rows, WRITES), 3)) == brute_profile(rows)
+
+
+def test_a_hot_name_comes_through_numbers_and_merge(spark):
+    """Nothing of the method is pruned from the query that asks for counts only."""
+    df = spark.createDataFrame([(k, 0, f"i{k}", "n", "k", str(k % 3)) for k in range(50)], WRITES)
+    plan = hot_keys.hot_keys(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Window" in plan and "offset" in plan and "members" in plan and "first" in plan
 
 
 def test_key_profile_edges(spark):
