@@ -2,26 +2,48 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.checkpoints import saved
-from tagloom.config import ARITY_NS, HIDE_NS, ROOT_NS, TYPE_NS
+from tagloom.checkpoints import folder, saved
+from tagloom.config import ROOT_NS, HideConfig, arity_ns, hide_ns, type_ns
 from tagloom.functions.comparators import SEMVER, VERSION
+from tagloom.functions.predicates import atom_matches, hidden
+from tagloom.model import QueryError, Tag
 from tagloom.operators import hot_keys, reject, wide
 from tagloom.operators.collapse import live_tags
 from tagloom.sources import lines as line_source
-from tagloom.sources.layout import to_long, to_nested
+from tagloom.parse import compile_infix, compile_postfix, parse_atom
+from tagloom.sources.layout import read_long, to_long, to_nested, write_long
 from tagloom.sources.tables import TagColumns, TagOf, number_tag
-from tagloom.store import TagStore
+from tagloom.store import TagStore, settings_root
+
+HIDE, ARITY, TYPE = hide_ns(), arity_ns(), type_ns()
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+_roots: dict[str, str] = {}
+
+
+def root_of(spark: SparkSession, d: str) -> str:
+    """The root of the settings that the tables of a directory hold."""
+    if d not in _roots:
+        _roots[d] = settings_root(table(spark, d, "tags"))
+    return _roots[d]
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A place in the shared folder for files that a query writes and reads again."""
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def order_items(spark: SparkSession, d: str) -> TagColumns:
     return TagColumns(
         table(spark, d, "orders"),
@@ -68,11 +90,14 @@ def document_items(spark: SparkSession, d: str) -> TagColumns:
 
 
 def part_items(spark: SparkSession, d: str) -> TagColumns:
-    version = F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 20).cast("string"))
+    number = lambda n: (F.col("p_partkey") % n).cast("string")
+    version = F.concat_ws(".", F.col("p_size").cast("string"), number(20))
+    # Pre-releases of one version: numbered ones, named ones, and named ones with a number.
+    stage = F.element_at(F.array(number(12), F.lit("beta"), F.concat(F.lit("beta."), number(12)), F.lit("alpha-1")), (F.col("p_partkey") % 4 + 1).cast("int"))
     return TagColumns(
         table(spark, d, "part"),
         F.concat(F.lit("p"), F.col("p_partkey").cast("string")),
-        [TagOf("brand", F.col("p_brand")), TagOf("size", F.col("p_size").cast("string")), TagOf("ver", version)],
+        [TagOf("brand", F.col("p_brand")), TagOf("size", F.col("p_size").cast("string")), TagOf("ver", version), TagOf("release", F.concat(F.lit("1.0.0-"), stage))],
         one_row=True,
     )
 
@@ -87,27 +112,37 @@ def customer_items(spark: SparkSession, d: str) -> TagColumns:
     )
 
 
-def with_settings(store: str, query: str, *settings: tuple[str, str, str], at: float | None = None) -> Callable[[SparkSession, str], DataFrame]:
+def by_tail(a: str, b: str) -> int | None:
+    """Compares what follows the last dot, as a number; a text without one isn't comparable."""
+    x, y = a.rpartition(".")[2], b.rpartition(".")[2]
+    return None if "." not in a or not (x.isdecimal() and y.isdecimal()) else (int(x) > int(y)) - (int(x) < int(y))
+
+
+def with_settings(store: str, query: str, *settings: tuple[str, str, str]) -> Callable[[SparkSession, str], DataFrame]:
     """A query over a store with added setting tags (namespace, target, value)."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         extra = spark.createDataFrame([("settings", *x) for x in settings], "id string, ns string, key string, value string")
         made = TagStore.from_tags(store_of(store)(spark, d).tags.unionByName(extra))
         made.register_type("version", VERSION)
+        made.register_type("semver", SEMVER)
+        made.register_type("tail", by_tail)
         return made.query(query)
 
     return run
 
 
 def event_writes(spark: SparkSession, d: str, scalar: str | None, since: int) -> DataFrame:
-    """Events as a write log by event_id, with a key declared scalar at a given time."""
+    """Events as a write log by event_id, with a key declared scalar at a given time. Items are
+    a user's events among a thousand."""
+    item = F.concat_ws("-", F.concat(F.lit("u"), F.col("user_id").cast("string")), F.floor(F.col("event_id") / 1000).cast("string"))
     rows = table(spark, d, "events").select(
-        (F.col("event_id") * 2).alias("seq"), F.lit(0).alias("pos"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("id"),
+        (F.col("event_id") * 2).alias("seq"), F.lit(0).alias("pos"), item.alias("id"),
         F.lit(None).cast("string").alias("ns"), F.lit("event").alias("key"), F.col("event_type").alias("value"),
     )
     if scalar is None:
         return rows
-    setting = spark.createDataFrame([(since, 0, "settings", ARITY_NS, scalar, "scalar")], "seq bigint, pos int, id string, ns string, key string, value string")
+    setting = spark.createDataFrame([(since, 0, "settings", ARITY, scalar, "scalar")], "seq bigint, pos int, id string, ns string, key string, value string")
     return rows.unionByName(setting)
 
 
@@ -115,6 +150,141 @@ def arity(query: str, scalar: str | None, since: int = -1) -> Callable[[SparkSes
     return lambda s, d: TagStore.from_writes(event_writes(s, d, scalar, since)).query(query)
 
 
+def bucketed(query: str, strategy: str = "auto") -> Callable[[SparkSession, str], DataFrame]:
+    """A query over the live tags in the bucketed layout."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        path = scratch(spark, "long")
+        write_long(table(spark, d, "tags"), path, buckets=16, files_per_bucket=2)
+        store = TagStore.from_tags(read_long(spark, path), table(spark, d, "store_items"), root_of(spark, d))
+        store.register_type("semver", SEMVER)
+        return store.query(query, strategy)
+
+    return run
+
+
+def text_files(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as lines in text files, read back and asked."""
+    path = scratch(spark, "lines")
+    line_source.to_lines(order_items(spark, d).nested()).write.text(path)
+    log = saved(line_source.to_writes(line_source.read_lines(spark, path)))
+    return TagStore.from_writes(log).query("urgent and not status=F")
+
+
+def json_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Nested items as JSON lines, read back and asked."""
+    path = scratch(spark, "json")
+    line_source.write_jsonl(table(spark, d, "items_nested"), path)
+    return TagStore.from_nested(line_source.read_jsonl(spark, path), root_of(spark, d)).query("lang=en or sys:state=idle")
+
+
+def nation_lines(spark: SparkSession, d: str) -> list[str]:
+    """The nations, a table of fixed size, as lines."""
+    rows = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()
+    return [f'n{r["n_nationkey"]} name="{r["n_name"]}" geo:region={r["n_regionkey"]}' + (" even" if r["n_nationkey"] % 2 == 0 else "") for r in rows]
+
+
+def at_hand(spark: SparkSession, d: str) -> DataFrame:
+    """Lines at hand, as from standing input."""
+    writes, items = line_source.lines_of(spark, ["", *nation_lines(spark, d), " \t "])
+    return TagStore.from_writes(writes, items).query("geo:region>=2 and not even")
+
+
+def grown(spark: SparkSession, d: str) -> DataFrame:
+    """A store begun empty, to which items and lines are added one by one."""
+    store = TagStore.empty(spark)
+    for k, line in enumerate(nation_lines(spark, d)):
+        store.add_line(line)
+        store.add_item(f"extra{k}", [Tag(None, "and", str(k % 3)), Tag("x", "not", None)])
+    store.add_item("bare", [])
+    return store.query('"and"=1 or x:not and and=2 or even and geo:region=0')
+
+
+def written_ids(spark: SparkSession, d: str) -> DataFrame:
+    """A result in the id sink, one id a line, read back."""
+    path = scratch(spark, "ids")
+    line_source.write_ids(store_of("parts")(spark, d).query("size>45"), path)
+    return spark.read.text(path).select(F.col("value").alias("id"))
+
+
+def joined_result(spark: SparkSession, d: str) -> DataFrame:
+    ids = TagStore.from_writes(line_source.lines_of(spark, nation_lines(spark, d))[0]).query("geo:region<2")
+    return spark.createDataFrame([(line_source.joined_ids(ids),)], "ids string")
+
+
+#: Query texts, the form they are in, and the postfix they compile to (None: they can't).
+TEXTS: list[tuple[str, str, str | None]] = [
+    ("a b or c", "infix", "a/b/and/c/or"),
+    ("not (a or b) c", "infix", "a/b/or/not/c/and"),
+    ("not not a", "infix", "a/not/not"),
+    ('"and" or x:or', "infix", '"and"/x:or/or'),
+    ("not=1 and or=2", "infix", "not=1/or=2/and"),
+    ('k="a b/c" OR j', "infix", 'k="a b/c"/j/or'),
+    ("a and", "infix", None),
+    ("or a", "infix", None),
+    ("a not", "infix", None),
+    ("(a", "infix", None),
+    ("a)", "infix", None),
+    ("()", "infix", None),
+    ("", "infix", None),
+    ("   ", "infix", None),
+    ('k="open', "infix", None),
+    ("a and b=*x", "infix", None),
+    ("a/b/c", "postfix", "a/b/c"),
+    ("a/not", "postfix", "a/not"),
+    ("a/and", "postfix", None),
+    ("not", "postfix", None),
+    ("a/b/or/or", "postfix", None),
+    ("", "postfix", None),
+    ("a//b", "postfix", None),
+    ("nothing-has-this/and/b=*x", "postfix", None),
+]
+
+
+def compiled_texts(spark: SparkSession, d: str) -> DataFrame:
+    def compiled(text: str, form: str) -> str | None:
+        try:
+            return compile_infix(text) if form == "infix" else compile_postfix(text).postfix
+        except QueryError:
+            return None
+
+    return spark.createDataFrame([(t, f, compiled(t, f)) for t, f, _ in TEXTS], "text string, form string, postfix string")
+
+
+#: Three items with tags of all kinds, and what queries find there (expected results).
+SCENARIO_LINES = [
+    "a urgent lang=en lang=fr range=5 geo:lat=57.64 status=done",
+    "b range=tbd lang=en prio:urgent due=2026-08-01",
+    "c urgent=false score=-3 note",
+]
+SCENARIOS = {
+    "urgent": "a c", "*:urgent": "a b c", "+:urgent": "b", "prio:*": "b", "geo:lat>57": "a", "geo:lat<57": "", "range>=5": "a", "range<tbd": "", "range!=5": "b",
+    "lang=en": "a b", "lang!=en": "a", "not lang=en": "c", "not urgent": "b", "score<0": "c", "score<-3": "", "score<=-3": "c", "due~2026-..-..": "b", "due~2026": "",
+    "note": "c", "note=+": "", "note=*": "c", "urgent=+": "c", "+:+=+": "a", "+": "a b c", "lang=fr or score<0": "a c", "urgent and not status=done": "c",
+    "urgent range=5 status=done": "a", "not (urgent or prio:urgent)": "", "not not urgent": "a c", "*:*=en": "a b", "status=done or not lang": "a c",
+}
+
+
+def scenario_answers(spark: SparkSession) -> DataFrame:
+    """``(query, id)`` of every scenario's answer, the plans taking turns."""
+    writes, items = line_source.lines_of(spark, SCENARIO_LINES)
+    store = TagStore.from_writes(writes, items)
+    answers = [store.query(q, ("fused", "nested", "posting")[k % 3]).select(F.lit(q).alias("query"), "id") for k, q in enumerate(SCENARIOS)]
+    return reduce(DataFrame.unionByName, answers)
+
+
+def atom_alone(spark: SparkSession, d: str) -> DataFrame:
+    """An atom on its own, without any settings, against every item's tags."""
+    atom = parse_atom("*:version~2....")
+    return table(spark, d, "items_nested").filter(atom_matches(atom, F.col("tags"))).select("id")
+
+
+def shown_by(*patterns: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The tags that a visibility made of these patterns shows."""
+    made = HideConfig.from_patterns(patterns)
+    return lambda s, d: table(s, d, "tags").filter(~hidden(made.patterns, F.col("ns"), F.col("key"))).select("id", "ns", "key", "value").distinct()
+
+
 def line_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Orders spelled as lines, read back, and asked."""
     text = line_source.to_lines(order_items(spark, d).nested()).withColumn("seq", F.monotonically_increasing_id())
@@ -137,12 +307,14 @@ def store_of(name: str) -> Callable[[SparkSession, str], TagStore]:
     def make(spark: SparkSession, d: str) -> TagStore:
         if name in tables:
             return TagStore.from_columns(*[t(spark, d) for t in tables[name]])
+        root = root_of(spark, d)
         if name == "nested":
-            store = TagStore.from_nested(table(spark, d, "items_nested"))
-        elif name == "writes":
-            store = TagStore.from_writes(table(spark, d, "writes"), table(spark, d, "store_items"))
+            store = TagStore.from_nested(table(spark, d, "items_nested"), root)
+        elif name in ("writes", "settled"):
+            store = TagStore.from_writes(table(spark, d, "writes"), table(spark, d, "store_items"), root)
+            store = store.settled() if name == "settled" else store
         else:
-            store = TagStore.from_tags(table(spark, d, "tags"), table(spark, d, "store_items"))
+            store = TagStore.from_tags(table(spark, d, "tags"), table(spark, d, "store_items"), root)
         store.register_type("semver", SEMVER)
         return store
 
@@ -152,7 +324,7 @@ def store_of(name: str) -> Callable[[SparkSession, str], TagStore]:
 def ask(store: str, query: str, strategy: str = "auto", postfix: bool = False) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
         s = store_of(store)(spark, d)
-        return (s.query_postfix if postfix else s.query)(query, strategy)
+        return (s.query_postfix if postfix else s.query)(query.replace("{R}", s.root), strategy)
 
     return run
 
@@ -181,7 +353,9 @@ _VIEW = {
     "parts": """
       SELECT 'p' || p_partkey AS id, NULL AS ns, 'brand' AS key, p_brand AS value FROM part UNION ALL
       SELECT 'p' || p_partkey, NULL, 'size', CAST(p_size AS VARCHAR) FROM part UNION ALL
-      SELECT 'p' || p_partkey, NULL, 'ver', p_size || '.' || p_partkey % 20 FROM part""",
+      SELECT 'p' || p_partkey, NULL, 'ver', p_size || '.' || p_partkey % 20 FROM part UNION ALL
+      SELECT 'p' || p_partkey, NULL, 'release', '1.0.0-' || CASE p_partkey % 4 WHEN 0 THEN CAST(p_partkey % 12 AS VARCHAR)
+        WHEN 1 THEN 'beta' WHEN 2 THEN 'beta.' || p_partkey % 12 ELSE 'alpha-1' END FROM part""",
     "customers": """
       SELECT 'c' || c_custkey AS id, NULL AS ns, 'segment' AS key, c_mktsegment AS value FROM customer UNION ALL
       SELECT 'c' || c_custkey, 'geo', 'nation', n_name FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL
@@ -191,7 +365,8 @@ _VIEW = {
 _VIEW["shop"] = _VIEW["orders"] + " UNION ALL " + _VIEW["lines"]
 _NUM = "CASE WHEN regexp_full_match(value, '[-+]?[0-9]+([.][0-9]+)?') THEN TRY_CAST(value AS DOUBLE) END"
 # What the settings in `tags` hide, besides the root namespace.
-_ROOT = f"(coalesce(ns = '{ROOT_NS}', false) OR coalesce(starts_with(ns, '{ROOT_NS}.'), false))"
+_R = "(SELECT regexp_extract(min(ns), '^(.+)[.](hide|arity)$', 1) FROM tags WHERE ns LIKE '%.hide' AND value IN ('true', 'false') OR ns LIKE '%.arity' AND value IN ('scalar', 'set'))"
+_ROOT = f"(coalesce(ns = {_R}, false) OR coalesce(starts_with(ns, {_R} || '.'), false))"
 _X9 = "(coalesce(ns = 'x9', false) OR coalesce(starts_with(ns, 'x9.'), false))"
 _DIGEST = "(coalesce(ns = 'src', false) AND key = 'digest')"
 _SEEN = f"NOT {_ROOT} AND NOT {_X9} AND NOT {_DIGEST}"
@@ -212,6 +387,10 @@ def _has(key: str, value: str | None = None, ns: str | None = None) -> str:
     return _any(f"{place} AND key = '{key}'" + ("" if value is None else f" AND value = '{value}'"))
 
 
+def _quote(text: str | None) -> str:
+    return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
+
+
 _URGENT, _STATUS_F = _has("urgent"), _has("status", "F")
 _DEBT = _any(f"ns = 'acct' AND key = 'bal' AND {_NUM} < 0")
 _DUE_1997 = "ns IS NULL AND key = 'due' AND value LIKE '1997-__-__'"
@@ -229,7 +408,7 @@ _ASKED: dict[str, tuple[str, ...]] = {
     "universe": ("tags", "*:*", _any(_SEEN)),
     "val_any": ("orders", "urgent=*", _any("ns IS NULL AND key = 'urgent'")),
     "val_present": ("tags", "+:+=+", _any(f"ns IS NOT NULL AND value IS NOT NULL AND {_SEEN}")),
-    "val_present_none": ("orders", "urgent=+", _any("ns IS NULL AND key = 'urgent' AND value IS NOT NULL")),
+    "val_present_none": ("orders", "urgent=+ or status=P", _any("ns IS NULL AND (key = 'urgent' AND value IS NOT NULL OR key = 'status' AND value = 'P')")),
     "val_any_gt": ("orders", "urgent>*", _any("ns IS NULL AND key = 'urgent'")),
     "val_empty": ("tags", '*:*=""', _any(f"value = '' AND {_SEEN}")),
     "eq": ("lines", "flag=R", _any("ns IS NULL AND key = 'flag' AND value = 'R'")),
@@ -241,10 +420,10 @@ _ASKED: dict[str, tuple[str, ...]] = {
     "num_negative": ("customers", "acct:bal<0", _any(f"ns = 'acct' AND key = 'bal' AND {_NUM} < 0")),
     "num_dirty": ("tags", "rank>100", _any(f"ns IS NULL AND key = 'rank' AND {_NUM} > 100")),
     "num_quoted": ("tags", '"":rank>"100"', _any(f"ns = '' AND key = 'rank' AND {_NUM} > 100")),
-    "num_uninterpretable": ("orders", "priority>1", "false"),
+    "num_uninterpretable": ("orders", "priority>1 or status=P", _has("status", "P")),
     "anchored": ("orders", "due~1997-..-..", _any(_DUE_1997)),
-    "anchored_len": ("orders", "due~1997", _any("ns IS NULL AND key = 'due' AND value LIKE '1997'")),
-    "anchored_literal": ("tags", '*:*~"...%..."', _any(f"value LIKE '___~%___' ESCAPE '~' AND {_SEEN}")),
+    "anchored_len": ("orders", "due~1997 or status=P", f"{_any('''ns IS NULL AND key = 'due' AND value LIKE '1997' ''')} OR {_has('status', 'P')}"),
+    "anchored_literal": ("customers", '*:*~"......_.."', _any("value LIKE '______~___' ESCAPE '~'")),
     "quoted_value": ("orders", 'priority="4-NOT SPECIFIED"', _any("ns IS NULL AND key = 'priority' AND value = '4-NOT SPECIFIED'")),
     "quoted_hash": ("parts", 'brand="Brand#13"', _any("ns IS NULL AND key = 'brand' AND value = 'Brand#13'")),
     # Boolean algebra.
@@ -267,7 +446,7 @@ _ASKED: dict[str, tuple[str, ...]] = {
     "double_wild_ne": ("shop", "+:*!=F", _any("ns IS NOT NULL AND value <> 'F'")),
     "double_wild_gt": ("shop", "*:*>49", _any(f"{_NUM} > 49")),
     "double_wild_match": ("shop", "*:*~F", _any("value LIKE 'F'")),
-    "multi_valued": ("events", "event=click and event=purchase and not errored", f"{_has('event', 'click')} AND {_has('event', 'purchase')} AND NOT {_has('errored')}"),
+    "multi_valued": ("lines", "flag=R and flag=N and not line:status=X", f"{_has('flag', 'R')} AND {_has('flag', 'N')}"),
     "documents_tags": ("documents", "lang=en and meta:chars>3000 and not source=ocr", f"{_has('lang', 'en')} AND {_any(f'''ns = 'meta' AND key = 'chars' AND {_NUM} > 3000''')} AND NOT {_has('source', 'ocr')}"),
     "gate_8atom": (
         "shop", "(status=F or status=P) and not urgent and *:total>50000 and due~199.-..-.. and (line:qty>=45 or flag=R) and not line:status=X",
@@ -281,16 +460,16 @@ _ASKED: dict[str, tuple[str, ...]] = {
     "fused_complement": ("orders", "not (urgent and status=F)", f"NOT ({_URGENT} AND {_STATUS_F})", "fused"),
     "nested_tags": ("nested", "lang=en and not sys:state=idle", f"{_has('lang', 'en')} AND NOT {_has('state', 'idle', 'sys')} AND {_any(_SEEN)}", "nested"),
     # Visibility. The store's own settings hide x9 with all keys, and src:digest.
-    "hide_default_off": ("tags", f"{ROOT_NS}.hide:*", _any(f"ns = '{ROOT_NS}.hide'")),
-    "hide_ns_wild_finds_none": ("tags", "*:* and not (+:* or *)", "false"),
+    "hide_default_off": ("tags", "{R}.hide:*", _any(f"ns = {_R} || '.hide'")),
+    "hide_ns_wild_finds_none": ("tags", "*:* and not (+:* or *) or topic", _has("topic")),
     "hide_ns_named": ("tags", "x9:*", _any("ns = 'x9'")),
     "hide_key_named": ("tags", "src:digest", _any("ns = 'src' AND key = 'digest'")),
-    "hide_key_wild": ("tags", "*:digest", _any(f"key = 'digest' AND {_SEEN}")),
+    "hide_key_wild": ("tags", "*:digest or lang=fr", f"{_any(f'''key = 'digest' AND {_SEEN}''')} OR {_has('lang', 'fr')}"),
     "hide_key_under_ns": ("tags", "src:*", _any("ns = 'src'")),
-    "hide_other_key": ("tags", "src:path and *:digest", f"{_has('path', ns='src')} AND {_any(f'''key = 'digest' AND {_SEEN}''')}"),
+    "hide_other_key": ("tags", "src:path and not *:digest", f"{_has('path', ns='src')} AND NOT {_any(f'''key = 'digest' AND {_SEEN}''')}"),
     "hide_complement": ("tags", "not topic", f"NOT {_has('topic')} AND {_any(_SEEN)}"),
     "hide_complement_revealed": ("tags", "not x9:none", f"NOT {_has('none', ns='x9')} AND {_any(f'''NOT {_ROOT} AND NOT {_DIGEST}''')}"),
-    "hide_ignored_value": ("tags", "link:ref and not topic", f"{_has('ref', ns='link')} AND NOT {_has('topic')}"),
+    "hide_ignored_value": ("tags", "*:ref", _has("ref", ns="link")),
     # Typed comparison: the store declares rel:version as a semantic version.
     "type_semver_gt": ("tags", "rel:version>2.5.0", _any(f"ns = 'rel' AND key = 'version' AND {_CORE} > [2, 5, 0]")),
     "type_semver_ge": ("tags", "rel:version>=2.5.0", _any(f"ns = 'rel' AND key = 'version' AND ({_CORE} > [2, 5, 0] OR {_CORE} = [2, 5, 0] AND NOT {_PRE})")),
@@ -306,25 +485,53 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "all_ids": lambda s, d: store_of("tags")(s, d).all_ids(),
     "participating": lambda s, d: store_of("tags")(s, d).participating(),
     "hide_display": lambda s, d: store_of("tags")(s, d).displayed(),
-    "hide_ns": with_settings("shop", "*:* and not urgent", (HIDE_NS, "line:*", "true")),
-    "hide_key": with_settings("customers", "*:bal<0", (HIDE_NS, "acct:bal", "true")),
-    "hide_key_revealed": with_settings("customers", "acct:bal<0", (HIDE_NS, "acct:bal", "true")),
-    "hide_cross_ns": with_settings("shop", "*:status=F", (HIDE_NS, "*:status", "true")),
-    "hide_cross_ns_revealed": with_settings("shop", "line:status=F", (HIDE_NS, "*:status", "true")),
-    "hide_null_ns": with_settings("orders", "urgent or *:urgent", (HIDE_NS, "urgent", "true")),
-    "hide_both": with_settings("customers", "acct:none or *:nation=CANADA", (HIDE_NS, "acct:*", "true"), (HIDE_NS, "acct:bal", "true")),
-    "hide_off": with_settings("customers", "*:*", (HIDE_NS, f"{ROOT_NS}:*", "false")),
-    "type_version": with_settings("parts", "ver>24.9", (TYPE_NS, "ver", "version")),
-    "type_version_le": with_settings("parts", "ver<=3.10", (TYPE_NS, "ver", "version")),
-    "type_conflict": with_settings("parts", "ver>24.9", (TYPE_NS, "ver", "version"), (TYPE_NS, "ver", "date")),
-    "type_unregistered": with_settings("parts", "ver>24.9", (TYPE_NS, "ver", "unheard")),
-    "type_undeclared": with_settings("parts", "size>40", (TYPE_NS, "ver", "version")),
+    "hide_ns": with_settings("shop", "*:* and not urgent", (HIDE, "line:*", "true")),
+    "hide_key": with_settings("customers", "*:bal<0 or segment=BUILDING", (HIDE, "acct:bal", "true")),
+    "hide_key_revealed": with_settings("customers", "acct:bal<0", (HIDE, "acct:bal", "true")),
+    "hide_cross_ns": with_settings("shop", "*:status=F or urgent", (HIDE, "*:status", "true")),
+    "hide_cross_ns_revealed": with_settings("shop", "line:status=F", (HIDE, "*:status", "true")),
+    "hide_null_ns": with_settings("orders", "urgent or *:urgent", (HIDE, "urgent", "true")),
+    "hide_both": with_settings("customers", "acct:none or *:bal>0 or *:nation=NATION_7", (HIDE, "acct:*", "true"), (HIDE, "acct:bal", "true")),
+    "hide_off": with_settings("customers", "*:*", (HIDE, f"{ROOT_NS}:*", "false")),
+    "type_version": with_settings("parts", "ver>24.9", (TYPE, "ver", "version")),
+    "type_version_le": with_settings("parts", "ver<=3.10", (TYPE, "ver", "version")),
+    "type_conflict": with_settings("parts", "ver>24.9", (TYPE, "ver", "version"), (TYPE, "ver", "date")),
+    "type_unregistered": with_settings("parts", "ver>24.9", (TYPE, "ver", "unheard")),
+    "type_undeclared": with_settings("parts", "size>40", (TYPE, "ver", "version")),
+    "type_prerelease_number": with_settings("parts", "release>1.0.0-8", (TYPE, "release", "semver")),
+    "type_prerelease_name": with_settings("parts", "release<1.0.0-beta.10", (TYPE, "release", "semver")),
+    "type_prerelease_length": with_settings("parts", "release>1.0.0-beta", (TYPE, "release", "semver")),
+    "type_python": with_settings("parts", "ver>0.9", (TYPE, "ver", "tail")),
+    "type_python_le": with_settings("parts", "ver<=0.4 and not ver<=0.2", (TYPE, "ver", "tail")),
     "arity_set": arity("event=click", None),
     "arity_scalar": arity("event=click", "event"),
     "arity_late": arity("event=click and event=view", "event", 9_001),
     "arity_sibling": arity("event=click", "other"),
-    "collapse": lambda s, d: live_tags(table(s, d, "writes")),
+    "collapse": lambda s, d: live_tags(table(s, d, "writes"), root_of(s, d)),
     "writes_query": ask("writes", "sys:state=idle and not owner"),
+    "writes_or": ask("writes", "sys:state=idle or owner or *:rank>500"),
+    "writes_complement": ask("writes", "not (topic or sys:state=idle)"),
+    "settled_query": ask("settled", "sys:state=idle and not owner"),
+    "bucketed_key": bucketed("owner"),
+    "bucketed_point": bucketed("sys:state=idle"),
+    "bucketed_range": bucketed("rank>300"),
+    "bucketed_typed": bucketed("rel:version>=2.5.0"),
+    "bucketed_and_not": bucketed("lang=en and not sys:state=idle"),
+    "bucketed_or": bucketed("owner or sys:state=idle and rank<100"),
+    "bucketed_complement": bucketed("not (owner or sys:state=idle)"),
+    "bucketed_posting": bucketed("lang=en and not sys:state=idle", "posting"),
+    "bucketed_wild": bucketed("*:rank>300 and lang"),
+    "text_files": text_files,
+    "json_lines": json_lines,
+    "lines_at_hand": at_hand,
+    "grown_store": grown,
+    "id_sink": written_ids,
+    "joined_result": joined_result,
+    "compiled_texts": compiled_texts,
+    "atom_alone": atom_alone,
+    "hide_patterns": shown_by("x9:*", "*:rank", "lang"),
+    "hide_no_patterns": shown_by(),
+    "found_by_scenarios": lambda s, d: scenario_answers(s),
     "to_nested": lambda s, d: to_nested(table(s, d, "tags"), table(s, d, "store_items")).select("id", F.size("tags").alias("n_tags")),
     "to_long": lambda s, d: to_long(table(s, d, "items_nested")),
     "line_round_trip": line_round_trip,
@@ -384,12 +591,13 @@ def _wide_sql() -> str:
 
 
 _ONLY = "SELECT id FROM v GROUP BY id HAVING"
-_EVENT_LAST = """WITH ranked AS (
-  SELECT 'u' || user_id AS id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events)"""
+_EVENT_ITEM = "'u' || user_id || '-' || event_id // 1000"
+_EVENT_LAST = f"""WITH ranked AS (
+  SELECT {_EVENT_ITEM} AS id, event_type, row_number() OVER (PARTITION BY user_id, event_id // 1000 ORDER BY event_id DESC) AS k FROM events)"""
 _LIVE = f"""WITH t AS (
   SELECT CASE WHEN contains(key, ':') THEN split_part(key, ':', 1) END AS ns,
          CASE WHEN contains(key, ':') THEN substr(key, instr(key, ':') + 1) ELSE key END AS key, min(seq) AS since
-  FROM writes WHERE ns = '{ARITY_NS}' AND value = 'scalar' GROUP BY 1, 2),
+  FROM writes WHERE ns = {_R} || '.arity' AND value = 'scalar' GROUP BY 1, 2),
 w AS (
   SELECT w.*, coalesce(w.seq > t.since, false) AS governed
   FROM writes w LEFT JOIN t ON w.key = t.key AND w.ns IS NOT DISTINCT FROM t.ns),
@@ -398,6 +606,9 @@ r AS (
          bool_or(governed) OVER (PARTITION BY id, ns, key) AS ruled FROM w),
 v AS (SELECT DISTINCT id, ns, key, value FROM r WHERE CASE WHEN ruled THEN governed AND k = 1 ELSE true END)
 """
+_STAGE = "TRY_CAST(regexp_extract(value, '([0-9]+)$', 1) AS INT)"
+_NUMBERED = "regexp_full_match(value, '1[.]0[.]0-[0-9]+')"
+_TAIL = "TRY_CAST(split_part(value, '.', 2) AS INT)"
 _VERSION = "list_transform(string_split(value, '.'), lambda x: TRY_CAST(x AS BIGINT))"
 
 # Raw lines and records in SQL. DuckDB's patterns know no lookahead, so the lone + is
@@ -468,25 +679,54 @@ SELECT 'export', row_no, CAST(c2 AS INT), c3, c4, c5, c6 FROM weighed WHERE grad
     "participating": _ids("tags", _any(_SEEN)),
     "hide_display": f"SELECT DISTINCT id, ns, key, value FROM tags WHERE {_SEEN}",
     "hide_ns": _ids("shop", f"{_any("ns IS DISTINCT FROM 'line'")} AND NOT {_URGENT}"),
-    "hide_key": _ids("customers", "false"),
+    "hide_key": _ids("customers", _has("segment", "BUILDING")),
     "hide_key_revealed": _ids("customers", _DEBT),
-    "hide_cross_ns": _ids("shop", "false"),
+    "hide_cross_ns": _ids("shop", _URGENT),
     "hide_cross_ns_revealed": _ids("shop", _has("status", "F", "line")),
     "hide_null_ns": _ids("orders", _URGENT),
-    "hide_both": _ids("customers", _any("key = 'nation' AND value = 'CANADA'")),
+    "hide_both": _ids("customers", _any("key = 'nation' AND value = 'NATION_7'")),
     "hide_off": f"WITH v AS ({_VIEW['customers']}) SELECT id FROM v UNION SELECT 'settings'",
     "type_version": _ids("parts", _any(f"key = 'ver' AND {_VERSION} > [24, 9]")),
     "type_version_le": _ids("parts", _any(f"key = 'ver' AND {_VERSION} <= [3, 10]")),
     "type_conflict": _ids("parts", _any(f"key = 'ver' AND {_NUM} > 24.9")),
     "type_unregistered": _ids("parts", _any(f"key = 'ver' AND {_NUM} > 24.9")),
     "type_undeclared": _ids("parts", _any(f"key = 'size' AND {_NUM} > 40")),
-    "arity_set": "SELECT DISTINCT 'u' || user_id AS id FROM events WHERE event_type = 'click'",
+    "type_prerelease_number": _ids("parts", _any(f"key = 'release' AND (NOT {_NUMBERED} OR {_STAGE} > 8)")),
+    "type_prerelease_name": _ids("parts", _any(f"key = 'release' AND (value NOT LIKE '%-beta._%' OR {_STAGE} < 10)")),
+    "type_prerelease_length": _ids("parts", _any("key = 'release' AND value LIKE '%-beta._%'")),
+    "type_python": _ids("parts", _any(f"key = 'ver' AND {_TAIL} > 9")),
+    "type_python_le": _ids("parts", _any(f"key = 'ver' AND {_TAIL} <= 4") + " AND NOT " + _any(f"key = 'ver' AND {_TAIL} <= 2")),
+    "arity_set": f"SELECT DISTINCT {_EVENT_ITEM} AS id FROM events WHERE event_type = 'click'",
     "arity_scalar": f"{_EVENT_LAST} SELECT id FROM ranked WHERE k = 1 AND event_type = 'click'",
-    "arity_late": """SELECT 'u' || user_id AS id FROM events GROUP BY user_id
+    "arity_late": f"""SELECT {_EVENT_ITEM} AS id FROM events GROUP BY user_id, event_id // 1000
 HAVING max(event_id * 2) <= 9001 AND bool_or(event_type = 'click') AND bool_or(event_type = 'view')""",
-    "arity_sibling": "SELECT DISTINCT 'u' || user_id AS id FROM events WHERE event_type = 'click'",
+    "arity_sibling": f"SELECT DISTINCT {_EVENT_ITEM} AS id FROM events WHERE event_type = 'click'",
     "collapse": f"{_LIVE} SELECT id, ns, key, value FROM v",
     "writes_query": f"{_LIVE} {_ONLY} {_has('state', 'idle', 'sys')} AND NOT {_has('owner')}",
+    "writes_or": f"{_LIVE} {_ONLY} {_has('state', 'idle', 'sys')} OR {_has('owner')} OR {_any(f'''key = 'rank' AND {_NUM} > 500 AND {_SEEN}''')}",
+    "writes_complement": f"{_LIVE} {_ONLY} NOT ({_has('topic')} OR {_has('state', 'idle', 'sys')}) AND {_any(_SEEN)}",
+    "settled_query": f"{_LIVE} {_ONLY} {_has('state', 'idle', 'sys')} AND NOT {_has('owner')}",
+    "bucketed_key": _ids("tags", _has("owner")),
+    "bucketed_point": _ids("tags", _has("state", "idle", "sys")),
+    "bucketed_range": _ids("tags", _any(f"ns IS NULL AND key = 'rank' AND {_NUM} > 300")),
+    "bucketed_typed": _ids("tags", _ASKED["type_semver_ge"][2]),
+    "bucketed_and_not": _ids("tags", f"{_has('lang', 'en')} AND NOT {_has('state', 'idle', 'sys')}"),
+    "bucketed_or": _ids("tags", f"{_has('owner')} OR {_has('state', 'idle', 'sys')} AND {_any(f'''ns IS NULL AND key = 'rank' AND {_NUM} < 100''')}"),
+    "bucketed_complement": _ids("tags", f"NOT ({_has('owner')} OR {_has('state', 'idle', 'sys')}) AND {_any(_SEEN)}"),
+    "bucketed_posting": _ids("tags", f"{_has('lang', 'en')} AND NOT {_has('state', 'idle', 'sys')}"),
+    "bucketed_wild": _ids("tags", f"{_any(f'''key = 'rank' AND {_NUM} > 300 AND {_SEEN}''')} AND {_has('lang')}"),
+    "text_files": _ids("orders", f"{_URGENT} AND NOT {_STATUS_F}"),
+    "json_lines": _ids("tags", f"{_has('lang', 'en')} OR {_has('state', 'idle', 'sys')}"),
+    "lines_at_hand": "SELECT 'n' || n_nationkey AS id FROM nation WHERE n_regionkey >= 2 AND n_nationkey % 2 = 1",
+    "grown_store": """SELECT 'extra' || n_nationkey AS id FROM nation WHERE n_nationkey % 3 IN (1, 2)
+UNION ALL SELECT 'n' || n_nationkey FROM nation WHERE n_nationkey % 2 = 0 AND n_regionkey = 0""",
+    "id_sink": _ids("parts", _any(f"key = 'size' AND {_NUM} > 45")),
+    "joined_result": "SELECT string_agg('n' || n_nationkey, chr(10) ORDER BY 'n' || n_nationkey) AS ids FROM nation WHERE n_regionkey < 2",
+    "compiled_texts": "SELECT * FROM (VALUES " + ", ".join(f"({_quote(t)}, {_quote(f)}, {_quote(p)})" for t, f, p in TEXTS) + ") AS t(text, form, postfix)",
+    "atom_alone": "SELECT id FROM items_nested WHERE len(list_filter(tags, lambda t: t.key = 'version' AND t.value LIKE '2____')) > 0",
+    "hide_patterns": f"SELECT DISTINCT id, ns, key, value FROM tags WHERE NOT {_X9} AND key <> 'rank' AND NOT (ns IS NULL AND key = 'lang')",
+    "hide_no_patterns": "SELECT DISTINCT id, ns, key, value FROM tags",
+    "found_by_scenarios": "SELECT * FROM (VALUES " + ", ".join(f"({_quote(q)}, {_quote(i)})" for q, ids in SCENARIOS.items() for i in ids.split()) + ") AS t(query, id)",
     "to_nested": "SELECT i.id, count(DISTINCT (t.ns, t.key, t.value)) FILTER (t.id IS NOT NULL) AS n_tags FROM (SELECT DISTINCT id FROM store_items) i LEFT JOIN tags t USING (id) GROUP BY i.id",
     "to_long": "SELECT DISTINCT id, t.ns AS ns, t.key AS key, t.value AS value FROM items_nested, unnest(tags) AS u(t)",
     "line_round_trip": _ids("orders", f"{_has('priority', '4-NOT SPECIFIED')} AND NOT {_STATUS_F}"),

@@ -1,8 +1,8 @@
 """Settings kept as tags in the store itself: visibility, arity, value types.
 
-All three are read from three reserved namespaces; a setting's target stands in the
-key of its tag, as ``ns:key`` split at the first colon, or ``key`` alone for the null
-namespace.
+All three are read from three reserved namespaces below one root, whose name is the store's
+choice; a setting's target stands in the key of its tag, as ``ns:key`` split at the first
+colon, or ``key`` alone for the null namespace.
 """
 
 from __future__ import annotations
@@ -13,9 +13,21 @@ from dataclasses import dataclass, field
 
 from tagloom.model import Atom, Tag, Wild
 
-#: Name of the reserved namespace (fixed value).
-ROOT_NS = "tagma"
-HIDE_NS, ARITY_NS, TYPE_NS = f"{ROOT_NS}.hide", f"{ROOT_NS}.arity", f"{ROOT_NS}.type"
+#: Root of the reserved namespaces, unless a store names another.
+ROOT_NS = "settings"
+
+
+def hide_ns(root: str = ROOT_NS) -> str:
+    return f"{root}.hide"
+
+
+def arity_ns(root: str = ROOT_NS) -> str:
+    return f"{root}.arity"
+
+
+def type_ns(root: str = ROOT_NS) -> str:
+    return f"{root}.type"
+
 
 Target = tuple[str | None, str]
 
@@ -60,10 +72,6 @@ class HidePattern:
         return ns is None if self.ns is None else ns is not None and under(ns, self.ns)
 
 
-#: In force unless a setting says ``false`` for the same target.
-DEFAULT_HIDDEN = f"{ROOT_NS}:*"
-
-
 def reference_of(atom: Atom) -> tuple[str | None, str | Wild] | None:
     """What an atom names; a quantified namespace names nothing."""
     if isinstance(atom.ns, Wild):
@@ -78,8 +86,8 @@ class HideConfig:
     patterns: tuple[HidePattern, ...]
 
     @classmethod
-    def default(cls) -> HideConfig:
-        return cls.from_tags(())
+    def default(cls, root: str = ROOT_NS) -> HideConfig:
+        return cls.from_tags((), root)
 
     @classmethod
     def from_patterns(cls, patterns: Iterable[str | HidePattern]) -> HideConfig:
@@ -88,15 +96,16 @@ class HideConfig:
         return cls(tuple(dict.fromkeys(made)))
 
     @classmethod
-    def from_tags(cls, tags: Iterable[Tag]) -> HideConfig:
-        """Per target ``true`` beats ``false``; other values configure nothing."""
+    def from_tags(cls, tags: Iterable[Tag], root: str = ROOT_NS) -> HideConfig:
+        """Per target ``true`` beats ``false``; other values configure nothing. The root
+        itself is hidden unless a setting says ``false`` for it."""
         says: dict[str, set[str]] = defaultdict(set)
         for t in tags:
-            if t.ns == HIDE_NS and t.value in ("true", "false"):
+            if t.ns == hide_ns(root) and t.value in ("true", "false"):
                 says[t.key].add(t.value)
         on = [k for k, v in says.items() if "true" in v]
-        if DEFAULT_HIDDEN not in says:
-            on.append(DEFAULT_HIDDEN)
+        if f"{root}:*" not in says:
+            on.append(f"{root}:*")
         return cls.from_patterns(sorted(on))
 
     def tag_hidden(self, tag: Tag) -> bool:
@@ -116,11 +125,11 @@ class StoreConfig:
     types: dict[Target, str] = field(default_factory=dict)
 
     @classmethod
-    def from_tags(cls, tags: Iterable[Tag]) -> StoreConfig:
+    def from_tags(cls, tags: Iterable[Tag], root: str = ROOT_NS) -> StoreConfig:
         """A target with two different type names has none."""
         tags = list(tags)
         names: dict[Target, set[str]] = defaultdict(set)
         for t in tags:
-            if t.ns == TYPE_NS and t.value is not None:
+            if t.ns == type_ns(root) and t.value is not None:
                 names[split_target(t.key)].add(t.value)
-        return cls(HideConfig.from_tags(tags), {k: next(iter(v)) for k, v in names.items() if len(v) == 1})
+        return cls(HideConfig.from_tags(tags, root), {k: next(iter(v)) for k, v in names.items() if len(v) == 1})

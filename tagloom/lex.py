@@ -36,6 +36,14 @@ _SEGMENT = re.compile(f'(?:{QUOTED}|[^"/]++)*+')
 _INFIX = re.compile(f'[()]|(?:{QUOTED}|[^"(){WHITE_SPACE}]++)++')
 
 
+_BARE = re.compile(BARE)
+
+
+def is_token(text: str) -> bool:
+    """Whether a text is a bare token as it stands, so that it needs no quotes."""
+    return text != "+" and _BARE.fullmatch(text) is not None
+
+
 def decode(token: str) -> str:
     """The value a token stands for: quotes stripped and undoubled."""
     return token[1:-1].replace('""', '"') if token.startswith('"') else token

@@ -8,45 +8,55 @@ state; otherwise all values written are.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.config import ARITY_NS, split_target
+from tagloom.config import ROOT_NS, arity_ns
 
-#: Most scalar targets of a store. More is refused, as the list goes to every executor.
+#: Scalar targets up to which their list goes to every executor; more are joined by a shuffle.
 MAX_TARGETS = 100_000
 
 
-def scalar_targets(writes: DataFrame) -> list[tuple[str | None, str, int]]:
-    """(ns, key, seq of the first scalar declaration); a later ``set`` doesn't undo it."""
-    rows = (
-        writes.filter((F.col("ns") == ARITY_NS) & (F.col("value") == "scalar"))
-        .groupBy("key").agg(F.min("seq").alias("seq")).limit(MAX_TARGETS + 1).collect()
-    )
-    if len(rows) > MAX_TARGETS:
-        raise ValueError(f"more than {MAX_TARGETS} scalar targets")
-    return [(*split_target(r["key"]), r["seq"]) for r in rows if r["seq"] is not None]
+def scalar_targets(writes: DataFrame, root: str = ROOT_NS) -> DataFrame:
+    """``(t_ns, t_key, since)``: the seq of the first scalar declaration of every target; a later
+    ``set`` doesn't undo it."""
+    said = writes.filter((F.col("ns") == arity_ns(root)) & (F.col("value") == "scalar") & F.col("key").isNotNull() & F.col("seq").isNotNull())
+    # A target is split at its first colon.
+    has_ns, colon = F.contains("key", F.lit(":")), F.instr("key", ":")
+    name = F.when(has_ns, F.expr("substring(key, instr(key, ':') + 1)")).otherwise(F.col("key"))
+    ns = F.when(has_ns, F.substring(F.col("key"), F.lit(1), colon - 1))
+    return said.groupBy(ns.alias("t_ns"), name.alias("t_key")).agg(F.min("seq").alias("since"))
 
 
-def _local(spark: SparkSession, targets: Iterable[tuple[str | None, str, int]]) -> DataFrame:
-    return spark.createDataFrame(list(targets), "t_ns string, t_key string, since bigint")
+def small_targets(writes: DataFrame, root: str = ROOT_NS) -> DataFrame | None:
+    """The scalar targets as a side to join: at hand and broadcast up to ``MAX_TARGETS``, else as
+    they are. None if there are none."""
+    targets = scalar_targets(writes, root)
+    rows = targets.limit(MAX_TARGETS + 1).collect()
+    if not rows:
+        return None
+    if len(rows) > MAX_TARGETS:
+        return targets
+    return F.broadcast(writes.sparkSession.createDataFrame(rows, targets.schema))
 
 
-def live_tags(writes: DataFrame) -> DataFrame:
+def live_tags(writes: DataFrame, root: str = ROOT_NS, places: Column | None = None) -> DataFrame:
     """Distinct ``(id, ns, key, value)`` after collapse.
 
     Each step is an aggregate with a map-side half, so neither a hot key nor a hot item
     meets in one task. Rows delivered twice and rows out of order don't matter. Rows
     without id or key are dropped; a write without ``seq`` counts as ungoverned.
+
+    ``places``, a condition on ns and key, keeps those tags only. What a place holds follows
+    from the writes to it alone, so the condition goes before the collapse, to the scans.
     """
     tag = ["id", "ns", "key", "value"]
     rows = writes.select("seq", "pos", *tag).filter(F.col("id").isNotNull() & F.col("key").isNotNull())
-    targets = scalar_targets(rows)
-    if not targets:
+    small = small_targets(rows, root)
+    if places is not None:
+        rows = rows.filter(places)
+    if small is None:
         return rows.select(*tag).distinct()
-    small = F.broadcast(_local(writes.sparkSession, targets))
     marked = rows.join(small, F.col("ns").eqNullSafe(F.col("t_ns")) & (F.col("key") == F.col("t_key")), "left")
     governed = F.coalesce(F.col("seq") > F.col("since"), F.lit(False))
     spot = ["id", "ns", "key"]

@@ -3,7 +3,8 @@
 An item answers a query iff it participates and the boolean expression over "has a tag
 that matches atom i" holds. That gives four plans for the same answer:
 
-``fused``    one scan of the long table, one aggregate with a flag per distinct atom;
+``fused``    one scan of the long table, one aggregate with a flag per distinct atom; of the
+             bucketed layout it reads the buckets that the atoms name;
 ``nested``   higher-order filters over ``items(id, tags[])``, without any shuffle;
 ``posting``  one narrow scan per atom and semi/anti joins, for few selective atoms;
 ``columns``  atoms become predicates on the columns of ordinary tables, so filters and the
@@ -125,7 +126,21 @@ class Plan:
         flags = [sure(c).alias(self._flags[a]) for a, c in conditions.items()]
         return kept.select(id.alias("id"), *flags, *([] if self.positive else [sure(seen).alias("seen")]))
 
+    def places(self) -> Column:
+        """The namespaces and keys on which the answer can depend at all."""
+        ns, key = F.col("ns"), F.col("key")
+        return any_of([*[place_matches(a, ns, key) for a in self.query.atoms], *([] if self.positive else [self.visible(ns, key)])])
+
+    def buckets(self, tags: DataFrame) -> Column | None:
+        """The buckets that can hold a match; None if all have to be read."""
+        exact = all(isinstance(a.ns, str | None) and isinstance(a.key, str) for a in self.query.atoms)
+        if not (clustered(tags) and exact and self.positive):
+            return None
+        return any_of([F.col(BUCKET) == bucket_of(tags, *place) for place in dict.fromkeys((a.ns, a.key) for a in self.query.atoms)])
+
     def fused(self, tags: DataFrame) -> DataFrame:
+        named = self.buckets(tags)
+        tags = tags if named is None else tags.filter(named)
         ns, key, value = F.col("ns"), F.col("key"), F.col("value")
         conditions = {a: self.matches(a, ns, key, value) for a in self.query.atoms}
         if self.positive and len(self.query.program) == 1:

@@ -21,7 +21,7 @@ from tagloom.model import NESTED, TAG_STRUCT
 class TagOf:
     """One tag per row: a fixed ns and key, and a value column (None: valueless).
     The tag is left out where ``when`` isn't true, or where a given value is NULL.
-    ``number`` is the value as a double, if it always is a numeral."""
+    ``number`` is the value as a double, NULL where it is no numeral."""
 
     key: str
     value: Column | None = None
@@ -40,10 +40,11 @@ class TagOf:
 
 
 def number_tag(key: str, column: str, ns: str | None = None, scale: int = 2) -> TagOf:
-    """A number as plain digits: doubles would print an exponent from 1e7 on. One that
-    doesn't fit 18 digits, or is none, gives no tag."""
-    exact = F.col(column).try_cast(f"decimal(18,{scale})")
-    return TagOf(key, exact.cast("string"), ns, number=exact.cast("double"))
+    """A number as plain digits: doubles would print an exponent from 1e7 on. One that fits no
+    38 digits, or is none, is a tag too, with the text it has of itself, and no numeral."""
+    narrow, wide = (F.col(column).try_cast(f"decimal({digits},{scale})") for digits in (18, 38))
+    text = F.coalesce(narrow.cast("string"), wide.cast("string"), F.col(column).cast("string"))
+    return TagOf(key, text, ns, number=F.coalesce(narrow.cast("double"), wide.cast("double")))
 
 
 def _tags(specs: Sequence[TagOf]) -> Column:

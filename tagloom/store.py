@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.config import HIDE_NS, TYPE_NS, HideConfig, StoreConfig
+from tagloom.checkpoints import saved
+from tagloom.config import ROOT_NS, HideConfig, StoreConfig, hide_ns, type_ns
 from tagloom.functions.comparators import Comparator
 from tagloom.functions.predicates import hidden
 from tagloom.model import TAGS, WRITES, Atom, Tag
@@ -22,15 +23,28 @@ from tagloom.sources.tables import TagColumns
 MAX_SETTINGS = 100_000
 
 
+def settings_root(tags: DataFrame) -> str:
+    """The root below which tags keep their settings, as far as they show it: that of the
+    namespaces ``<root>.hide`` and ``<root>.arity`` that hold a setting's value. Without any
+    it is the usual one; several are refused."""
+    shows = [("hide", ("true", "false")), ("arity", ("scalar", "set"))]
+    said = reduce(lambda a, b: a | b, [F.col("ns").endswith(f".{kind}") & F.col("value").isin(*values) for kind, values in shows])
+    rows = tags.filter(said).select(F.regexp_extract("ns", r"\A(.+)[.](?:hide|arity)\z", 1).alias("root")).distinct().limit(2).collect()
+    if len(rows) > 1:
+        raise ValueError(f"settings below several roots: {sorted(r['root'] for r in rows)}")
+    return rows[0]["root"] if rows else ROOT_NS
+
+
 class TagStore:
-    """Items with tags, from a write log, from live tags, or from nested items.
+    """Items with tags, from a write log, from live tags, or from nested items. root names the
+    namespace below which the store's settings are kept.
 
     >>> store = TagStore.from_writes(spark.read.parquet("writes.parquet"))
     >>> store.query("topic=nimel and not sys:state=idle")        # DataFrame(id)
     """
 
-    def __init__(self, spark: SparkSession, *, writes: DataFrame | None = None, tags: DataFrame | None = None, nested: DataFrame | None = None, tables: Sequence[TagColumns] = (), items: DataFrame | None = None) -> None:
-        self.spark = spark
+    def __init__(self, spark: SparkSession, *, writes: DataFrame | None = None, tags: DataFrame | None = None, nested: DataFrame | None = None, tables: Sequence[TagColumns] = (), items: DataFrame | None = None, root: str = ROOT_NS) -> None:
+        self.spark, self.root = spark, root
         self._writes, self._tags, self._nested, self._items = writes, tags, nested, items
         self._tables = tuple(tables)
         self._pending: list[tuple] = []
@@ -40,27 +54,35 @@ class TagStore:
         self._config: StoreConfig | None = None
 
     @classmethod
-    def empty(cls, spark: SparkSession) -> TagStore:
-        return cls(spark, writes=spark.createDataFrame([], WRITES))
+    def empty(cls, spark: SparkSession, root: str = ROOT_NS) -> TagStore:
+        return cls(spark, writes=spark.createDataFrame([], WRITES), root=root)
 
     @classmethod
-    def from_writes(cls, writes: DataFrame, items: DataFrame | None = None) -> TagStore:
+    def from_writes(cls, writes: DataFrame, items: DataFrame | None = None, root: str = ROOT_NS) -> TagStore:
         """An append-only log in the order of (seq, pos); scalar keys are collapsed."""
-        return cls(writes.sparkSession, writes=writes, items=items)
+        return cls(writes.sparkSession, writes=writes, items=items, root=root)
 
     @classmethod
-    def from_tags(cls, tags: DataFrame, items: DataFrame | None = None) -> TagStore:
-        """Live state, nothing left to collapse. Repeated rows don't matter."""
-        return cls(tags.sparkSession, tags=tags, items=items)
+    def from_tags(cls, tags: DataFrame, items: DataFrame | None = None, root: str = ROOT_NS) -> TagStore:
+        """Live state, nothing left to collapse. Repeated rows don't matter. Of tags in the
+        bucketed layout a query reads the buckets it names."""
+        return cls(tags.sparkSession, tags=tags, items=items, root=root)
 
     @classmethod
-    def from_nested(cls, nested: DataFrame) -> TagStore:
-        return cls(nested.sparkSession, nested=nested)
+    def from_nested(cls, nested: DataFrame, root: str = ROOT_NS) -> TagStore:
+        return cls(nested.sparkSession, nested=nested, root=root)
 
     @classmethod
-    def from_columns(cls, *tables: TagColumns) -> TagStore:
+    def from_columns(cls, *tables: TagColumns, root: str = ROOT_NS) -> TagStore:
         """Ordinary tables, one or more, whose columns are tags of items."""
-        return cls(tables[0].rows.sparkSession, tables=tables)
+        return cls(tables[0].rows.sparkSession, tables=tables, root=root)
+
+    def settled(self) -> TagStore:
+        """A store of the live state, worked out now and kept in the shared folder: a log is
+        collapsed once for many queries. Later writes to this store aren't in it."""
+        made = TagStore.from_tags(saved(self.tags.select(*TAGS.fieldNames())), self.all_ids(), self.root)
+        made._config, made._types = self.config, dict(self._types)
+        return made
 
     # Writing: small appends from the driver; bulk loads go through tagloom.sources.
 
@@ -97,7 +119,7 @@ class TagStore:
     def tags(self) -> DataFrame:
         """Live state, one row per item and tag (a nested store: one per stored tag)."""
         if self._writes is not None:
-            return live_tags(self.writes)
+            return live_tags(self.writes, self.root)
         if self._tags is not None:
             return self._tags
         if self._tables:
@@ -123,17 +145,18 @@ class TagStore:
     @property
     def config(self) -> StoreConfig:
         """Settings ever written, also those a later write collapsed."""
-        if self._config is None and not any(s.ns in (HIDE_NS, TYPE_NS) for t in self._tables for s in t.specs) and self._tables:
-            self._config = StoreConfig()  # columns are known, none is a setting
+        reserved = (hide_ns(self.root), type_ns(self.root))
+        if self._config is None and not any(s.ns in reserved for t in self._tables for s in t.specs) and self._tables:
+            self._config = StoreConfig.from_tags((), self.root)  # columns are known, none is a setting
         if self._config is None:
             source = self.writes if self._writes is not None else self.tags
             rows = (
-                source.filter(F.col("ns").isin(HIDE_NS, TYPE_NS) & F.col("value").isNotNull() & F.col("key").isNotNull())
+                source.filter(F.col("ns").isin(*reserved) & F.col("value").isNotNull() & F.col("key").isNotNull())
                 .select("ns", "key", "value").distinct().limit(MAX_SETTINGS + 1).collect()
             )
             if len(rows) > MAX_SETTINGS:
                 raise ValueError(f"more than {MAX_SETTINGS} settings")
-            self._config = StoreConfig.from_tags(Tag(*r) for r in rows)
+            self._config = StoreConfig.from_tags((Tag(*r) for r in rows), self.root)
         return self._config
 
     def hide_config(self) -> HideConfig:
@@ -156,8 +179,12 @@ class TagStore:
             if not self._tables:
                 raise ValueError("this store isn't made of tables")
             ids = plan.columns(self._tables)
+        elif strategy == "nested":
+            ids = plan.nested(self.nested)
         else:
-            ids = plan.nested(self.nested) if strategy == "nested" else getattr(plan, strategy)(self.tags)
+            # Only what a query can depend on is collapsed.
+            tags = self.tags if self._writes is None else live_tags(self.writes, self.root, plan.places())
+            ids = getattr(plan, strategy)(tags)
         ids = ids.filter(F.col("id").isNotNull())
         if strategy == "nested" or strategy == "columns" and self._tables[0].one_row:
             # That an item is one row isn't checked anywhere. Repeats are dropped in the

@@ -1,5 +1,7 @@
+import glob
 import os
 import sys
+from collections import Counter
 
 import pytest
 
@@ -31,3 +33,34 @@ def sf():
     if not os.path.isdir(d):
         pytest.skip("no test tables here")
     return d
+
+
+def _plain(value):
+    if isinstance(value, float):
+        return round(value, 6)
+    if isinstance(value, list | tuple):
+        return tuple(map(_plain, value))
+    return None if value is None else str(value)
+
+
+@pytest.fixture(scope="session")
+def same_rows(spark, sf):
+    """Runs a query, and holds its rows against those of its SQL, if it has one."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for f in glob.glob(f"{sf}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+
+    def check(query, sql: str | None) -> None:
+        df = query(spark, sf)
+        rows = df.collect()
+        if sql is None:
+            return
+        columns = sorted(df.columns)
+        result = con.execute(sql)
+        names = [d[0] for d in result.description]
+        assert sorted(names) == columns
+        at = [names.index(c) for c in columns]
+        assert Counter(tuple(_plain(r[c]) for c in columns) for r in rows) == Counter(tuple(_plain(r[i]) for i in at) for r in result.fetchall())
+
+    return check

@@ -42,6 +42,11 @@ def test_operator_scan():
     assert compile_query('"a>b"!="="').program[0].value == "="
 
 
+def test_bare_tokens():
+    assert all(map(lex.is_token, ["a", "-1", "+1", "2.0.0-rc1", "_", "1.0.0+build.5", "++"]))
+    assert not any(map(lex.is_token, ["", "+", "*", ".a", "a b", "a:b", '"a"', "é", "a\n"]))
+
+
 def test_lines():
     assert parse_line("x　k=1 \tns:b") == ("x", [Tag(None, "k", "1"), Tag("ns", "b", None)])
     assert parse_line("only") == ("only", [])

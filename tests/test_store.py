@@ -4,7 +4,7 @@ import pytest
 from cases import SCENARIOS
 
 from tagloom import HideConfig, Tag, Wild, compile_query
-from tagloom.config import HIDE_NS, ROOT_NS, reference_of
+from tagloom.config import ROOT_NS, hide_ns, reference_of
 from tagloom.functions.comparators import SEMVER, VERSION
 from tagloom.model import NOT, TAGS, WRITES, Atom
 from tagloom.operators.collapse import live_tags
@@ -13,7 +13,7 @@ from tagloom.plans.planner import STRATEGIES
 from tagloom.sources.layout import read_long, to_long, to_nested, write_long
 from tagloom.store import TagStore
 
-
+HIDE_NS = hide_ns()
 ANY_STORE = [s for s in STRATEGIES if s != "columns"]
 
 
