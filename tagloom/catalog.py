@@ -671,7 +671,7 @@ SELECT 'export', row_no, ['quoting', 'columns', 'value'][grade] FROM weighed WHE
     "p5_loaded": f"""WITH {_PARSED}
 SELECT 'lines' AS src, * FROM ({_LOADED})
 UNION ALL
-SELECT 'export', row_no, CAST(c2 AS INT), c3, c4, c5, c6 FROM weighed WHERE grade = 4""",
+SELECT 'export', row_no, CAST(c2 AS BIGINT), c3, c4, c5, c6 FROM weighed WHERE grade = 4""",
     "flagship": _ids("orders", f"{_STATUS_F} AND NOT {_has('priority', '5-LOW')}"),
     **{n: _ids("tags" if a[0] == "nested" else a[0], a[2]) for n, a in _ASKED.items()},
     "matching_ids": _ids("parts", _any(f"key = 'size' AND {_NUM} >= 40")),

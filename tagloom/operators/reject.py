@@ -3,48 +3,54 @@
 Both inputs go through the finite-state tokenizer of :mod:`tagloom.operators.tokenizer`
 batch by batch, where they are read; nothing is shuffled. Output rows are
 
-``(src, row_no, pos, seq, id, ns, key, value, reason, at)``
+``(src, row_no, pos, seq, id, ns, key, value, reason, at, overlong)``
 
 A valid line gives one row per tag, numbered by ``pos`` (one row without key if it has an
 id only); a valid record gives one row. An invalid one gives a single row with ``reason``
-and ``at``, the offset in characters where the fault lies.
+and ``at``, the offset in characters where the fault lies. No row is walked in Python: parts
+are stretches of one text, found and cut out for a whole batch at once.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.lex import decode
 from tagloom.operators import tokenizer as fsm
 
-SCHEMA = "src string, row_no bigint, pos int, seq bigint, id string, ns string, key string, value string, reason string, at int"
+SCHEMA = "src string, row_no bigint, pos bigint, seq bigint, id string, ns string, key string, value string, reason string, at int, overlong string"
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
-_TYPES = [pa.string(), pa.int64(), pa.int32(), pa.int64(), *[pa.string()] * 5, pa.int32()]
+_TYPES = [pa.string(), *[pa.int64()] * 3, *[pa.string()] * 5, pa.int32(), pa.string()]
 #: Reasons, first wins.
 REASONS = ("quoting", "columns", "value")
 _NONE = len(REASONS)
 
 _BARE_NEXT = fsm.char_set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+-.", 128)
-_DIGITS = re.compile("[0-9]+")
 _MAX_BIGINT = 2**63 - 1
 
 
-class _Rows:
-    def __init__(self, src: str) -> None:
-        self.src, self.rows = src, []
+def _rows(size: int, **columns: pa.Array) -> pa.RecordBatch:
+    """Rows of :data:`SCHEMA`; columns not named are NULL."""
+    made = [columns[n].cast(t) if n in columns else pa.nulls(size, t) for n, t in zip(_NAMES, _TYPES, strict=True)]
+    return pa.RecordBatch.from_arrays(made, _NAMES)
 
-    def add(self, row_no, pos=None, seq=None, id=None, ns=None, key=None, value=None, reason=None, at=None) -> None:
-        self.rows.append((self.src, row_no, pos, seq, id, ns, key, value, reason, at))
 
-    def batch(self) -> pa.RecordBatch:
-        columns = zip(*self.rows, strict=True) if self.rows else [[]] * len(_NAMES)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _NAMES)
+def _joined(*batches: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0] if any(b.num_rows for b in batches) else batches[0]
+
+
+def _same(text: str, size: int) -> pa.Array:
+    return pa.array([text]).take(pa.array(np.zeros(size, np.int64)))
+
+
+def _bad(src: str, numbers: pa.Array, which: np.ndarray, reason: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    names = pa.array(REASONS).take(pa.array(reason[which].astype(np.int64)))
+    return _rows(len(which), src=_same(src, len(which)), row_no=numbers.take(pa.array(which)), reason=names, at=pa.array(at[which]))
 
 
 def _within(mask: np.ndarray) -> np.ndarray:
@@ -59,13 +65,13 @@ def _next_at(positions: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return np.minimum(found, end)
 
 
-def parse_lines(numbers: list[int | None], texts: list[str | None]) -> pa.RecordBatch:
+def parse_lines(numbers: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     """Lines ``<id> <tag>…``. Blank and NULL lines are skipped; the id isn't checked. A
     tag's parts are what its unquoted ``=``, and ``:`` before the first ``=``, separate."""
-    joined, chars, lengths = fsm.code_points([t or "" for t in texts])
+    laid = fsm.Texts(texts)
+    chars, lengths, first = laid.chars, laid.lengths, laid.first
     classes = fsm.classify(chars, fsm.WHITE)
     before, ends = fsm.LINE.run(classes, lengths)
-    first = np.cumsum(lengths) - lengths
     quote = chars == ord('"')
     in_field = (before == fsm.QUOTED) | (classes != 2)
     open_text = (before != fsm.QUOTED) & ~quote & in_field  # neither quoted nor a quote
@@ -127,88 +133,110 @@ def parse_lines(numbers: list[int | None], texts: list[str | None]) -> pa.Record
     fault(1, t_line[many], t_start[many])
     fault(2, t_line[p_tag[wrong]], p_start[wrong])
 
-    rows = _Rows("lines")
-    p_from, p_to = p_start.tolist(), p_stop.tolist()
-    first_part = np.searchsorted(p_tag, np.arange(len(t_start))).tolist()
-    with_ns, with_value = (n_colon > 0).tolist(), (n_eq > 0).tolist()
-    f_from, f_to = starts.tolist(), stops.tolist()
-    field = tag_no = 0
-    for i, fields in enumerate(n_fields.tolist()):
-        if not fields:
-            continue
-        tags = fields - 1
-        if reason[i] != _NONE:
-            rows.add(numbers[i], reason=REASONS[reason[i]], at=int(at[i] - first[i]))
+    bad = np.flatnonzero((n_fields > 0) & (reason != _NONE))
+    field = np.cumsum(n_fields) - n_fields  # where a line's fields begin
+    alone = np.flatnonzero((n_fields == 1) & (reason == _NONE))
+    good = np.flatnonzero(reason[t_line] == _NONE)
+    of = t_line[good]
+    k = np.searchsorted(p_tag, good)
+    with_ns, with_value = n_colon[good] > 0, n_eq[good] > 0
+
+    def part(at: np.ndarray, present: np.ndarray | None = None) -> pa.Array:
+        at = np.minimum(at, max(len(p_start) - 1, 0))
+        return laid.tokens(p_start[at], p_stop[at], present)
+
+    def ids(lines: np.ndarray) -> pa.Array:
+        return laid.take(starts[field[lines]], stops[field[lines]])
+
+    number = numbers.take(pa.array(of))
+    tags = _rows(
+        len(good), src=_same("lines", len(good)), row_no=number, seq=number, pos=pa.array(rank[tag][good] - 1), id=ids(of),
+        ns=part(k, with_ns), key=part(k + with_ns), value=part(k + with_ns + 1, with_value),
+    )
+    number = numbers.take(pa.array(alone))
+    return _joined(tags, _rows(len(alone), src=_same("lines", len(alone)), row_no=number, seq=number, id=ids(alone)), _bad("lines", numbers, bad, reason, at - first))
+
+
+def _numbers(texts: pa.Array, name: str) -> tuple[pa.Array, pa.Array]:
+    """Digits as 64-bit numbers, and the text of those that are none."""
+    bare = pc.utf8_ltrim(texts, "0")
+    size = pc.utf8_length(bare).to_numpy(zero_copy_only=False)
+    out = pc.if_else(pa.array(size == 0), "0", pc.if_else(pa.array(size <= 18), bare, pa.scalar(None, pa.large_string()))).cast(pa.int64())
+    rest = [(i, bare[i].as_py()) for i in np.flatnonzero(size > 18).tolist()]  # few: 19 digits or more
+    if not rest:
+        return out, pa.nulls(len(texts), pa.string())
+    values = out.to_pylist()
+    over: list[str | None] = [None] * len(values)
+    for i, text in rest:
+        if len(text) == 19 and int(text) <= _MAX_BIGINT:
+            values[i] = int(text)
         else:
-            id = joined[f_from[field] : f_to[field]]
-            if not tags:
-                rows.add(numbers[i], seq=numbers[i], id=id)
-            for pos in range(tags):
-                k = first_part[tag_no + pos]
-                ns = value = None
-                if with_ns[tag_no + pos]:
-                    ns, k = decode(joined[p_from[k] : p_to[k]]), k + 1
-                key = decode(joined[p_from[k] : p_to[k]])
-                if with_value[tag_no + pos]:
-                    value = decode(joined[p_from[k + 1] : p_to[k + 1]])
-                rows.add(numbers[i], pos, numbers[i], id, ns, key, value)
-        field += fields
-        tag_no += tags
-    return rows.batch()
-
-
-def _blank(text: str) -> bool:
-    return all(ord(c) < len(fsm.WHITE) and fsm.WHITE[ord(c)] for c in text)
-
-
-def parse_records(numbers: list[int | None], texts: list[str | None]) -> pa.RecordBatch:
+            over[i] = f"{name}={text}"
+    return pa.array(values, pa.int64()), pa.array(over, pa.string())
+
+
+def parse_records(numbers: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     """Records ``seq,pos,id,ns,key,value``. An unquoted empty field is absent, ``""`` is
-    empty. A NULL record has one absent field, so its columns are wrong. A ``seq`` above
-    64 bits is valid and loaded as NULL."""
-    joined, chars, lengths = fsm.code_points([t or "" for t in texts])
+    empty. A NULL record has one absent field, so its columns are wrong. A ``seq`` or ``pos``
+    that doesn't fit 64 bits is valid; it is NULL, and stands in ``overlong`` as text."""
+    laid = fsm.Texts(texts)
+    chars, lengths, first = laid.chars, laid.lengths, laid.first
     classes = fsm.classify(chars, fsm.COMMA)
     before, ends = fsm.RECORD.run(classes, lengths)
-    first = np.cumsum(lengths) - lengths
+    stop = first + lengths
     commas = np.flatnonzero((classes == 2) & (before != fsm.INSIDE) & (before != fsm.BROKEN))
-    lo, hi = np.searchsorted(commas, first), np.searchsorted(commas, first + lengths)
-    broken = np.flatnonzero(before == fsm.BROKEN)
-    rows = _Rows("export")
-    all_commas = commas.tolist()
-    for i, (start, length, a, b, end) in enumerate(zip(first.tolist(), lengths.tolist(), lo.tolist(), hi.tolist(), ends.tolist(), strict=True)):
-        stop = start + length
-        if end in (fsm.INSIDE, fsm.BROKEN):
-            k = np.searchsorted(broken, start)
-            spot = int(broken[k]) - 1 if k < len(broken) and broken[k] < stop else stop
-            rows.add(numbers[i], reason="quoting", at=spot - start)
-            continue
-        if b - a != 5:
-            rows.add(numbers[i], reason="columns", at=(all_commas[a + 5] if b - a > 5 else stop) - start)
-            continue
-        edges = [start - 1, *all_commas[a:b], stop]
-        raw = [joined[x + 1 : y] for x, y in zip(edges[:-1], edges[1:], strict=True)]
-        seq, pos, id, ns, key, value = (decode(r) if r else None for r in raw)
-        faults = (
-            not seq or not _DIGITS.fullmatch(seq) or not seq.strip("0"),
-            not pos or not _DIGITS.fullmatch(pos),
-            not id,
-            bool(ns) and _blank(ns),
-            not key or _blank(key),
-            False,
-        )
-        bad = next((k for k, f in enumerate(faults) if f or "�" in raw[k]), None)
-        if bad is not None:
-            rows.add(numbers[i], reason="value", at=edges[bad] + 1 - start)
-            continue
-        number = int(seq) if len(seq.lstrip("0")) <= 19 else _MAX_BIGINT + 1
-        place = int(pos) if len(pos.lstrip("0")) <= 9 else None
-        rows.add(numbers[i], place, number if number <= _MAX_BIGINT else None, id, ns, key, value)
-    return rows.batch()
+    lo, n_commas = np.searchsorted(commas, first), np.searchsorted(commas, stop) - np.searchsorted(commas, first)
+
+    reason = np.full(len(lengths), _NONE)
+    broken = _next_at(np.flatnonzero(before == fsm.BROKEN), first, stop)
+    quoting, columns = (ends == fsm.INSIDE) | (ends == fsm.BROKEN), n_commas != 5
+    reason[columns], reason[quoting] = 1, 0
+    sixth = np.append(commas, 0)[np.minimum(lo + 5, len(commas))]
+    at = np.where(quoting, np.where(broken < stop, broken - 1, stop), np.where(n_commas > 5, sixth, stop))
+
+    # The six fields of the others, with and without quotes around.
+    left = np.flatnonzero(reason == _NONE)
+    inner = np.append(commas, 0)[np.minimum(lo[left, None] + np.arange(5), len(commas))]
+    a = np.column_stack([first[left, None], inner + 1])
+    b = np.column_stack([inner, stop[left, None]])
+    quoted = (b > a) & (np.append(chars, 0)[a] == ord('"'))
+    x, y = a + quoted, np.maximum(b - quoted, a + quoted)
+    digit = (chars >= ord("0")) & (chars <= ord("9"))
+    small = chars < len(fsm.WHITE)
+    white = np.zeros(len(chars), bool)
+    white[small] = fsm.WHITE[chars[small]]
+
+    def some(mask: np.ndarray, k: int) -> np.ndarray:
+        count = _within(mask)
+        return count[y[:, k]] > count[x[:, k]]
+
+    empty = y == x
+    replaced = _within(chars == 0xFFFD)
+    fault = replaced[b] > replaced[a]
+    fault[:, 0] |= empty[:, 0] | some(~digit, 0) | ~some(digit & (chars != ord("0")), 0)
+    fault[:, 1] |= empty[:, 1] | some(~digit, 1)
+    fault[:, 2] |= empty[:, 2]
+    fault[:, 3] |= ~empty[:, 3] & ~some(~white, 3)
+    fault[:, 4] |= empty[:, 4] | ~some(~white, 4)
+    wrong = fault.any(1)
+    reason[left[wrong]] = 2
+    at[left[wrong]] = a[wrong, fault[wrong].argmax(1)]
+    good = left[~wrong]
+    a, b, present = a[~wrong], b[~wrong], (b > a)[~wrong]
+    seq, long_seq = _numbers(laid.tokens(a[:, 0], b[:, 0]), "seq")
+    pos, long_pos = _numbers(laid.tokens(a[:, 1], b[:, 1]), "pos")
+    field = lambda k: laid.tokens(a[:, k], b[:, k], present[:, k])
+    rows = _rows(
+        len(good), src=_same("export", len(good)), row_no=numbers.take(pa.array(good)), pos=pos, seq=seq, id=field(2), ns=field(3), key=field(4), value=field(5),
+        overlong=pc.coalesce(pc.binary_join_element_wise(long_seq, long_pos, " "), long_seq, long_pos),
+    )
+    return _joined(rows, _bad("export", numbers, np.flatnonzero(reason != _NONE), reason, at - first))
 
 
 def _mapped(parse):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield parse(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            yield parse(batch.column(0).cast(pa.int64()), batch.column(1))
 
     return run
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters of a chunk.
 CHUNK = 128
@@ -79,10 +81,35 @@ RECORD = Machine(
 )
 
 
-def code_points(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
-    """The texts laid end to end, their characters as numbers, and their lengths."""
-    joined = "".join(texts)
-    return joined, np.frombuffer(joined.encode("utf-32-le"), np.uint32), np.fromiter(map(len, texts), np.int64, len(texts))
+class Texts:
+    """Texts laid end to end: ``chars`` are their characters as numbers, text i being
+    chars[first[i] : first[i] + lengths[i]]. NULL counts as empty."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        whole = pc.fill_null(texts.cast(pa.large_string()), "")
+        self.lengths = pc.utf8_length(whole).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.first = np.cumsum(self.lengths) - self.lengths
+        _, offsets, data = whole.buffers()
+        edges = np.frombuffer(offsets, np.int64)[whole.offset : whole.offset + len(whole) + 1]
+        self.bytes = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if data is not None and len(whole) else np.zeros(0, np.uint8)
+        self.chars = np.frombuffer(self.bytes.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        width = 1 + (self.chars >= 0x80).astype(np.int64) + (self.chars >= 0x800) + (self.chars >= 0x10000)
+        self.byte_at = np.concatenate([[0], np.cumsum(width)])
+
+    def take(self, start: np.ndarray, stop: np.ndarray, present: np.ndarray | None = None) -> pa.Array:
+        """The stretches [start, stop) of characters as strings, NULL where not present."""
+        low, size = self.byte_at[start], self.byte_at[stop] - self.byte_at[start]
+        if present is not None:
+            size = np.where(present, size, 0)
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        data = self.bytes[np.repeat(low - offsets[:-1], size) + np.arange(offsets[-1])]
+        made = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes()))
+        return made if present is None else pc.if_else(pa.array(present), made, pa.scalar(None, pa.large_string()))
+
+    def tokens(self, start: np.ndarray, stop: np.ndarray, present: np.ndarray | None = None) -> pa.Array:
+        """As ``take``, quotes around a stretch stripped and those inside undoubled."""
+        quoted = (stop > start) & (np.append(self.chars, 0)[start] == ord('"'))
+        return pc.replace_substring(self.take(start + quoted, np.maximum(stop - quoted, start + quoted), present), '""', '"')
 
 
 def classify(chars: np.ndarray, separators: np.ndarray) -> np.ndarray:

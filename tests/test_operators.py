@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -138,6 +139,31 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0      　"
 BARE = re.compile(r"(?!\+\Z)[A-Za-z0-9_+\-][A-Za-z0-9_.+\-]*")
 
 
+def of_texts(parse, texts):
+    return parse(pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())).to_pylist()
+
+
+def test_stretches_of_texts():
+    texts = pa.array(["zz", 'aé漢\U0001f600"x""y"', None, "", 'é"'])
+    for column in (texts, texts.slice(1), texts.slice(1, 3)):
+        laid = tokenizer.Texts(column)
+        whole = "".join(t or "" for t in column.to_pylist())
+        assert "".join(map(chr, laid.chars)) == whole and laid.lengths.tolist() == [len(t or "") for t in column.to_pylist()]
+        a, b = np.array([0, 1, 3, len(whole)]), np.array([2, 1, 7, len(whole)])
+        assert laid.take(a, b).to_pylist() == [whole[x:y] for x, y in zip(a, b)]
+    laid = tokenizer.Texts(pa.array(['"x""y"b']))
+    assert laid.tokens(np.array([0, 6, 0]), np.array([6, 7, 6]), np.array([True, True, False])).to_pylist() == ['x"y', "b", None]
+
+
+def test_numbers_too_long_are_kept(spark):
+    """pos is a 64-bit number; what doesn't fit is told, not lost."""
+    raw = ["5,1234567890,a,,k,v", f"{2**63 - 1},{2**63 - 1},a,,k,v", f"000{2**63},0,a,,k,v", f'"7","{10**30}",a,n,k,', "12345678901234567890123,00012345678901234567890123,a,,k,"]
+    rows = {r.row_no: r for r in reject.load_export(spark.createDataFrame(list(enumerate(raw)), "row_no bigint, raw string")).collect()}
+    assert all(r.reason is None and r.key == "k" for r in rows.values())
+    assert [(rows[k].seq, rows[k].pos) for k in range(5)] == [(5, 1234567890), (2**63 - 1, 2**63 - 1), (None, 0), (7, None), (None, None)]
+    assert [rows[k].overlong for k in range(5)] == [None, None, f"seq={2**63}", f"pos={10**30}", "seq=12345678901234567890123 pos=12345678901234567890123"]
+
+
 def brute_line(text):
     fields, now, quoted = [], "", False
     for c in text or "":
@@ -193,7 +219,7 @@ def brute_record(text):
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.text(alphabet='ab=:"+.* 　\x1cé', max_size=30), max_size=6))
 def test_lines_against_brute_force(texts):
-    rows = reject.parse_lines(list(range(len(texts))), texts).to_pylist()
+    rows = of_texts(reject.parse_lines, texts)
     reasons = {r["row_no"]: r["reason"] or "" for r in rows}
     assert reasons == {i: brute_line(t) for i, t in enumerate(texts) if brute_line(t) is not None}
     assert all(0 <= r["at"] <= len(texts[r["row_no"]]) for r in rows if r["reason"])
@@ -203,14 +229,15 @@ def test_lines_against_brute_force(texts):
 @given(st.lists(st.text(alphabet='1a,,,"\n �', max_size=24), max_size=6), st.lists(st.sampled_from(['1', '0', '"x"', '"a""b"', "", '""', " ", "x�", '"1"']), min_size=6, max_size=6))
 def test_records_against_brute_force(texts, fields):
     texts = [*texts, ",".join(fields), None]
-    got = {r["row_no"]: r["reason"] or "" for r in reject.parse_records(list(range(len(texts))), texts).to_pylist()}
+    got = {r["row_no"]: r["reason"] or "" for r in of_texts(reject.parse_records, texts)}
     assert got == {i: brute_record(t) for i, t in enumerate(texts)}
 
 
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet='a," ', max_size=40), max_size=5), st.sampled_from([1, 2, 3, 5, 64]))
 def test_chunks_compose(texts, chunk):
-    _, chars, lengths = tokenizer.code_points(texts)
+    laid = tokenizer.Texts(pa.array(texts, pa.string()))
+    chars, lengths = laid.chars, laid.lengths
     for machine, separators in ((tokenizer.RECORD, tokenizer.COMMA), (tokenizer.LINE, tokenizer.WHITE)):
         classes = tokenizer.classify(chars, separators)
         before, ends = machine.run(classes, lengths, chunk)
@@ -227,9 +254,9 @@ def test_chunks_compose(texts, chunk):
 
 def test_one_long_line():
     text = 'x k="' + 'a ""b' * 100_000 + '" ns:k=v'
-    rows = reject.parse_lines([1], [text]).to_pylist()
+    rows = of_texts(reject.parse_lines, [text])
     assert [r["pos"] for r in rows] == [0, 1] and rows[0]["value"] == 'a "b' * 100_000
-    assert reject.parse_lines([1], [text + '"']).to_pylist()[0]["reason"] == "quoting"
+    assert of_texts(reject.parse_lines, [text + '"'])[0]["reason"] == "quoting"
 
 
 def test_rejected_and_loaded(spark):
@@ -358,7 +385,7 @@ def test_streams(spark, tmp_path):
 
 
 def test_tokenizer_of_nothing():
-    assert reject.parse_lines([], []).num_rows == 0 and reject.parse_records([], []).num_rows == 0
+    assert of_texts(reject.parse_lines, []) == of_texts(reject.parse_records, []) == []
     before, ends = tokenizer.LINE.run(np.zeros(0, np.uint8), np.array([0, 0]))
     assert len(before) == 0 and ends.tolist() == [0, 0]
 
