@@ -1,86 +1,138 @@
 """How often every term occurs, and in how many records.
 
-Rows are hash-partitioned by term and ordered by record, so one pass with a *last seen*
-counter is enough: a row is a new occurrence if its write differs from the row before,
-and a new record if its record does. No set of records is kept. Each term is split over
-``salts`` by its record, so a term that holds a third of all rows meets in no single task,
-and a record lies in one salt only, so the partial counts add up.
-
-A record that itself holds a large part of the rows, and rows without a record, are split by
-their write instead. Their occurrences still add up; their distinct terms are counted apart,
-after a map-side combine. Which records are large is found by a sketch of bounded size and
-decides on the split only, never on a result.
+Rows are lined up by term, record and write across range partitions, and one pass over each
+partition keeps *last seen* counters: a row is a new occurrence if its write differs from the
+row before, and a new record if its record does. No set of records is kept. A term that holds
+a third of all rows, or a record that does, lies in as many neighbouring partitions as its rows
+fill, so no task meets it whole; where a term goes on in the next partition, the last record
+seen tells whether the first one there was counted before.
+
+Of namespaces, keys and values on their own the occurrences are sums over tags. Their records
+are counted in the same way, from rows folded to one per (part, record) where they are read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 24
-#: A record with at least one row in so many is split.
-LARGE = 100
-TAG = ["ns", "key", "value"]
-
-
-def _differs(column: str, window) -> Column:
-    """Whether the row before has another value; true on the first row."""
-    return ~F.lag(column).over(window).eqNullSafe(F.col(column))
-
-
-def large_records(writes: DataFrame) -> list[str]:
-    """At most ``LARGE`` ids."""
-    row = writes.agg(F.expr(f"approx_top_k(id, {LARGE}, {100 * LARGE})").alias("top"), F.count("*").alias("n")).first()
-    return [r["item"] for r in row["top"] or [] if r["item"] is not None and r["count"] * LARGE >= row["n"]]
-
-
-def _is_large(large: list[str]) -> Column:
-    return F.col("id").isNull() | F.col("id").isin(large) if large else F.col("id").isNull()
+from tagloom.checkpoints import saved
 
-
-def _seen(writes: DataFrame, salts: int, large: list[str]) -> DataFrame:
-    """Rows of ``writes`` in the order of term and record, marked with what is new. Records
-    that are split are new nowhere."""
-    by = F.when(_is_large(large), F.pmod(F.xxhash64("seq", "pos"), F.lit(salts)) + salts).otherwise(F.pmod(F.xxhash64("id"), F.lit(salts)))
-    rows = writes.filter(F.col("key").isNotNull()).select(*TAG, "id", "seq", "pos", by.cast("int").alias("salt"))
-    line = Window.partitionBy(*TAG, "salt").orderBy("id", "seq", "pos")
-    new_id = (F.row_number().over(line) == 1) | _differs("id", line)
-    known = F.col("seq").isNotNull() & F.col("pos").isNotNull()
-    new_write = new_id | _differs("seq", line) | _differs("pos", line) | ~known
-    return rows.select(*TAG, "salt", "id", (new_id & (F.col("salt") < salts)).cast("int").alias("new_id"), new_write.cast("int").alias("new_write"))
-
-
-def _of_large(writes: DataFrame, large: list[str]) -> DataFrame:
-    """Distinct tags of each split record."""
-    return writes.filter(F.col("key").isNotNull() & F.col("id").isin(large)).select(*TAG, "id").distinct()
-
-
-def tag_counts(writes: DataFrame, salts: int = SALTS, large: list[str] | None = None) -> DataFrame:
+TAG = ["ns", "key", "value"]
+PART = ["grain", "term"]
+_COUNTS = "part int, piece int, occurrences bigint, records bigint, head string, last string"
+#: Most rows and bytes folded at once.
+HOLD, HOLD_BYTES = 500_000, 64 << 20
+
+
+def _unlike(column: pa.Array, before: pa.Array) -> np.ndarray:
+    """Whether each row differs from the one before; before: the last row of the batch before, or
+    an empty array, which every row differs from. NULL equals NULL."""
+    if not len(before):
+        return np.concatenate([[True], _unlike(column[1:], column[:1])]) if len(column) > 1 else np.ones(len(column), bool)
+    a, b = column, pa.concat_arrays([before, column[:-1]])
+    unlike = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+    return unlike | (pc.is_null(a).to_numpy(zero_copy_only=False) != pc.is_null(b).to_numpy(zero_copy_only=False))
+
+
+def _last_seen(width: int):
+    """Ordered rows (term, id, seq, pos), a term being ``width`` columns, to counters of every
+    term in the partition. A partition's first row counts as a new record; ``head`` is its id,
+    and ``last`` the id that the batch ends with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, piece = TaskContext.get().partitionId(), 0
+        before: list[pa.Array] | None = None
+        for batch in batches:
+            size = batch.num_rows
+            if not size:
+                continue
+            columns = batch.columns
+            unlike = [_unlike(c, c[:0] if before is None else b) for c, b in zip(columns, before or columns, strict=True)]
+            term = np.logical_or.reduce(unlike[:width])
+            record = term | unlike[width]
+            known = pc.and_(pc.is_valid(columns[width + 1]), pc.is_valid(columns[width + 2])).to_numpy(zero_copy_only=False)
+            write = record | unlike[width + 1] | unlike[width + 2] | ~known
+            named = pc.is_valid(columns[width]).to_numpy(zero_copy_only=False)
+            term[0] = True  # a piece begins with every batch
+            starts = np.flatnonzero(term)
+            add = lambda x: pa.array(np.add.reduceat(x.astype(np.int64), starts))  # noqa: E731, B023
+            head, last = [None] * len(starts), [None] * len(starts)
+            if before is None:
+                head[0] = columns[width][0].as_py()
+            last[-1] = columns[width][-1].as_py()
+            own = [c.take(pa.array(starts)) for c in columns[:width]]
+            counts = [pa.array(np.full(len(starts), part, np.int32)), pa.array(np.full(len(starts), piece, np.int32)), add(write), add(record & named)]
+            yield pa.RecordBatch.from_arrays([*own, *counts, pa.array(head, pa.string()), pa.array(last, pa.string())], [*batch.schema.names[:width], *[c.split()[0] for c in _COUNTS.split(", ")]])
+            before, piece = [c[-1:] for c in columns], piece + 1
+
+    return run
+
+
+def lined_up(rows: DataFrame, term: list[str]) -> DataFrame:
+    """Rows in the order of term, record and write across partitions. Rows that can't be told
+    apart have numbers of their own, so that they can part too."""
+    order = [*term, "id", "seq", "pos"]
+    lone = F.when(F.col("seq").isNull() | F.col("pos").isNull(), F.monotonically_increasing_id())
+    return rows.select(*order, lone.alias("lone")).repartitionByRange(*order, "lone").sortWithinPartitions(*order).select(*order)
+
+
+def _counted(rows: DataFrame, term: list[str]) -> DataFrame:
+    """``(term, occurrences, records)`` of rows ``(term, id, seq, pos)``."""
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in term)
+    pieces = lined_up(rows, term).mapInArrow(_last_seen(len(term)), f"{kinds}, {_COUNTS}")
+    seen = F.lag("last").over(Window.partitionBy(*term).orderBy("part", "piece"))
+    counted_twice = F.coalesce(F.col("head") == seen, F.lit(False)).cast("bigint")
+    merged = pieces.select(*term, "occurrences", (F.col("records") - counted_twice).alias("records"))
+    return merged.groupBy(*term).agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+
+
+def tag_counts(writes: DataFrame) -> DataFrame:
     """``(ns, key, value, occurrences, records)`` of every distinct tag.
 
     A row delivered twice (same seq and pos) counts once; rows without seq or pos can't be
     told apart and count each. A NULL id is an occurrence on no record; rows without key
     are no tags.
     """
-    large = large_records(writes) if large is None else large
-    partial = _seen(writes, salts, large).groupBy(*TAG, "salt").agg(F.sum("new_write").alias("o"), F.sum("new_id").alias("r")).drop("salt")
-    if large:
-        partial = partial.unionByName(_of_large(writes, large).select(*TAG, F.lit(0).alias("o"), F.lit(1).alias("r")))
-    return partial.groupBy(*TAG).agg(F.sum("o").alias("occurrences"), F.sum("r").alias("records"))
-
-
-def part_counts(writes: DataFrame, salts: int = SALTS, large: list[str] | None = None) -> DataFrame:
-    """``(grain, term, occurrences, records)`` of every namespace, key and value present."""
-    large = large_records(writes) if large is None else large
+    return _counted(writes.filter(F.col("key").isNotNull()).select(*TAG, "id", "seq", "pos"), TAG)
+
+
+def _folded_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (ns, key, value, id) to (grain, term, id), each once among the rows at hand."""
+
+    def folded(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        for grain in TAG:
+            per = rows.select([grain, "id"]).filter(pc.is_valid(rows[grain])).group_by([grain, "id"]).aggregate([])
+            yield from pa.table([pa.array([grain]).take(pa.array(np.zeros(len(per), np.int64))), per[grain], per["id"]], names=[*PART, "id"]).combine_chunks().to_batches(max_chunksize=50_000)
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= HOLD or sum(b.nbytes for b in held) >= HOLD_BYTES:
+            yield from folded(held)
+            held = []
+    if held:
+        yield from folded(held)
+
+
+def part_counts(writes: DataFrame, tags: DataFrame) -> DataFrame:
+    """``(grain, term, occurrences, records)`` of every namespace, key and value present; tags
+    are the counts of the tags."""
+    named = writes.filter(F.col("key").isNotNull() & F.col("id").isNotNull()).select(*TAG, "id")
+    folded = saved(named.mapInArrow(_folded_parts, "grain string, term string, id string"))
+    nothing = F.lit(None).cast("bigint")
+    records = _counted(folded.select(*PART, "id", F.lit(0).alias("seq"), F.lit(0).alias("pos")), PART).select(*PART, nothing.alias("occurrences"), "records")
     parts = F.inline(F.array(*[F.struct(F.lit(c).alias("grain"), F.col(c).alias("term")) for c in TAG]))
-    per_id = _seen(writes, salts, large).groupBy(*TAG, "salt", "id").agg(F.sum("new_write").alias("n")).select("salt", "id", "n", parts).filter(F.col("term").isNotNull())
-    line = Window.partitionBy("grain", "term", "salt").orderBy("id")
-    new_id = ((F.row_number().over(line) == 1) | _differs("id", line)) & (F.col("salt") < salts)
-    partial = per_id.select("grain", "term", "salt", "n", new_id.cast("int").alias("new")).groupBy("grain", "term", "salt").agg(F.sum("n").alias("o"), F.sum("new").alias("r")).drop("salt")
-    if large:
-        apart = _of_large(writes, large).select("id", parts).filter(F.col("term").isNotNull()).distinct()
-        partial = partial.unionByName(apart.select("grain", "term", F.lit(0).alias("o"), F.lit(1).alias("r")))
-    return partial.groupBy("grain", "term").agg(F.sum("o").alias("occurrences"), F.sum("r").alias("records"))
+    sums = tags.select("occurrences", parts).filter(F.col("term").isNotNull()).select(*PART, "occurrences", nothing.alias("records"))
+    both = sums.unionByName(records).groupBy(*PART)
+    return both.agg(F.sum("occurrences").alias("occurrences"), F.coalesce(F.sum("records"), F.lit(0)).alias("records"))
 
 
 def tag_text(ns: Column, key: Column, value: Column) -> Column:
@@ -106,9 +158,8 @@ def marked_tags(writes: DataFrame, rare_below: int = 3, common_percent: int = 8)
 def all_terms(writes: DataFrame) -> DataFrame:
     """``(grain, term, occurrences, records, mark)`` of tags and of their parts. Parts have
     no mark. An empty table gives no rows."""
-    large = large_records(writes)
-    tags = tag_counts(writes, large=large)
+    tags = saved(tag_counts(writes))
     whole = tags.select(
         F.lit("tag").alias("grain"), tag_text(*map(F.col, TAG)).alias("term"), "occurrences", "records", mark_of(distinct_ids(writes)).alias("mark")
     )
-    return whole.unionByName(part_counts(writes, large=large).withColumn("mark", F.lit(None).cast("string")))
+    return whole.unionByName(part_counts(writes, tags).withColumn("mark", F.lit(None).cast("string")))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tagloom.llm import encode, english, leaks, levels, terms
 from tagloom.llm.words import words
@@ -40,22 +41,39 @@ def writes(seed=1):
     return rows
 
 
-@pytest.mark.parametrize("salts,large", [(1, None), (5, []), (3, ["i1", "", "i7"])])
-def test_counts(spark, salts, large):
-    rows = writes()
-    df = spark.createDataFrame(rows, WRITES).repartition(4)
-    tags, parts = brute_counts(rows)
-    assert {tuple(r) for r in terms.tag_counts(df, salts, large).collect()} == tags
-    assert {tuple(r) for r in terms.part_counts(df, salts, large).collect()} == parts
-
-
-def test_a_large_record_is_split(spark):
-    rows = [(k, 0, "big" if k % 3 else f"i{k}", None, "k", "v") for k in range(900)]
-    df = spark.createDataFrame(rows, WRITES)
-    assert terms.large_records(df) == ["big"]
-    per = terms._seen(df, 4, ["big"]).filter("id = 'big'").groupBy("salt").count().collect()
-    assert len(per) == 4 and max(r["count"] for r in per) < 250
-    assert [tuple(r) for r in terms.tag_counts(df, 4).collect()] == [(None, "k", "v", 900, 301)]
+@pytest.mark.parametrize("parts,hold", [(1, 500_000), (7, 100), (30, 500_000)])
+def test_counts(spark, monkeypatch, parts, hold):
+    """However the line is cut."""
+    rows = writes(parts)
+    monkeypatch.setattr(terms, "HOLD", hold)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        df = spark.createDataFrame(rows, WRITES).repartition(4)
+        tags, of_parts = brute_counts(rows)
+        counted = terms.tag_counts(df)
+        assert {tuple(r) for r in counted.collect()} == tags
+        assert {tuple(r) for r in terms.part_counts(df, counted).collect()} == of_parts
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_no_task_meets_a_hot_term_or_record_whole(spark):
+    """A third of the rows are of one tag, a third of one record, and a third can't be told apart."""
+    rows = [(k, 0, f"i{k}", None, "hot", "v") for k in range(3_000)] + [(k, 1, "big", None, f"k{k % 40}", str(k)) for k in range(3_000)] + [(None, 0, "same", None, "j", "w")] * 3_000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        df = spark.createDataFrame(rows, WRITES).repartition(5)
+        seen = [r["count"] for r in terms.lined_up(df, terms.TAG).groupBy(F.spark_partition_id()).count().collect()]
+        assert len(seen) >= 11 and max(seen) < 2 * len(rows) / 12
+        got = {(r.key, r.value): (r.occurrences, r.records) for r in terms.tag_counts(df).collect()}
+        assert got["hot", "v"] == (3_000, 3_000) and got["j", "w"] == (3_000, 1) and len(got) == 3_002
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_marks(spark):
