@@ -1,7 +1,8 @@
 """How often two keys occur on the same item, and whether that is more than chance.
 
 Pairs are counted exactly: each partition counts its own items' pairs in compact arrays
-and sends one number per pair it met. What chance would give is a bipartite configuration
+and sends one number per pair it met. An item of very many keys is cut into blocks of keys,
+and its pairs of blocks are spread over all tasks. What chance would give is a bipartite configuration
 model fitted to the data: every key keeps its expected number of items and every item its
 expected number of keys, and given that, keys fall on items independently. A pair's count
 is then Poisson-binomial; its upper tail gives a p-value, and Benjamini and Hochberg's
@@ -25,15 +26,20 @@ from tagloom.checkpoints import cut
 
 #: Distinct pairs a partition holds before it sends what it has.
 HOLD = 2_000_000
-#: Degrees above this are rounded to 1 part in 1000 for the fit of the null model, which
-#: bounds its classes (under 25,000 up to 10**12 items). Counts stay exact.
-EXACT_DEGREES = 4096
+#: An item with more keys than this is counted in blocks of so many keys.
+BLOCK = 1_024
+#: Degrees and sizes up to this are classes of their own in the fit of the null model, larger ones
+#: share a class with those within 1 part in 100, which stands at their mean: sums stay exact, and
+#: the driver holds under 3,000 classes of either up to 10**12 items. Counts are never rounded.
+EXACT = 256
 _COUNTS = "kind int, a string, b string, n bigint"
 _PAIR, _KEY, _SIZE = 0, 1, 2
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of pairs (a < b), of keys, and of basket sizes (a: NULL, b: size)."""
+    """Rows (keys, keys of another block, size) to partial counts of pairs (a < b), of keys, and
+    of basket sizes (a: NULL, b: size). Two blocks give the pairs between them; keys alone give
+    those among them, and count as keys. A size counts once, where it isn't negative."""
     names: dict[str, int] = {}
     held: list[tuple[np.ndarray, np.ndarray]] = []
     weight = 0
@@ -55,19 +61,38 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             kind = np.where(u >> 32 == u & 0xFFFFFFFF, _KEY, _PAIR).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(kind), pc.if_else(swap, b, a), pc.if_else(swap, a, b), pa.array(n)], names=["kind", "a", "b", "n"])
 
-    for batch in batches:
-        column = batch.column(0)
+    def coded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(row, key) of the keys of each row, by row, each key once."""
         item = pc.list_parent_indices(column).to_numpy(zero_copy_only=False).astype(np.int64)
         words = pc.list_flatten(column)
         known = pc.is_valid(words).to_numpy(zero_copy_only=False)
-        coded = words.filter(pa.array(known)).dictionary_encode()
-        local = np.array([names.setdefault(w, len(names)) for w in coded.dictionary.to_pylist()], np.int64)
-        key = local[coded.indices.to_numpy(zero_copy_only=False)] if len(local) else np.zeros(0, np.int64)
-        once = np.unique((item[known] << 32) | key)  # by item, then key; each key once
-        item, key = once >> 32, once & 0xFFFFFFFF
-        per = np.bincount(item, minlength=batch.num_rows) if batch.num_rows else np.zeros(0, np.int64)
-        for s, n in zip(*np.unique(per, return_counts=True), strict=True):
+        by_word = words.filter(pa.array(known)).dictionary_encode()
+        local = np.array([names.setdefault(w, len(names)) for w in by_word.dictionary.to_pylist()], np.int64)
+        key = local[by_word.indices.to_numpy(zero_copy_only=False)] if len(local) else np.zeros(0, np.int64)
+        once = np.unique((item[known] << 32) | key)
+        return once >> 32, once & 0xFFFFFFFF
+
+    for batch in batches:
+        item, key = coded(batch.column(0))
+        whole = batch.column(2).to_numpy(zero_copy_only=False)
+        for s, n in zip(*np.unique(whole[whole >= 0], return_counts=True), strict=True):
             sizes[int(s)] = sizes.get(int(s), 0) + int(n)
+        if batch.column(1).null_count < batch.num_rows:  # pairs of two blocks
+            across = pc.is_valid(batch.column(1)).to_numpy(zero_copy_only=False)
+            left, right = item, key
+            of, other = coded(batch.column(1))
+            for row in np.flatnonzero(across).tolist():
+                a, b = right[slice(*np.searchsorted(left, [row, row + 1]))], other[slice(*np.searchsorted(of, [row, row + 1]))]
+                u, n = np.unique(np.minimum(a[:, None], b) << 32 | np.maximum(a[:, None], b), return_counts=True)
+                held.append((u, n))
+                weight += len(u)
+                if weight > HOLD:
+                    held[:] = [fold()]
+                    weight = len(held[0][0])
+                    if weight > HOLD // 2:
+                        yield from send()
+                        weight = 0
+            item, key = item[~across[item]], key[~across[item]]
         i, step = np.arange(len(key)), 0
         while len(i):  # every key with the step-th after it on the same item
             u, n = np.unique((key[i] << 32) | key[i + step], return_counts=True)
@@ -94,10 +119,25 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
+def baskets(items: DataFrame, block: int | None = None) -> DataFrame:
+    """``(keys, others, size)``: a row per item with its distinct keys, or of a large one a row
+    per block and per pair of blocks, dealt out over all tasks."""
+    block = block or BLOCK
+    given = F.coalesce(F.col("tags.key"), F.array().cast("array<string>"))
+    none = F.lit(None).cast("array<string>")
+    rows = items.select(F.array_distinct(F.filter(given, lambda k: k.isNotNull())).alias("keys")).withColumn("size", F.size("keys"))
+    small = rows.filter(F.col("size") <= block).select("keys", none.alias("others"), "size")
+    n = F.ceil(F.col("size") / block).cast("int")
+    pick = lambda k: F.slice("keys", k * block + 1, block)
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(i, n - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    large = rows.filter(F.col("size") > block).withColumn("deal", F.monotonically_increasing_id()).select("keys", "size", "deal", F.inline(pairs))
+    large = large.select(pick(F.col("i")).alias("keys"), F.when(F.col("i") < F.col("j"), pick(F.col("j"))).alias("others"), F.when((F.col("i") == 0) & (F.col("j") == 0), F.col("size")).otherwise(-1).alias("size"), "deal", "i", "j")
+    return small.unionByName(large.repartition("deal", "i", "j").drop("deal", "i", "j"))
+
+
 def counts(items: DataFrame) -> DataFrame:
-    """``(kind, a, b, n)``, one scan, checkpointed: pairs, keys, and basket sizes."""
-    keys = items.select(F.col("tags.key").alias("keys"))
-    return cut(keys.mapInArrow(_count_batches, _COUNTS).groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
+    """``(kind, a, b, n)``, checkpointed: pairs, keys, and basket sizes."""
+    return cut(baskets(items).mapInArrow(_count_batches, _COUNTS).groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
 
 
 @dataclass(frozen=True)
@@ -186,16 +226,19 @@ def tail(n: np.ndarray, q: np.ndarray, baskets: np.ndarray) -> np.ndarray:
     return np.clip(np.nan_to_num(p, nan=1.0), 0, 1)
 
 
+def _classes(counted: DataFrame, size: Column, weight: Column) -> tuple[np.ndarray, np.ndarray]:
+    """(mean size, how many) of the classes of sizes, by size."""
+    near = F.when(size <= EXACT, size.cast("double")).otherwise(EXACT + 1 + F.floor(F.log(size / EXACT) / np.log(1.01)))
+    rows = counted.groupBy(near.alias("class")).agg((F.sum(size.cast("double") * weight) / F.sum(weight)).alias("mean"), F.sum(weight).alias("c")).orderBy("class").collect()
+    return np.array([r["mean"] for r in rows], float), np.array([r["c"] for r in rows], float)
+
+
 def _model(counted: DataFrame) -> tuple[NullModel, int, int]:
     """The fitted null, the number of records and of keys. What comes to the driver are
-    the distinct sizes and (rounded) degrees, not the keys."""
-    n = F.col("n")
-    round_to = F.pow(F.lit(10.0), F.ceil(F.log10(n)) - 4)
-    degree = F.when(n <= EXACT_DEGREES, n.cast("double")).otherwise(F.round(n / round_to) * round_to)
-    d = counted.filter(F.col("kind") == _KEY).groupBy(degree.alias("d")).agg(F.count("*").alias("c")).collect()
-    s = counted.filter(F.col("kind") == _SIZE).select(F.col("b").cast("int").alias("s"), "n").collect()
-    get = lambda rows, k: np.array([r[k] for r in rows], float)
-    return fit(get(s, "s"), get(s, "n"), get(d, "d"), get(d, "c")), sum(r["n"] for r in s), sum(r["c"] for r in d)
+    classes of sizes and degrees, not the keys."""
+    degrees, keys = _classes(counted.filter(F.col("kind") == _KEY), F.col("n"), F.lit(1))
+    sizes, records = _classes(counted.filter(F.col("kind") == _SIZE), F.col("b").cast("int"), F.col("n"))
+    return fit(sizes, records, degrees, keys), int(records.sum()), int(keys.sum())
 
 
 def lift(n_ab: Column, n_a: Column, n_b: Column, records: int) -> Column:
@@ -217,12 +260,16 @@ def pair_counts(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _ranked(pairs: DataFrame, p: str) -> DataFrame:
     """Rows with their rank by p, numbered across range partitions: no single task sorts
-    everything, and the offsets are one number per partition."""
-    lined_up = cut(pairs.repartitionByRange(p).sortWithinPartitions(p).withColumn("part", F.spark_partition_id()))
+    everything, and the offsets are one number per partition. Equal p, such as those too small
+    for a double, are ordered by their keys, so they spread too; the last of them has the rank
+    that counts for all."""
+    order = [p, "key_a", "key_b"]
+    lined_up = cut(pairs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
+    part = F.shiftright("place", 33)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = lined_up.groupBy("part").agg(F.count("*").alias("c")).select("part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
-    inside = F.row_number().over(Window.partitionBy("part").orderBy(p))
-    return lined_up.withColumn("inside", inside).join(F.broadcast(offsets), "part").withColumn("rank", F.col("inside") + F.col("offset"))
+    offsets = lined_up.groupBy(part.alias("part")).agg(F.count("*").alias("c")).select("part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
+    numbered = lined_up.join(F.broadcast(offsets), part == F.col("part"))
+    return numbered.withColumn("rank", F.col("offset") + F.col("place").bitwiseAND((1 << 33) - 1) + 1).drop("place", "part", "offset")
 
 
 def surprising_pairs(items: DataFrame, rate: float = 0.05) -> DataFrame:

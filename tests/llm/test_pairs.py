@@ -228,7 +228,9 @@ def test_counting_in_small_pieces(spark, monkeypatch):
 
     def run(hold):
         monkeypatch.setattr(cooccur, "HOLD", hold)
-        batch = pa.RecordBatch.from_arrays([pa.array([None if t is None else [x[1] for x in t] for _, t in rows], pa.list_(pa.string()))], ["keys"])
+        keys = [[] if t is None else sorted({x[1] for x in t} - {None}) for _, t in rows]
+        columns = [pa.array(keys, pa.list_(pa.string())), pa.nulls(len(rows), pa.list_(pa.string())), pa.array(list(map(len, keys)), pa.int32())]
+        batch = pa.RecordBatch.from_arrays(columns, ["keys", "others", "size"])
         out = {}
         for b in cooccur._count_batches(iter([batch.slice(k, 20) for k in range(0, len(rows), 20)])):
             for kind, a, c, n in zip(*(x.to_pylist() for x in b.columns), strict=True):
@@ -239,6 +241,58 @@ def test_counting_in_small_pieces(spark, monkeypatch):
     assert {(a, b): n for (k, a, b), n in run(10).items() if k == 0} == {(r[0], r[1]): r[4] for r in whole}
 
 
+@pytest.mark.parametrize("block", [1, 2, 5])
+def test_large_baskets_are_cut(spark, monkeypatch, block):
+    rows = [*baskets(9, 150), ("huge", [(None, f"k{k}", str(k % 3)) for k in range(40)] * 2)]
+    want = {(r[0], r[1], r[2]): r[3] for r in cooccur.counts(nested(spark, rows)).collect()}
+    cut_up = cooccur.baskets(nested(spark, rows), block).collect()
+    assert max(len(r["keys"]) for r in cut_up) <= block and sum(r["size"] >= 0 for r in cut_up) == len(rows)
+    monkeypatch.setattr(cooccur, "BLOCK", block)
+    assert {(r[0], r[1], r[2]): r[3] for r in cooccur.counts(nested(spark, rows)).collect()} == want
+
+
+def test_p_values_by_brute_force(spark):
+    """The tail of each pair's exact Poisson-binomial law under the fitted weights."""
+    rows = baskets(10, 120)
+    model, records, _ = cooccur._model(cooccur.counts(nested(spark, rows)))
+    for r in cooccur.surprising_pairs(nested(spark, rows)).collect():
+        p = model.probabilities(np.array([r.n_a, r.n_b]))
+        q = np.repeat(p[0] * p[1], model.baskets.astype(int))
+        assert r.records == records and r.expected == pytest.approx(q.sum(), rel=1e-6)
+        assert r.p_value == pytest.approx(exact_tail(r.n_ab, q), rel=0.12, abs=1e-12)
+
+
+def test_ranks_of_equal_p_values(spark):
+    """A hundred thousand keys, most pairs of one p-value: ranks are 1 to n, and no partition
+    holds the ties alone."""
+    from pyspark.sql import functions as F
+
+    n = 100_000
+    pairs = spark.range(n).select(F.concat(F.lit("k"), "id").alias("key_a"), F.concat(F.lit("m"), "id").alias("key_b"), F.when(F.col("id") % 10 == 0, F.col("id") / n).otherwise(F.lit(0.0)).alias("p_value"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranked = cooccur._ranked(pairs, "p_value")
+        got = ranked.select("rank", "p_value").toPandas().sort_values("rank")
+        assert got["rank"].tolist() == list(range(1, n + 1)) and got["p_value"].is_monotonic_increasing
+        lined_up = pairs.repartitionByRange("p_value", "key_a", "key_b").groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in lined_up) < 0.4 * n
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_classes_of_sizes_change_little(spark, monkeypatch):
+    """Classes a hundredth wide against every degree and size on its own."""
+    rng = random.Random(12)
+    rows = [(f"i{k}", [(None, f"k{int(rng.paretovariate(0.6)) % 400}", None) for _ in range(rng.randint(1, 40))]) for k in range(1_500)]
+    log_p = {}
+    for exact in (10**9, 4):
+        monkeypatch.setattr(cooccur, "EXACT", exact)
+        found = cooccur.surprising_pairs(nested(spark, rows)).collect()
+        log_p[exact] = {(r.key_a, r.key_b): (np.log(max(r.p_value, 1e-300)), r.surprising) for r in found}
+    gaps = [abs(a - log_p[4][k][0]) / max(abs(a), 1) for k, (a, _) in log_p[10**9].items()]
+    assert max(gaps) < 0.02 and sum(s != log_p[4][k][1] for k, (_, s) in log_p[10**9].items()) <= 0.001 * len(gaps) + 1
+
+
 def test_no_items(spark):
     assert rows_of(cooccur.surprising_pairs(nested(spark, []))) == [] and rows_of(cooccur.found_pairs(nested(spark, [("a", []), ("b", None)]))) == []
     one = spark.createDataFrame([("a", [(None, "x", None), (None, "y", None)], 1, "q")], "id string, tags array<struct<ns:string,key:string,value:string>>, n int, key_a string")
