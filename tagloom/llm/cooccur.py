@@ -39,7 +39,8 @@ _PAIR, _KEY, _SIZE = 0, 1, 2
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (keys, keys of another block, size) to partial counts of pairs (a < b), of keys, and
     of basket sizes (a: NULL, b: size). Two blocks give the pairs between them; keys alone give
-    those among them, and count as keys. A size counts once, where it isn't negative."""
+    those among them, and count as keys. Without a size all keys of an item are at hand; the size
+    of one in blocks comes with the first of them, the others say -1."""
     names: dict[str, int] = {}
     held: list[tuple[np.ndarray, np.ndarray]] = []
     weight = 0
@@ -74,7 +75,8 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     for batch in batches:
         item, key = coded(batch.column(0))
-        whole = batch.column(2).to_numpy(zero_copy_only=False)
+        per = np.bincount(item, minlength=batch.num_rows) if batch.num_rows else np.zeros(0, np.int64)
+        whole = np.where(pc.is_null(batch.column(2)).to_numpy(zero_copy_only=False), per, pc.fill_null(batch.column(2), 0).to_numpy())
         for s, n in zip(*np.unique(whole[whole >= 0], return_counts=True), strict=True):
             sizes[int(s)] = sizes.get(int(s), 0) + int(n)
         if batch.column(1).null_count < batch.num_rows:  # pairs of two blocks
@@ -120,18 +122,22 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def baskets(items: DataFrame, block: int | None = None) -> DataFrame:
-    """``(keys, others, size)``: a row per item with its distinct keys, or of a large one a row
-    per block and per pair of blocks, dealt out over all tasks."""
+    """``(keys, others, size)``: a row per item with its keys, or of one with many tags a row per
+    block and per pair of blocks of its distinct keys, dealt out over all tasks."""
     block = block or BLOCK
-    given = F.coalesce(F.col("tags.key"), F.array().cast("array<string>"))
-    none = F.lit(None).cast("array<string>")
-    rows = items.select(F.array_distinct(F.filter(given, lambda k: k.isNotNull())).alias("keys")).withColumn("size", F.size("keys"))
-    small = rows.filter(F.col("size") <= block).select("keys", none.alias("others"), "size")
-    n = F.ceil(F.col("size") / block).cast("int")
+    none = F.lit(None)
+    small = items.filter(F.coalesce(F.size("tags"), F.lit(0)) <= block).select(
+        F.coalesce(F.col("tags.key"), F.array().cast("array<string>")).alias("keys"), none.cast("array<string>").alias("others"), none.cast("int").alias("size")
+    )
+    keys = F.array_distinct(F.filter(F.col("tags.key"), lambda k: k.isNotNull()))
+    n = F.greatest(F.ceil(F.size("keys") / block), F.lit(1)).cast("int")
     pick = lambda k: F.slice("keys", k * block + 1, block)
     pairs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(i, n - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    large = rows.filter(F.col("size") > block).withColumn("deal", F.monotonically_increasing_id()).select("keys", "size", "deal", F.inline(pairs))
-    large = large.select(pick(F.col("i")).alias("keys"), F.when(F.col("i") < F.col("j"), pick(F.col("j"))).alias("others"), F.when((F.col("i") == 0) & (F.col("j") == 0), F.col("size")).otherwise(-1).alias("size"), "deal", "i", "j")
+    large = items.filter(F.size("tags") > block).select(keys.alias("keys"), F.monotonically_increasing_id().alias("deal"))
+    first = (F.col("i") == 0) & (F.col("j") == 0)
+    large = large.select("keys", "deal", F.inline(pairs)).select(
+        pick(F.col("i")).alias("keys"), F.when(F.col("i") < F.col("j"), pick(F.col("j"))).alias("others"), F.when(first, F.size("keys")).otherwise(-1).alias("size"), "deal", "i", "j"
+    )
     return small.unionByName(large.repartition("deal", "i", "j").drop("deal", "i", "j"))
 
 
