@@ -53,7 +53,9 @@ _MOST = (1 << _SIZE) - 1
 class Params:
     """threshold is the least Jaccard similarity, as a fraction num/den. recall: probability
     to meet of the worst pair that shares frequent tokens only; all others meet for certain.
-    trees: least number of trees."""
+    trees: least number of trees. exact: no trees and no sketches; pairs that share frequent
+    tokens only meet at these, whose nodes are compared block by block: every pair is found, at
+    a cost quadratic in the records of a frequent token."""
 
     num: int = 3
     den: int = 4
@@ -72,8 +74,9 @@ class Params:
     missed: float = 1e-5
     #: Most subsets of one size that a record is put under.
     subsets: int = 64
-    #: Most rows of a side that is broadcast; beyond, the join shuffles.
-    broadcast_rows: int = 1_000_000
+    #: Most bytes of a side that is broadcast, measured; beyond, the join shuffles.
+    broadcast_bytes: int = 48 << 20
+    exact: bool = False
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -100,7 +103,7 @@ def sketch_bits(p: Params) -> int:
     (1 - num / den) / 2, and more of 64 than these with ``missed`` at most."""
     q = (1 - p.num / p.den) / 2
     tail, bits = 0.0, 64
-    while bits and (tail := tail + comb(64, bits) * q**bits * (1 - q) ** (64 - bits)) <= p.missed:
+    while bits and not p.exact and (tail := tail + comb(64, bits) * q**bits * (1 - q) ** (64 - bits)) <= p.missed:
         bits -= 1
     return bits
 
@@ -247,10 +250,13 @@ def _rows_from_top(frequent: np.ndarray, p: Params):
                 sketch = sketches(tokens, _starts(lengths))
                 often, many = _only_frequent(tokens, lengths, frequent)
                 record = np.repeat(np.arange(len(lengths)), lengths)
-                rare, of = tokens[~often], record[~often]
-                place = np.arange(len(rare)) - np.repeat(_starts(lengths - many), lengths - many)
-                kept = place < prefix(lengths, p)[of]
-                yield _node_rows(batch, _mix(rare[kept]), 0, lengths, of[kept], sketch)
+                # Each set's tokens with the frequent ones last, and the first of these.
+                order = np.lexsort((often, record))
+                place = np.arange(len(tokens)) - np.repeat(_starts(lengths), lengths)
+                kept = order[(place < prefix(lengths, p)[record]) & (p.exact | ~often[order])]
+                yield _node_rows(batch, _mix(tokens[kept]), 0, lengths, record[kept], sketch)
+                if p.exact:
+                    continue
                 # Records that may share frequent tokens only with a similar one.
                 left = np.flatnonzero(lengths - many < prefix(lengths, p))
                 tokens = tokens[often & np.isin(record, left)]
@@ -389,32 +395,36 @@ def _candidates(reps: DataFrame, frequent: np.ndarray, p: Params) -> DataFrame:
         left = left.filter(large)
         if left.isEmpty():
             break
-        again = reps.join(_few(left, left.count(), p), "rep").select("rep", "tokens", "node", "level")
+        again = reps.join(_few(left, p), "rep").select("rep", "tokens", "node", "level")
         rows = again.mapInArrow(_rows_from_nodes(frequent, p), _ROWS)
     if blocks:
-        # Larger nodes that aren't split: every block of the node against every other.
-        whole = reduce(DataFrame.union, blocks).withColumn("blocks", F.ceil(F.col("size") / p.block).cast("int"))
-        sized = reps.join(_few(whole, whole.count(), p), "rep")
+        # Larger nodes that aren't split: every block of the node against every other. What is
+        # dealt out to the blocks are sketches, not sets.
+        whole = reduce(DataFrame.union, blocks).withColumn("blocks", F.ceil(F.col("size") / p.block).cast("int")).drop("size")
+        sized = reps.mapInArrow(_sketched, "rep bigint, size int, sketch bigint").join(_few(whole, p), "rep")
         mine = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int")
-        spread = sized.select("rep", "tokens", "node", mine.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+        spread = sized.select("rep", "size", "sketch", "node", mine.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
         square = F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j"))
-        found.append(compare(spread.select("rep", "tokens", square.alias("node")).mapInArrow(_as_rows, _ROWS), None).select("a", "b"))
+        place = F.shiftleft(F.shiftright(square, _NODE), _NODE).bitwiseOR(F.least("size", F.lit(_MOST)).cast("bigint"))
+        found.append(compare(spread.select(place.alias("place"), "rep", "sketch"), None).select("a", "b"))
     return reduce(DataFrame.union, found).distinct()
 
 
-def _as_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         for batch in batches:
             if batch.num_rows:
                 tokens, lengths = _lists(batch.column(1))
-                sketch = sketches(tokens, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
-                node = batch.column(2).to_numpy().view(np.uint64)
-                yield pa.RecordBatch.from_arrays([_place(node, 0, lengths), batch.column(0), pa.array(sketch.view(np.int64))], names=["place", "rep", "sketch"])
+                sketch = sketches(tokens, _starts(lengths)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths.astype(np.int32)), pa.array(sketch)], names=["rep", "size", "sketch"])
 
 
-def _few(df: DataFrame, rows: int, p: Params) -> DataFrame:
-    """Broadcast a side of known, checked size; a larger one is shuffled."""
-    return F.broadcast(df) if rows <= p.broadcast_rows else df
+def _few(df: DataFrame, p: Params) -> DataFrame:
+    """Broadcast a side whose size is measured and small enough; a larger one is shuffled. Rows
+    count as 64 bytes and what their texts hold."""
+    texts = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, t in df.dtypes if t == "string"]
+    size = df.agg((F.count("*") * 64 + reduce(lambda a, b: a + b, texts, F.lit(0))).alias("size")).first()["size"]
+    return F.broadcast(df) if size <= p.broadcast_bytes else df
 
 
 def similar_representatives(reps: DataFrame, p: Params) -> DataFrame:
@@ -422,7 +432,7 @@ def similar_representatives(reps: DataFrame, p: Params) -> DataFrame:
     the sizes of intersection and union."""
     pairs = cut(_candidates(reps, frequent_tokens(reps, p), p))
     involved = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
-    sets = cut(reps.join(_few(involved, 2 * pairs.count(), p), "rid").select("rid", "id", "tokens"))
+    sets = cut(reps.join(_few(involved, p), "rid").select("rid", "id", "tokens"))
     side = lambda x: sets.select(F.col("rid").alias(x), F.col("id").alias(f"id_{x}"), F.col("tokens").alias(f"t{x}"))
     overlap = F.size(F.array_intersect("ta", "tb"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").select(
@@ -435,15 +445,16 @@ def fold_copies(sets: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
     """(representatives, copies): the records less all but the first of each group of equal
     sets, and ``(rep, id, copies)`` of the groups of two or more, rep being the least id."""
     groups = cut(sets.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep != last").drop("last"))
-    members = sets.select("f1", "f2", "id").join(_few(groups, groups.count(), p), ["f1", "f2"]).select("rep", "id").distinct()
+    members = sets.select("f1", "f2", "id").join(_few(groups, p), ["f1", "f2"]).select("rep", "id").distinct()
     copies = cut(members.join(members.groupBy("rep").agg(F.count("*").alias("copies")), "rep"))
     others = copies.filter("id != rep").select("id")
-    return sets.join(_few(others, others.count(), p), "id", "left_anti"), copies
+    return sets.join(_few(others, p), "id", "left_anti"), copies
 
 
 def similar_pairs(tables: list[DataFrame], p: Params | None = None) -> DataFrame:
     """``(id_a, id_b)``, id_a < id_b by bytes: all pairs of records, within and between
-    the tables, whose tag sets have a Jaccard similarity of at least ``num / den``.
+    the tables, whose tag sets have a Jaccard similarity of at least ``num / den``; for tables
+    with large groups of copies see :func:`similarity_classes`.
 
     Sets are of whole triples, repeats counting once, absent and empty parts differing.
     Records with fewer than ``least`` tags, null ids, null and empty sets are in no pair;
@@ -456,7 +467,11 @@ def similar_pairs(tables: list[DataFrame], p: Params | None = None) -> DataFrame
     linked = similar_representatives(reps, p).select("a", "b")
     member = lambda x: copies.select(F.col("rep").alias(x), F.col("id").alias(f"id_{x}"))
     spelled = linked.join(member("a"), "a", "left").join(member("b"), "b", "left").select(F.coalesce("id_a", "a").alias("x"), F.coalesce("id_b", "b").alias("y"))
-    alike = member("a").join(member("b").withColumnRenamed("b", "a"), "a").filter("id_a < id_b").select(F.col("id_a").alias("x"), F.col("id_b").alias("y"))
+    # Every pair of a group, which may be large: each member meets the others in parts.
+    parts = F.ceil(F.col("copies") / p.block).cast("int")
+    dealt = copies.select("rep", "id", F.pmod(F.xxhash64("id", F.lit(5)), parts).cast("int").alias("part"))
+    against = copies.select("rep", F.col("id").alias("other"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    alike = dealt.join(against, ["rep", "part"]).filter("id < other").select(F.col("id").alias("x"), F.col("other").alias("y"))
     pairs = spelled.filter("x != y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     return pairs.union(alike).distinct()
 

@@ -115,6 +115,33 @@ def test_long_sets_of_frequent_tags(spark):
         assert got <= want and len(got) >= p.recall * len(want)
 
 
+def apart(rows):
+    return [(f"s{i}", tags) for i, tags in rows]
+
+
+@pytest.mark.parametrize("num,den", [(1, 2), (3, 5), (3, 4), (9, 10)])
+def test_recall_at_other_thresholds(spark, num, den):
+    rows = [*skewed(9, [5, 7, 10, 14], tags=45, records=120), *apart(store(9, groups=60, copies=5))]
+    want = brute_pairs(rows, num, den)
+    p = setjoin.Params(num=num, den=den)
+    assert len(want) > 100
+    got = {tuple(r) for r in setjoin.similar_pairs([nested(spark, rows)], p).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want), (len(got), len(want))
+
+
+@pytest.mark.parametrize("num,den", [(1, 2), (3, 4)])
+def test_the_exact_way(spark, num, den):
+    rows = [*skewed(10, [6, 9, 12], tags=40, records=80), *apart(store(10, groups=30, copies=40))]
+    p = setjoin.Params(num=num, den=den, exact=True, limit=8, block=16)
+    assert {tuple(r) for r in setjoin.similar_pairs([nested(spark, rows)], p).collect()} == brute_pairs(rows, num, den)
+
+
+def test_large_sides_are_shuffled(spark):
+    rows = store(11, groups=20, copies=30)
+    p = setjoin.Params(limit=4, broadcast_bytes=0, block=7)
+    assert {tuple(r) for r in setjoin.similar_pairs([nested(spark, rows)], p).collect()} == brute_pairs(rows)
+
+
 def test_classes(spark):
     rows = store(4, groups=5, copies=30)
     got = {r.id: r for r in setjoin.similarity_classes([nested(spark, rows)]).collect()}
