@@ -136,20 +136,21 @@ def widen(tags: DataFrame, items: DataFrame, catalog: DataFrame) -> DataFrame:
         one = c["more"].isNull() | (c["more"]["high"] == c["low"])
         return F.when(one, typed(a.kind, c["low"])).alias(a.column)
 
-    def failure(i: int, a: Attribute) -> Column:
-        c = cell(i)["more"]
-        reason = F.when(c["n_read"] == 0, "unreadable")
-        if not a.many:
-            reason = reason.when(c["high"] != cell(i)["low"], "conflict")
-        reason = reason.when(c["n_read"] < c["n_rows"], "partly")
-        entry = F.struct(
-            F.lit(a.column).alias("key"),
-            F.struct(reason.alias("reason"), c["n_rows"].alias("n_rows"), (c["n_rows"] - c["n_read"]).alias("n_unread")).alias("value"),
-        )
-        return F.when(reason.isNotNull(), entry)
-
-    entries = F.array(*[failure(i, a) for i, a in enumerate(attributes)]) if attributes else F.array().cast("array<struct<key:string,value:struct<reason:string,n_rows:bigint,n_unread:bigint>>>")
-    failed = F.map_from_entries(F.filter(entries, lambda e: e.isNotNull())).alias(FAILED)
+    # Failures come from the pairs that an item has, however many attributes there are.
+    names = F.array(*[F.lit(a.column) for a in attributes]).cast("array<string>")
+    many = F.array(*[F.lit(a.many) for a in attributes]).cast("array<boolean>")
+
+    def failure(e: Column) -> Column:
+        more = e["value"]["more"]
+        conflict = ~F.get(many, e["key"]) & (more["high"] != e["value"]["low"])
+        reason = F.when(more["n_read"] == 0, "unreadable").when(conflict, "conflict").when(more["n_read"] < more["n_rows"], "partly")
+        why = F.struct(reason.alias("reason"), more["n_rows"].alias("n_rows"), (more["n_rows"] - more["n_read"]).alias("n_unread"))
+        return F.struct(F.get(names, e["key"]).alias("key"), why.alias("value"))
+
+    doubtful = F.filter(F.map_entries("of"), lambda e: e["value"]["more"].isNotNull())
+    failures = F.filter(F.transform(doubtful, failure), lambda e: e["value"]["reason"].isNotNull())
+    none = F.array().cast("array<struct<key:string,value:struct<reason:string,n_rows:bigint,n_unread:bigint>>>")
+    failed = F.map_from_entries(F.coalesce(failures, none)).alias(FAILED)
     return rows.select("id", *[column(i, a) for i, a in enumerate(attributes)], failed)
 
 
