@@ -122,7 +122,9 @@ def widen(tags: DataFrame, items: DataFrame, catalog: DataFrame) -> DataFrame:
     plain = (F.size("several") == 0) & (F.col("n_read") == F.col("n_rows")) & (F.col("low") == F.col("high"))
     more = F.when(~F.coalesce(plain, F.lit(False)), F.struct("high", "n_rows", "n_read", "several"))
     pairs = resolved_pairs(tags, attributes).select("id", "attr", F.struct("low", more.alias("more")).alias("state"))
-    maps = pairs.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("attr", "state"))).alias("of"))
+    # Pairs are one row per attribute by now, so no id is large; as plain rows they move with
+    # less than half the bytes of collected lists.
+    maps = pairs.repartition("id").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("attr", "state"))).alias("of"))
     rows = items.select("id").filter(F.col("id").isNotNull()).distinct().join(maps, "id", "left")
 
     def cell(i: int) -> Column:
