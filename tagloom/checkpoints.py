@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,20 +31,47 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: What the open scopes are to delete, the innermost last.
+_scopes: list[list[tuple[SparkSession, str]]] = [[]]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001 - the session may have ended before
+        pass
+
+
+def _close(tables: list[tuple[SparkSession, str]]) -> None:
+    while tables:
+        _delete(*tables.pop())
+
+
+atexit.register(_close, _scopes[0])
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables saved inside are deleted at its end, so results that need them must have been
+    written by then. A long session over much data runs each operator in one.
+
+    >>> with scope():
+    ...     similar_pairs(tables).write.parquet(target)
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        _close(_scopes.pop())
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """The same rows from a compressed table in the shared folder, written now: smaller
-    than a checkpoint, and read by column. It is deleted when the driver ends."""
+    """The same rows from a compressed table in the shared folder, written now: smaller than a
+    checkpoint, read by column, and of a size that Spark knows. It is deleted when the scope
+    around it ends, without one when the driver does."""
     spark = df.sparkSession
     path = f"{folder(spark)}/table-{uuid.uuid4().hex}"
+    _scopes[-1].append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
-
-    def delete() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001 - the session may have ended before
-            pass
-
-    atexit.register(delete)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 from collections import defaultdict
@@ -410,3 +411,10 @@ def test_checkpoints_need_a_shared_folder(spark):
     df = spark.createDataFrame([(1, ["x"]), (2, None)], "a int, b array<string>")
     assert rows_of(checkpoints.saved(df)) == rows_of(df) == rows_of(checkpoints.cut(df))
     assert checkpoints.saved(df.limit(0)).count() == 0
+    # A scope deletes its own tables, and no other.
+    outer = checkpoints.saved(df)
+    with checkpoints.scope():
+        inner = checkpoints.saved(df)
+        files = [f.removeprefix("file://") for f in inner.inputFiles()]
+        assert inner.count() == 2 and all(map(os.path.exists, files))
+    assert outer.count() == 2 and files and not any(map(os.path.exists, files))
