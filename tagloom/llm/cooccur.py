@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.checkpoints import cut
+from tagloom.checkpoints import saved
 
 #: Distinct pairs a partition holds before it sends what it has.
 HOLD = 2_000_000
@@ -142,8 +142,8 @@ def baskets(items: DataFrame, block: int | None = None) -> DataFrame:
 
 
 def counts(items: DataFrame) -> DataFrame:
-    """``(kind, a, b, n)``, checkpointed: pairs, keys, and basket sizes."""
-    return cut(baskets(items).mapInArrow(_count_batches, _COUNTS).groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
+    """``(kind, a, b, n)``, saved: pairs, keys, and basket sizes."""
+    return saved(baskets(items).mapInArrow(_count_batches, _COUNTS).groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
 
 
 @dataclass(frozen=True)
@@ -270,7 +270,7 @@ def _ranked(pairs: DataFrame, p: str) -> DataFrame:
     for a double, are ordered by their keys, so they spread too; the last of them has the rank
     that counts for all."""
     order = [p, "key_a", "key_b"]
-    lined_up = cut(pairs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
+    lined_up = saved(pairs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
     part = F.shiftright("place", 33)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = lined_up.groupBy(part.alias("part")).agg(F.count("*").alias("c")).select("part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))

@@ -13,6 +13,7 @@ shuffled: texts are encoded where they are read.
 from __future__ import annotations
 
 import base64
+import os
 import re
 import sys
 import unicodedata
@@ -23,6 +24,7 @@ from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 from tagloom.lex import WHITE_SPACE
@@ -148,17 +150,20 @@ def encode(text: str | None, path: str) -> array:
 def encode_column(documents: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: str | None = None) -> DataFrame:
     """``key`` and ``ids ARRAY<INT>``: every row's text as token ids, special tokens'
     names being ordinary text. Null and empty texts give an empty list; repeated rows are
-    encoded each; other columns aren't read. The vocabulary's file must be at the same
-    place on every executor."""
+    encoded each; other columns aren't read. Spark brings the vocabulary's file to every
+    executor; two files of one name can't serve one application."""
     path = vocabulary or vocabulary_path()
+    documents.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
     narrow = documents.select(documents[key].alias("k"), documents[text].alias("t"))
     kind = narrow.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = SparkFiles.get(name)
         for batch in batches:
             flat, ends = array("i"), [0]
-            for t in batch.column(1):
-                flat.extend(encode(t.as_py(), path))
+            for t in batch.column(1).to_pylist():
+                flat.extend(encode(t, here))
                 ends.append(len(flat))
             ids = pa.ListArray.from_arrays(pa.array(np.array(ends, "int32")), pa.array(np.frombuffer(flat, "int32") if flat else np.zeros(0, "int32")))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], [key, "ids"])

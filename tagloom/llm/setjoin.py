@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.checkpoints import cut, saved
+from tagloom.checkpoints import saved
 
 _ROWS = "place bigint, rep bigint, sketch bigint"
 _FOUND = "kind int, a bigint, b bigint, node bigint, level int"
@@ -384,12 +384,12 @@ def _candidates(reps: DataFrame, frequent: np.ndarray, p: Params) -> DataFrame:
     rows = reps.mapInArrow(_rows_from_top(frequent, p), _ROWS)
     found, blocks = [], []
     for k in range(p.rounds + 1):
-        met = cut(compare(rows, p.limit))
+        met = saved(compare(rows, p.limit))
         found.append(met.filter("kind = 0").select("a", "b"))
         left = met.filter("kind = 1").select(F.col("a").alias("rep"), "node", "level")
         if left.isEmpty():
             break
-        left = cut(left.join(left.groupBy("node").agg(F.count("*").alias("size")), "node"))
+        left = saved(left.join(left.groupBy("node").agg(F.count("*").alias("size")), "node"))
         large = (F.col("size") > p.whole) & (F.col("level") > 0) if k < p.rounds else F.lit(False)
         blocks.append(left.filter(~large))
         left = left.filter(large)
@@ -430,9 +430,9 @@ def _few(df: DataFrame, p: Params) -> DataFrame:
 def similar_representatives(reps: DataFrame, p: Params) -> DataFrame:
     """Verified ``(a, b, overlap, either)`` of representatives' ids, a < b by bytes, with
     the sizes of intersection and union."""
-    pairs = cut(_candidates(reps, frequent_tokens(reps, p), p))
+    pairs = saved(_candidates(reps, frequent_tokens(reps, p), p))
     involved = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
-    sets = cut(reps.join(_few(involved, p), "rid").select("rid", "id", "tokens"))
+    sets = saved(reps.join(_few(involved, p), "rid").select("rid", "id", "tokens"))
     side = lambda x: sets.select(F.col("rid").alias(x), F.col("id").alias(f"id_{x}"), F.col("tokens").alias(f"t{x}"))
     overlap = F.size(F.array_intersect("ta", "tb"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").select(
@@ -444,9 +444,9 @@ def similar_representatives(reps: DataFrame, p: Params) -> DataFrame:
 def fold_copies(sets: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
     """(representatives, copies): the records less all but the first of each group of equal
     sets, and ``(rep, id, copies)`` of the groups of two or more, rep being the least id."""
-    groups = cut(sets.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep != last").drop("last"))
+    groups = saved(sets.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep != last").drop("last"))
     members = sets.select("f1", "f2", "id").join(_few(groups, p), ["f1", "f2"]).select("rep", "id").distinct()
-    copies = cut(members.join(members.groupBy("rep").agg(F.count("*").alias("copies")), "rep"))
+    copies = saved(members.join(members.groupBy("rep").agg(F.count("*").alias("copies")), "rep"))
     others = copies.filter("id != rep").select("id")
     return sets.join(_few(others, p), "id", "left_anti"), copies
 
