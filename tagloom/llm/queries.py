@@ -104,7 +104,28 @@ pair AS (
   FROM joint JOIN per x ON x.key = key_a JOIN per y ON y.key = key_b)
 """
 
+_SETS = """
+record AS (SELECT id, tags FROM items_nested UNION ALL SELECT id, tags FROM inbox_nested),
+tag AS (SELECT DISTINCT id, t FROM record, unnest(tags) AS u(t) WHERE id IS NOT NULL),
+numbered AS (SELECT id, dense_rank() OVER (ORDER BY t.ns IS NULL, t.ns, t.key, t.value IS NULL, t.value) AS t FROM tag),
+size AS (SELECT id, count(*) AS n, list_sort(list(t)) AS held FROM numbered GROUP BY id HAVING count(*) >= 5),
+kept AS (SELECT id, t, n FROM numbered JOIN size USING (id)),
+met AS (
+  SELECT a.id AS id_a, b.id AS id_b, count(*) AS overlap, any_value(a.n) + any_value(b.n) - count(*) AS either
+  FROM kept a JOIN kept b ON a.t = b.t AND a.id < b.id AND least(a.n, b.n) * 4 >= greatest(a.n, b.n) * 3 GROUP BY 1, 2),
+similar_pair AS (SELECT id_a, id_b FROM met WHERE overlap * 4 >= either * 3)
+"""
+
 SQL: dict[str, str] = {
+    "p2_found": f"WITH {_SETS} SELECT id_a, id_b FROM similar_pair",
+    "p2_classes": f"""WITH {_SETS},
+class AS (SELECT min(id) AS class_id, count(*) AS copies, list(id) AS ids FROM size GROUP BY held),
+member AS (SELECT unnest(ids) AS id, class_id, copies FROM class),
+link AS (
+  SELECT DISTINCT a.class_id AS x, b.class_id AS y
+  FROM similar_pair JOIN member a ON a.id = id_a JOIN member b ON b.id = id_b WHERE a.class_id <> b.class_id),
+degree AS (SELECT c, count(DISTINCT other) AS links FROM (SELECT x AS c, y AS other FROM link UNION ALL SELECT y, x FROM link) GROUP BY c)
+SELECT id, class_id, copies, coalesce(links, 0) AS links FROM member LEFT JOIN degree ON c = class_id""",
     "p3_found": f"""WITH {_PAIRS} SELECT key_a, key_b FROM pair
 WHERE n_ab >= 5 AND n_ab * 1000 >= 4 * n AND CAST(n_ab AS HUGEINT) * n >= 3 * CAST(n_a AS HUGEINT) * n_b""",
     "p3_pairs": f"WITH {_PAIRS} SELECT key_a, key_b, n_a, n_b, n_ab, CAST(n_ab AS DOUBLE) * n / (CAST(n_a AS DOUBLE) * n_b) AS lift FROM pair",
