@@ -21,13 +21,15 @@ from tagloom.model import NESTED, TAG_STRUCT
 class TagOf:
     """One tag per row: a fixed ns and key, and a value column (None: valueless).
     The tag is left out where ``when`` isn't true, or where a given value is NULL.
-    ``number`` is the value as a double, NULL where it is no numeral."""
+    ``number`` is the value as a double, NULL where it is no numeral. ``has``: whether there is
+    a value, where that is asked of a row more cheaply than for its text."""
 
     key: str
     value: Column | None = None
     ns: str | None = None
     when: Column | None = None
     number: Column | None = None
+    has: Column | None = None
 
     @property
     def text(self) -> Column:
@@ -35,7 +37,8 @@ class TagOf:
 
     def present(self, asked: Column | None = None) -> Column:
         """Whether a row has this tag, and it is as asked."""
-        conditions = [c for c in (self.when, None if self.value is None else self.value.isNotNull(), asked) if c is not None]
+        given = None if self.value is None else self.value.isNotNull() if self.has is None else self.has
+        conditions = [c for c in (self.when, given, asked) if c is not None]
         return reduce(lambda a, b: a & b, conditions) if conditions else F.lit(True)
 
 
@@ -44,7 +47,7 @@ def number_tag(key: str, column: str, ns: str | None = None, scale: int = 2) ->
     38 digits, or is none, is a tag too, with the text it has of itself, and no numeral."""
     narrow, wide = (F.col(column).try_cast(f"decimal({digits},{scale})") for digits in (18, 38))
     text = F.coalesce(narrow.cast("string"), wide.cast("string"), F.col(column).cast("string"))
-    return TagOf(key, text, ns, number=F.coalesce(narrow.cast("double"), wide.cast("double")))
+    return TagOf(key, text, ns, number=F.coalesce(narrow.cast("double"), wide.cast("double")), has=F.col(column).isNotNull())
 
 
 def _tags(specs: Sequence[TagOf]) -> Column:
