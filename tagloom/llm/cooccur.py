@@ -235,7 +235,8 @@ def tail(n: np.ndarray, q: np.ndarray, baskets: np.ndarray) -> np.ndarray:
 def _classes(counted: DataFrame, size: Column, weight: Column) -> tuple[np.ndarray, np.ndarray]:
     """(mean size, how many) of the classes of sizes, by size."""
     near = F.when(size <= EXACT, size.cast("double")).otherwise(EXACT + 1 + F.floor(F.log(size / EXACT) / np.log(1.01)))
-    rows = counted.groupBy(near.alias("class")).agg((F.sum(size.cast("double") * weight) / F.sum(weight)).alias("mean"), F.sum(weight).alias("c")).orderBy("class").collect()
+    rows = counted.groupBy(near.alias("class")).agg((F.sum(size.cast("double") * weight) / F.sum(weight)).alias("mean"), F.sum(weight).alias("c")).collect()
+    rows.sort(key=lambda r: r["class"])
     return np.array([r["mean"] for r in rows], float), np.array([r["c"] for r in rows], float)
 
 

@@ -393,7 +393,7 @@ def _candidates(reps: DataFrame, frequent: np.ndarray, p: Params) -> DataFrame:
         large = (F.col("size") > p.whole) & (F.col("level") > 0) if k < p.rounds else F.lit(False)
         blocks.append(left.filter(~large))
         left = left.filter(large)
-        if left.isEmpty():
+        if k == p.rounds or left.isEmpty():
             break
         again = reps.join(_few(left, p), "rep").select("rep", "tokens", "node", "level")
         rows = again.mapInArrow(_rows_from_nodes(frequent, p), _ROWS)
@@ -419,12 +419,14 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths.astype(np.int32)), pa.array(sketch)], names=["rep", "size", "sketch"])
 
 
-def _few(df: DataFrame, p: Params) -> DataFrame:
+def _few(df: DataFrame, p: Params, within: DataFrame | None = None, times: int = 1) -> DataFrame:
     """Broadcast a side whose size is measured and small enough; a larger one is shuffled. Rows
-    count as 64 bytes and what their texts hold."""
-    texts = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, t in df.dtypes if t == "string"]
-    size = df.agg((F.count("*") * 64 + reduce(lambda a, b: a + b, texts, F.lit(0))).alias("size")).first()["size"]
-    return F.broadcast(df) if size <= p.broadcast_bytes else df
+    count as 64 bytes and what their texts hold. within: a table at hand of which df holds no
+    more than ``times`` the rows and texts, measured in its place."""
+    at_hand = df if within is None else within
+    texts = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, t in at_hand.dtypes if t == "string"]
+    size = at_hand.agg((F.count("*") * 64 + reduce(lambda a, b: a + b, texts, F.lit(0))).alias("size")).first()["size"]
+    return F.broadcast(df) if times * size <= p.broadcast_bytes else df
 
 
 def similar_representatives(reps: DataFrame, p: Params) -> DataFrame:
@@ -432,7 +434,7 @@ def similar_representatives(reps: DataFrame, p: Params) -> DataFrame:
     the sizes of intersection and union."""
     pairs = saved(_candidates(reps, frequent_tokens(reps, p), p))
     involved = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
-    sets = saved(reps.join(_few(involved, p), "rid").select("rid", "id", "tokens"))
+    sets = saved(reps.join(_few(involved, p, pairs, 2), "rid").select("rid", "id", "tokens"))
     side = lambda x: sets.select(F.col("rid").alias(x), F.col("id").alias(f"id_{x}"), F.col("tokens").alias(f"t{x}"))
     overlap = F.size(F.array_intersect("ta", "tb"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").select(
@@ -448,7 +450,7 @@ def fold_copies(sets: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
     members = sets.select("f1", "f2", "id").join(_few(groups, p), ["f1", "f2"]).select("rep", "id").distinct()
     copies = saved(members.join(members.groupBy("rep").agg(F.count("*").alias("copies")), "rep"))
     others = copies.filter("id != rep").select("id")
-    return sets.join(_few(others, p), "id", "left_anti"), copies
+    return sets.join(_few(others, p, copies), "id", "left_anti"), copies
 
 
 def similar_pairs(tables: list[DataFrame], p: Params | None = None) -> DataFrame:
