@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.checkpoints import saved
+from tagloom.sizing import by_range
 
 #: Folded rows of one chunk.
 CHUNK = 250_000
@@ -95,7 +96,7 @@ def lined_up(writes: DataFrame) -> DataFrame:
     order = ["line", "name", "kind", "member", "ns"]
     folded = saved(writes.select("ns", "key", "id", "value").mapInArrow(_fold, _LINE))
     # The number holds the partition and the row's place in it.
-    line = saved(folded.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
+    line = saved(by_range(folded, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
     part = F.shiftright("place", 33)
     counts = line.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

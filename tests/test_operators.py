@@ -391,6 +391,23 @@ def test_tokenizer_of_nothing():
     assert len(before) == 0 and ends.tolist() == [0, 0]
 
 
+# Partitions
+
+
+def test_ranges_grow_with_the_data(spark, tmp_path):
+    from tagloom import sizing
+
+    path = str(tmp_path / "t")
+    spark.range(200_000).selectExpr("id", "uuid() AS u").write.parquet(path)
+    df = spark.read.parquet(path)
+    assert sizing.partitions_for(df) is None and sizing.partitions_for(df.limit(0)) is None
+    assert sizing.partitions_for(spark.createDataFrame(spark.sparkContext.parallelize([(1,)]), "a int")) is None
+    n = sizing.partitions_for(df, 100_000)
+    assert n > 40
+    few = sizing.by_range(df, "id")
+    assert few.count() == 200_000 and few.rdd.getNumPartitions() <= 4
+
+
 # Checkpoints
 
 
