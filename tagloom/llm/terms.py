@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.checkpoints import saved
+from tagloom.sizing import by_range
 
 TAG = ["ns", "key", "value"]
 PART = ["grain", "term"]
@@ -85,7 +86,7 @@ def lined_up(rows: DataFrame, term: list[str], write: tuple[str, ...] = ("seq",
     if write:
         unknown = F.col(write[0]).isNull() | F.col(write[1]).isNull()
         rows = rows.select(*order, F.when(unknown, F.monotonically_increasing_id()).alias("lone"))
-    line = rows.repartitionByRange(*by, *rows.columns)
+    line = by_range(rows, *by, *rows.columns)
     return line.select(*order, by[0].alias("by_term"), by[1].alias("by_id")).sortWithinPartitions("by_term", "by_id", *order).select(*order)
 
 
