@@ -166,8 +166,9 @@ class TagStore:
         typed = {t: self._types[n] for t, n in self.config.types.items() if n in self._types}
         return Plan(query, self.config.hide, typed)
 
-    def run(self, query: Query, strategy: str = "auto") -> DataFrame:
-        """Ids that answer, in ascending order of bytes."""
+    def run(self, query: Query, strategy: str = "auto", ordered: bool = True) -> DataFrame:
+        """Ids that answer, each once, in ascending order of bytes. Without ``ordered`` they
+        come in any order, which saves a large result its sort."""
         plan = self.plan(query)
         if strategy == "auto":
             strategy = "columns" if self._tables else "nested" if self._nested is not None else "fused"
@@ -187,21 +188,23 @@ class TagStore:
             ids = getattr(plan, strategy)(tags)
         ids = ids.filter(F.col("id").isNotNull())
         if strategy == "nested" or strategy == "columns" and self._tables[0].one_row:
-            # That an item is one row isn't checked anywhere. Repeats are dropped in the
-            # exchange that sorts, without one of their own.
-            ids = ids.repartitionByRange("id").distinct()
-        return ids.orderBy("id")
+            # That an item is one row isn't checked anywhere. A sort samples what it sorts, that
+            # is, it works it out once more: from memory at no cost, but a scan should end in
+            # the exchange that drops repeats, before the sort.
+            at_hand = strategy == "nested" and self._nested is not None and self._nested.is_cached
+            ids = ids.repartitionByRange("id").distinct() if at_hand and ordered else ids.distinct()
+        return ids.orderBy("id") if ordered else ids
 
-    def query(self, text: str, strategy: str = "auto") -> DataFrame:
-        return self.run(compile_query(text), strategy)
+    def query(self, text: str, strategy: str = "auto", ordered: bool = True) -> DataFrame:
+        return self.run(compile_query(text), strategy, ordered)
 
-    def query_postfix(self, text: str, strategy: str = "auto") -> DataFrame:
-        return self.run(compile_postfix(text), strategy)
+    def query_postfix(self, text: str, strategy: str = "auto", ordered: bool = True) -> DataFrame:
+        return self.run(compile_postfix(text), strategy, ordered)
 
-    def matching_ids(self, atom: str | Atom, strategy: str = "auto") -> DataFrame:
+    def matching_ids(self, atom: str | Atom, strategy: str = "auto", ordered: bool = True) -> DataFrame:
         """Items with a tag that matches one atom."""
         atom = parse_atom(atom) if isinstance(atom, str) else atom
-        return self.run(Query("", (atom,)), strategy)
+        return self.run(Query("", (atom,)), strategy, ordered)
 
     def participating(self, *references: str) -> DataFrame:
         """Items with a tag that is visible to a query of these atoms: the set that

@@ -82,7 +82,7 @@ def standing_query(
         store = TagStore.from_writes(kept.select(*WRITES.fieldNames()), root=root)
         if prepare is not None:
             prepare(store)
-        answer = store.query(query)
+        answer = store.query(query, ordered=False)
         if not whole:
             answer = answer.join(touched, "id", "left_semi").union(spark.read.schema("id string").parquet(f"{answers}/batch={number - 1}").join(touched, "id", "left_anti"))
         answer.write.mode("overwrite").parquet(f"{answers}/batch={number}")
