@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.checkpoints import folder, saved
+from tagloom.checkpoints import saved, scratch
 from tagloom.config import ROOT_NS, HideConfig, arity_ns, hide_ns, type_ns
 from tagloom.functions.comparators import SEMVER, VERSION
 from tagloom.functions.predicates import atom_matches, hidden
@@ -39,11 +38,6 @@ def root_of(spark: SparkSession, d: str) -> str:
     return _roots[d]
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A place in the shared folder for files that a query writes and reads again."""
-    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def order_items(spark: SparkSession, d: str) -> TagColumns:
     return TagColumns(
         table(spark, d, "orders"),

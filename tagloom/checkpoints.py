@@ -66,12 +66,18 @@ def scope() -> Iterator[None]:
         _close(_scopes.pop())
 
 
+def scratch(spark: SparkSession, name: str = "table") -> str:
+    """A new place in the shared folder, deleted when the scope around ends."""
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _scopes[-1].append((spark, path))
+    return path
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The same rows from a compressed table in the shared folder, written now: smaller than a
     checkpoint, read by column, and of a size that Spark knows. It is deleted when the scope
     around it ends, without one when the driver does."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/table-{uuid.uuid4().hex}"
-    _scopes[-1].append((spark, path))
+    path = scratch(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
